@@ -3,8 +3,8 @@
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilmark.functions import geometry as geo
@@ -171,11 +171,13 @@ def polygon_frames(
     f_first, f_last = (ms_to_frame(F.col(f"{n}.time_ms"), rate) for n in ("first", "last"))
     before = ends.select(*EVENT, "first.bbox", "first.polygon", F.explode(
         _frames_between(F.greatest(F.lit(0), f_first - pad_frames), f_first - 1)
-    ).cast("int").alias("frame_idx"))
+    ).alias("frame_idx"))
     after = ends.select(*EVENT, "last.bbox", "last.polygon", F.explode(
         _frames_between(f_last + 1, f_last + pad_frames)
-    ).cast("int").alias("frame_idx"))
-    return at_keys.unionByName(between).unionByName(before).unionByName(after)
+    ).alias("frame_idx"))
+    return at_keys.unionByName(between).unionByName(before).unionByName(after).withColumn(
+        "frame_idx", F.col("frame_idx").cast("int")
+    )
 
 
 # ---- merging ---------------------------------------------------------------------------------
@@ -188,35 +190,64 @@ def rects_close(a: Column, b: Column, gap: int = MERGE_GAP_PX) -> Column:
     )
 
 
-def _close_over(gap: int):
-    """Unite near rectangles of one frame until none are near; rows come pre-united per grid cell."""
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        x1, y1 = pdf["x1"].to_numpy().copy(), pdf["y1"].to_numpy().copy()
-        x2, y2 = pdf["x2"].to_numpy().copy(), pdf["y2"].to_numpy().copy()
-        conf, ranks = pdf["confidence"].to_numpy().copy(), pdf["rank"].to_numpy().copy()
-        keep, members = pdf["event_id"].to_numpy().copy(), pdf["members"].to_numpy().copy()
-        alive = np.ones(len(pdf), dtype=bool)
-        for i in range(len(pdf)):
-            if not alive[i]:
-                continue
-            while True:
-                near = alive & (x1 <= x2[i] + gap) & (x2 + gap >= x1[i]) & (y1 <= y2[i] + gap) & (y2 + gap >= y1[i])
-                near[i] = False
-                if not near.any():
-                    break
-                group = np.append(np.flatnonzero(near), i)
-                best = max(group, key=lambda j: (conf[j], -ranks[j]))
-                keep[i], conf[i], ranks[i] = keep[best], conf[best], ranks[best]
-                members[i] = members[group].sum()
-                x1[i], y1[i], x2[i], y2[i] = x1[group].min(), y1[group].min(), x2[group].max(), y2[group].max()
-                alive[near] = False
-        return pd.DataFrame({
-            "video_id": pdf["video_id"], "frame_idx": pdf["frame_idx"], "event_id": keep, "confidence": conf,
-            "members": members, "x": x1, "y": y1, "w": x2 - x1, "h": y2 - y1,
-        })[alive]
-
-    return merge
+_PIECE = ["x1", "y1", "x2", "y2", "confidence", "rank", "members"]
+
+
+def _unite(rows: dict[str, np.ndarray], gap: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Unite near rectangles until none are near: (kept row, members, x1, y1, x2, y2) of each result."""
+    x1, y1, x2, y2 = (rows[c].copy() for c in ("x1", "y1", "x2", "y2"))
+    members, keep = rows["members"].copy(), np.arange(len(x1))
+    alive = np.ones(len(x1), dtype=bool)
+    for i in range(len(x1)):
+        while alive[i]:
+            near = alive & (x1 <= x2[i] + gap) & (x2 + gap >= x1[i]) & (y1 <= y2[i] + gap) & (y2 + gap >= y1[i])
+            near[i] = False
+            if not near.any():
+                break
+            group = np.append(np.flatnonzero(near), i)
+            keep[i] = max(keep[group], key=lambda j: (rows["confidence"][j], -rows["rank"][j]))
+            members[i] = members[group].sum()
+            x1[i], y1[i], x2[i], y2[i] = x1[group].min(), y1[group].min(), x2[group].max(), y2[group].max()
+            alive[near] = False
+    left = np.flatnonzero(alive)
+    return [(int(keep[i]), int(members[i]), int(x1[i]), int(y1[i]), int(x2[i]), int(y2[i])) for i in left]
+
+
+def _unite_frames(gap: int):
+    """Unite the rectangles of each frame; frames arrive whole and one after the other."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def done(table: pa.Table, bounds: list[int]) -> pa.RecordBatch:
+            columns = {c: table.column(c).to_numpy() for c in _PIECE}
+            found, take = [], []
+            for lo, hi in zip(bounds, bounds[1:]):
+                for row in _unite({c: v[lo:hi] for c, v in columns.items()}, gap):
+                    take.append(lo + row[0])
+                    found.append(row[1:])
+            kept = table.take(pa.array(take, pa.int64()))
+            members, ax, ay, bx, by = (list(v) for v in zip(*found))
+            sides = [ax, ay, [b - a for a, b in zip(ax, bx)], [b - a for a, b in zip(ay, by)]]
+            return pa.RecordBatch.from_arrays(
+                [kept.column(c).combine_chunks() for c in ("video_id", "frame_idx", "event_id", "confidence")]
+                + [pa.array(members, pa.int64())] + [pa.array(v, pa.int32()) for v in sides],
+                names=["video_id", "frame_idx", "event_id", "confidence", "members", "x", "y", "w", "h"],
+            )
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            frames = list(zip(held.column("video_id").to_pylist(), held.column("frame_idx").to_pylist()))
+            bounds = [0] + [i for i in range(1, len(frames)) if frames[i] != frames[i - 1]]
+            # The last frame may go on in the next batch.
+            if len(bounds) > 1:
+                yield done(held, bounds)
+                held = held.slice(bounds[-1])
+        if held is not None and held.num_rows:
+            yield done(held, [0, held.num_rows])
+
+    return step
 
 
 def merge_regions(regions: DataFrame, gap: int = MERGE_GAP_PX, rank: str = "event_ord") -> DataFrame:
@@ -224,8 +255,9 @@ def merge_regions(regions: DataFrame, gap: int = MERGE_GAP_PX, rank: str = "even
 
     Rectangles whose corners share a grid cell of the gap's size are near for certain, so they are
     united by a plain aggregation first. After that a frame holds at most one rectangle per cell,
-    which bounds the grouped step by the frame's area whatever the number of regions. Ties in
-    confidence go to the lower `rank`.
+    which bounds a frame by its area whatever the number of regions. Frames left with one rectangle
+    are finished; only the others go through Python, in whole Arrow batches. Ties in confidence go to
+    the lower `rank`.
     """
     best = F.max(F.struct("confidence", (-F.col(rank)).alias("r"), "event_id"))
     united = regions.groupBy(
@@ -237,11 +269,17 @@ def merge_regions(regions: DataFrame, gap: int = MERGE_GAP_PX, rank: str = "even
         "video_id", "frame_idx", "x1", "y1", "x2", "y2", "b.confidence", (-F.col("b.r")).alias("rank"),
         "b.event_id", "members",
     )
-    return united.groupBy("video_id", "frame_idx").applyInPandas(
-        _close_over(gap),
+    frame = ["video_id", "frame_idx"]
+    counted = united.withColumn("_n", F.count("*").over(Window.partitionBy(*frame)))
+    alone = counted.filter("_n = 1").selectExpr(
+        *frame, "event_id", "confidence", "members", "x1 x", "y1 y", "x2 - x1 w", "y2 - y1 h"
+    )
+    several = counted.filter("_n > 1").select(*frame, "event_id", *_PIECE).sortWithinPartitions(*frame)
+    return alone.unionByName(several.mapInArrow(
+        _unite_frames(gap),
         "video_id string, frame_idx int, event_id string, confidence double, members long,"
         "x int, y int, w int, h int",
-    )
+    ))
 
 
 # ---- overlay and hit tests -------------------------------------------------------------------

@@ -15,8 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One box per line of a document, stacked 20 px apart."""
-    lines = table(spark, sf_dir, "documents").select(
+    return document_boxes(table(spark, sf_dir, "documents"))
+
+
+def document_boxes(documents: DataFrame) -> DataFrame:
+    """One box per line of a document, stacked 20 px apart; documents may be a stream."""
+    lines = documents.select(
         "source", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")
     )
     return lines.selectExpr(
@@ -79,8 +83,12 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates from the event log: user = video, event type = kind of data."""
-    return table(spark, sf_dir, "events").selectExpr(
+    return event_cands(table(spark, sf_dir, "events"))
+
+
+def event_cands(events: DataFrame) -> DataFrame:
+    """Candidates from the event log: user = video, event type = kind of data; may be a stream."""
+    return events.selectExpr(
         "CAST(user_id AS STRING) AS video_id",
         "event_type AS pii_type",
         "unix_millis(CAST(ts AS TIMESTAMP)) AS time_ms",
@@ -91,6 +99,7 @@ def cands(spark: SparkSession, sf_dir: str) -> DataFrame:
         "80 AS w",
         "20 AS h",
         "event_type AS text",
+        *(["CAST(ts AS TIMESTAMP) AS at"] if events.isStreaming else []),
     )
 
 
@@ -118,8 +127,12 @@ def cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One histogram per embedding, from the absolute values of its components."""
-    return table(spark, sf_dir, "embeddings").select(
+    return embedding_hists(table(spark, sf_dir, "embeddings"))
+
+
+def embedding_hists(embeddings: DataFrame) -> DataFrame:
+    """One histogram per embedding, from the absolute values of its components; may be a stream."""
+    return embeddings.select(
         F.col("label").cast("string").alias("video_id"),
         F.col("vec_id").cast("int").alias("frame_idx"),
         F.transform("embedding", lambda v: F.abs(v.cast("double"))).alias("hist"),

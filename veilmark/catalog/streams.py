@@ -59,16 +59,16 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("stream_windows", f"""
-SELECT epoch_us(date_trunc('day', ts)) // 1000 start_ms, event_type pii_type, count(*) findings FROM events
-GROUP BY ALL HAVING start_ms * 1000 + 86400000000 <= {_CLOSED}""")
+SELECT * FROM (SELECT epoch_us(date_trunc('day', ts)) // 1000 start_ms, event_type pii_type, count(*) findings
+  FROM events GROUP BY 1, 2) WHERE start_ms * 1000 + 86400000000 <= {_CLOSED}""")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     done = sl.run_to_table(sl.stream_window_counts(ad.event_cands(_stream(spark, d, "events")), "at", "1 day"))
     return done.select(F.unix_millis("start").alias("start_ms"), "pii_type", "findings")
 
 
 @query("stream_sliding", f"""
-SELECT (epoch_us(ts) // 21600000000 - k) * 21600000 start_ms, event_type pii_type, count(*) findings
-FROM events, range(0, 4) r(k) GROUP BY ALL HAVING start_ms * 1000 + 86400000000 <= {_CLOSED}""")
+SELECT * FROM (SELECT (epoch_us(ts) // 21600000000 - k) * 21600000 start_ms, event_type pii_type, count(*) findings
+  FROM events, range(0, 4) r(k) GROUP BY 1, 2) WHERE start_ms * 1000 + 86400000000 <= {_CLOSED}""")
 def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
     counted = sl.stream_window_counts(ad.event_cands(_stream(spark, d, "events")), "at", "1 day", "6 hours")
     return sl.run_to_table(counted).select(F.unix_millis("start").alias("start_ms"), "pii_type", "findings")

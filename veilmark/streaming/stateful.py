@@ -15,9 +15,11 @@ EVENT_SCHEMA = (
     "video_id string, pii_type string, seed_ms long, seed_ord long, start_ms long, end_ms long,"
     "n_keyframes long, confidence double"
 )
-_STATE = (
-    "seed_ms long, seed_ord long, end_ms long, cx double, cy double, n_keyframes long, confidence double"
+_OPEN = (
+    "seed_ms:bigint,seed_ord:bigint,end_ms:bigint,cx:double,cy:double,n_keyframes:bigint,confidence:double"
 )
+# The open events of a key and the time its next timer is due, read and written as one value.
+_STATE = f"due bigint, events array<struct<{_OPEN}>>"
 
 
 def _rocks(spark) -> None:
@@ -40,7 +42,7 @@ class _Linker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", _STATE)
+        self.open = handle.getValueState("open", _STATE)
 
     def _emit(self, key, events: list) -> pd.DataFrame:
         return pd.DataFrame(
@@ -49,8 +51,24 @@ class _Linker(StatefulProcessor):
                      "confidence"],
         )
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
-        held = [list(e) for e in self.open.get()] if self.open.exists() else []
+    def _load(self) -> tuple[int | None, list]:
+        if not self.open.exists():
+            return None, []
+        due, events = self.open.get()
+        return due, [list(e) for e in events]
+
+    def _store(self, due: int | None, held: list) -> None:
+        """Keep the open events; a pending timer that fires too early only sets the next one."""
+        if held and due is None:
+            due = min(e[2] for e in held) + self.gap_ms + 1
+            self.handle.registerTimer(due)
+        if held or due is not None:
+            self.open.update((due, [tuple(e) for e in held]))
+        else:
+            self.open.clear()
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        due, held = self._load()
         batch = pd.concat(list(rows)).sort_values(["time_ms", "cand_ord"])
         closed = []
         for r in batch.itertuples(index=False):
@@ -63,24 +81,15 @@ class _Linker(StatefulProcessor):
                     break
             else:
                 held.append([int(r.time_ms), int(r.cand_ord), int(r.time_ms), cx, cy, 1, float(r.confidence)])
-        self._store(held)
+        self._store(due, held)
         if closed:
             yield self._emit(key, closed)
 
-    def _store(self, held: list) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if held:
-            self.open.put([tuple(e) for e in held])
-            self.handle.registerTimer(min(e[2] for e in held) + self.gap_ms + 1)
-        else:
-            self.open.clear()
-
-    def handleExpiredTimer(self, key: Any, timers: Any, info: Any) -> Iterator[pd.DataFrame]:
-        now = timers.getCurrentWatermarkInMs()
-        held = [list(e) for e in self.open.get()] if self.open.exists() else []
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        _, held = self._load()
         done = [e for e in held if e[2] + self.gap_ms < now]
-        self._store([e for e in held if e[2] + self.gap_ms >= now])
+        self._store(None, [e for e in held if e[2] + self.gap_ms >= now])
         if done:
             yield self._emit(key, done)
 
@@ -111,7 +120,7 @@ class _SceneWatch(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "frame_idx int, hist array<double>")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         frames = pd.concat(list(rows)).sort_values("frame_idx")
         before = tuple(self.last.get()) if self.last.exists() else None
         out = []

@@ -171,8 +171,9 @@ def even_subsample(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- regions ---------------------------------------------------------------------------------
 
-def covered_frames(spark: SparkSession, d: str) -> DataFrame:
-    return rg.event_frames(linked(spark, d), FPS, ORDER, PAD_MS, F.lit(1920), F.lit(1080), chunk_ms=WEEK)
+def covered_frames(spark: SparkSession, d: str, kfs: DataFrame | None = None) -> DataFrame:
+    kfs = linked(spark, d) if kfs is None else kfs
+    return rg.event_frames(kfs, FPS, ORDER, PAD_MS, F.lit(1920), F.lit(1080), chunk_ms=WEEK)
 
 
 _FRAMES = {
@@ -211,8 +212,9 @@ JOIN (SELECT event_id, min(time_ms) lo, max(time_ms) hi FROM linked GROUP BY ALL
 WHERE frame_idx BETWEEN trunc((lo - 1000000) / 1000::DOUBLE * {FPS}::DOUBLE)
                     AND trunc((hi + 1000000) / 1000::DOUBLE * {FPS}::DOUBLE)""", _FRAMES))
 def expand_frames(spark: SparkSession, d: str) -> DataFrame:
-    ranges = summary(spark, d).select("video_id", "event_id", "start_ms", "end_ms")
-    return rg.within_ranges(covered_frames(spark, d), ranges, FPS, 1_000_000).select(
+    kfs = linked(spark, d)
+    ranges = ol.event_summary(kfs).select("video_id", "event_id", "start_ms", "end_ms")
+    return rg.within_ranges(covered_frames(spark, d, kfs), ranges, FPS, 1_000_000).select(
         "video_id", "event_id", "frame_idx"
     )
 
@@ -265,8 +267,9 @@ FROM (SELECT *, st[i].c > st[j].c OR (st[i].c = st[j].c AND st[i].o < st[j].o) b
   WHERE len(pr) > 0))""",
 }))
 def merge_regions(spark: SparkSession, d: str) -> DataFrame:
-    ranked = covered_frames(spark, d).join(
-        summary(spark, d).select("event_id", F.col("seed_ord").alias("event_ord")), "event_id"
+    kfs = linked(spark, d)
+    ranked = covered_frames(spark, d, kfs).join(
+        ol.event_summary(kfs).select("event_id", F.col("seed_ord").alias("event_ord")), "event_id"
     )
     return rg.merge_regions(ranked)
 
@@ -287,9 +290,9 @@ def _probes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _ranges(spark: SparkSession, d: str) -> DataFrame:
+def _ranges(kfs: DataFrame) -> DataFrame:
     status = F.when(F.col("confidence") < 0.01, "rejected").otherwise("pending")
-    return summary(spark, d).select(
+    return ol.event_summary(kfs).select(
         "video_id", "event_id", "start_ms", "end_ms", "seed_ord", status.alias("status")
     )
 
@@ -309,7 +312,7 @@ def _probe_tables(pad: int) -> dict[str, str]:
 
 @query("active_at", sql("summary", "SELECT probe_id, event_id FROM active", _probe_tables(7_200_000)))
 def active_at(spark: SparkSession, d: str) -> DataFrame:
-    return rg.active_at(_probes(spark, d), _ranges(spark, d), 7_200_000, GAP_MS).select("probe_id", "event_id")
+    return rg.active_at(_probes(spark, d), _ranges(linked(spark, d)), 7_200_000, GAP_MS).select("probe_id", "event_id")
 
 
 _AT = {
@@ -335,8 +338,9 @@ SELECT video_id, event_id, at_ms, probe_id, px, py, seed_ord,
 
 @query("box_at_time", sql("summary", "SELECT DISTINCT event_id, at_ms, x, y, w, h FROM placed", _AT))
 def box_at_time(spark: SparkSession, d: str) -> DataFrame:
-    active = rg.active_at(_probes(spark, d), _ranges(spark, d), 7_200_000, GAP_MS)
-    return rg.box_at_time(active, linked(spark, d), ORDER, WEEK).select(
+    kfs = linked(spark, d)
+    active = rg.active_at(_probes(spark, d), _ranges(kfs), 7_200_000, GAP_MS)
+    return rg.box_at_time(active, kfs, ORDER, WEEK).select(
         "event_id", "at_ms", "bbox.x", "bbox.y", "bbox.w", "bbox.h"
     )
 
@@ -345,7 +349,8 @@ def box_at_time(spark: SparkSession, d: str) -> DataFrame:
 SELECT probe_id, arg_max(event_id, seed_ord) event_id FROM placed
 WHERE px BETWEEN x AND x + w AND py BETWEEN y AND y + h GROUP BY ALL""", {**_AT, **_probe_tables(0)}))
 def hit_test(spark: SparkSession, d: str) -> DataFrame:
-    return rg.hit_test(_probes(spark, d), _ranges(spark, d), linked(spark, d), ORDER, "seed_ord", GAP_MS, WEEK)
+    kfs = linked(spark, d)
+    return rg.hit_test(_probes(spark, d), _ranges(kfs), kfs, ORDER, "seed_ord", GAP_MS, WEEK)
 
 
 def _drawn(spark: SparkSession, d: str) -> DataFrame:

@@ -461,14 +461,17 @@ def preset_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("preset_delete", f"""
-SELECT preset_id, EXISTS (SELECT 1 FROM ({_SUP}) c WHERE NOT c.builtin AND c.preset_id = i.preset_id) found,
-  (SELECT count(*) FROM ({_SUP}) c WHERE NOT c.builtin AND c.preset_id NOT IN (SELECT preset_id FROM ({_SUP}) WHERE builtin)) n_left
-FROM (SELECT DISTINCT preset_id FROM ({_SUP}) WHERE builtin) i""")
+SELECT preset_id, name FROM ({_SUP}) WHERE NOT builtin AND preset_id NOT IN (SELECT preset_id FROM ({_SUP}) WHERE builtin)""")
 def preset_delete(spark: SparkSession, d: str) -> DataFrame:
     rows = _supplier_presets(spark, d)
-    custom, ids = rows.filter("NOT builtin"), rows.filter("builtin")
-    left = st.delete_presets(custom, ids).agg(F.count("*").alias("n_left"))
-    return st.found_presets(custom, ids).join(F.broadcast(left))
+    return st.delete_presets(rows.filter("NOT builtin"), rows.filter("builtin")).select("preset_id", "name")
+
+
+@query("preset_found", f"""
+SELECT DISTINCT preset_id, preset_id IN (SELECT preset_id FROM ({_SUP}) WHERE NOT builtin) found FROM ({_SUP}) WHERE builtin""")
+def preset_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = _supplier_presets(spark, d)
+    return st.found_presets(rows.filter("NOT builtin"), rows.filter("builtin"))
 
 
 def _part_rules(spark: SparkSession, d: str) -> DataFrame:

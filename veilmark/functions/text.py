@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 UNICODE_FLAGS = "(?U)"
 SCAN_FLAGS = "(?iU)"
 
+# ---- fixed values: characters that count as white space at the ends of a text -----------------
+WHITE_SPACE = (
+    "\t\n\u000b\f\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 _OPEN, _CLOSE = "\u0001", "\u0002"
 
 
-def strip(text: Column) -> Column:
+def strip(text: Column | str) -> Column:
     """Remove leading and trailing white space of any kind."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def fold_text(text: Column) -> Column:

@@ -9,7 +9,7 @@ from veilmark.functions import text as tx
 from veilmark.schemas import (
     CONTEXT_CONFIDENCE, CONTEXT_PX, DEFAULT_THRESHOLD, PERSON_MIN_CHARS, PII_TYPES, REGEX_CONFIDENCE,
 )
-from veilmark.sources.rules import NEEDS, active_rules, collect_rules, to_java
+from veilmark.sources.rules import NEEDS, active_rules, collect_rules, guard_of, to_java
 
 # ---- fixed values: entity types that are kept, and what they become --------------------------
 ENTITY_MAP = {
@@ -168,7 +168,7 @@ def recogniser_spans(texts: DataFrame, text: str, keys: list[str], checked_cards
 
     per_rule = [scored(r) for r in rules]
     found = (
-        texts.filter(body.rlike(r"(?U)\d|@"))
+        texts.filter(body.rlike(guard_of(rules)))
         .select(*keys, text, F.explode(F.flatten(F.array(*per_rule))).alias("s"))
         .select(*keys, "s.*", F.expr(f"substring({text}, s.start + 1, s.end - s.start)").alias("text_hit"))
     )
@@ -198,10 +198,9 @@ def regex_candidates(
     )
     body = F.col("text")
     none = F.array().cast("array<string>")
-    guards, per_rule = set(), []
+    guard, per_rule = guard_of(usable), []
     for rule in usable:
         need = NEEDS.get(rule["rule_id"])
-        guards.add(need)
         matches = tx.hits(body, tx.SCAN_FLAGS + to_java(rule["pattern"]))
         if need is not None:
             matches = F.when(body.rlike(need), matches).otherwise(none)
@@ -211,8 +210,8 @@ def regex_candidates(
             "array<struct<rule_ord:int,rule_id:string,pii_type:string,rule_confidence:double,"
             "hit_no:int,match:string>>"
         )]
-    elif None not in guards:
-        boxes = boxes.filter(body.rlike("|".join(sorted(guards))))
+    elif guard is not None:
+        boxes = boxes.filter(body.rlike(guard))
     return boxes.select("*", F.explode(F.flatten(F.array(*per_rule))).alias("m")).select(
         *FRAME, "time_ms", "m.pii_type", F.col("m.rule_confidence").alias("confidence"),
         F.col("m.match").alias("text"), "bbox", F.lit("regex").alias("source"), "m.rule_ord",
@@ -267,29 +266,36 @@ def label_candidates(
         values = values.join(
             flagged.select(*FRAME, "bbox").distinct(), [*FRAME, "bbox"], "left_anti"
         )
-    v, l = F.col("bbox"), F.col("label_box")
-    sides = {
-        "right": ("x", "w", "y", "h"),
-        "below": ("y", "h", "x", "w"),
-    }
-    pairs = None
-    labels = label_boxes(boxes, usable)
-    for side, (along, size, across, width) in sides.items():
-        edge = l[along] + l[size]
-        asks = labels.withColumn(
-            "ca", F.explode(_cells(edge, edge + F.col("reach"), cell))
-        ).withColumn("cc", F.explode(_cells(l[across], l[across] + l[width], cell)))
-        offers = values.withColumn("ca", F.floor(v[along] / cell)).withColumn(
-            "cc", F.explode(_cells(v[across], v[across] + v[width], cell))
-        )
-        met = offers.join(asks, [*FRAME, "ca", "cc"]).filter(
-            (v[along] >= edge) & (v[along] <= edge + F.col("reach"))
-            & (v[across] < l[across] + l[width]) & (v[across] + v[width] > l[across])
-            & (F.col("box_ord") != F.col("label_ord"))
-            & (F.col("cc") == F.floor(F.greatest(v[across], l[across]) / cell))
-        ).select(*FRAME, "bbox", "rule_ord", "label_ord", "box_ord", "time_ms", "text", "pii_type",
-                 "rule_confidence", "rule_id")
-        pairs = met if pairs is None else pairs.unionByName(met)
+    reach = F.col("reach")
+
+    def sides(box: str) -> Column:
+        """A box seen along x (for values to the right) and along y (for values below)."""
+        b = F.col(box)
+        views = [("right", "x", "w", "y", "h"), ("below", "y", "h", "x", "w")]
+        return F.explode(F.array(*[
+            F.struct(
+                F.lit(name).alias("side"), b[at].alias("at"), (b[at] + b[size]).alias("edge"),
+                b[low].alias("low"), (b[low] + b[width]).alias("high"),
+            )
+            for name, at, size, low, width in views
+        ]))
+
+    asks = label_boxes(boxes, usable).withColumn("ask", sides("label_box")).withColumn(
+        "ca", F.explode(_cells(F.col("ask.edge"), F.col("ask.edge") + reach, cell))
+    ).withColumn("cc", F.explode(_cells(F.col("ask.low"), F.col("ask.high"), cell))).withColumn(
+        "side", F.col("ask.side")
+    ).drop("label_box")
+    offers = values.withColumn("offer", sides("bbox")).withColumn(
+        "ca", F.floor(F.col("offer.at") / cell)
+    ).withColumn("cc", F.explode(_cells(F.col("offer.low"), F.col("offer.high"), cell))).withColumn(
+        "side", F.col("offer.side")
+    )
+    pairs = offers.join(asks, [*FRAME, "side", "ca", "cc"]).filter(
+        F.col("offer.at").between(F.col("ask.edge"), F.col("ask.edge") + reach)
+        & (F.col("offer.low") < F.col("ask.high")) & (F.col("offer.high") > F.col("ask.low"))
+        & (F.col("box_ord") != F.col("label_ord"))
+        & (F.col("cc") == F.floor(F.greatest(F.col("offer.low"), F.col("ask.low")) / cell))
+    )
     best = F.min(F.struct(
         "rule_ord", "label_ord", "box_ord", "time_ms", "text", "pii_type", "rule_confidence", "rule_id"
     )).alias("b")

@@ -10,21 +10,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.functions import text as tx
-from veilmark.sources.rules import NEEDS, active_rules, collect_rules, to_java
+from veilmark.sources.rules import NEEDS, active_rules, collect_rules, guard_of, to_java
 
 MASK = "█"
 SPANS = "array<struct<start:int,end:int>>"
 
 
 def rule_spans(text: Column, rules: DataFrame | Iterable[dict]) -> Column:
-    """Sorted spans of every match of every active regex rule."""
+    """Sorted spans of every match of every active regex rule.
+
+    A text without any character class that the rules need is settled by one look.
+    """
     none = F.array().cast(SPANS)
+    usable = active_rules(collect_rules(rules), ("regex",))
     parts = []
-    for rule in active_rules(collect_rules(rules), ("regex",)):
+    for rule in usable:
         spans = tx.hit_spans(text, tx.SCAN_FLAGS + to_java(rule["pattern"]))
         need = NEEDS.get(rule["rule_id"])
         parts.append(spans if need is None else F.when(text.rlike(need), spans).otherwise(none))
-    return F.array_sort(F.flatten(F.array(*parts))) if parts else none
+    if not parts:
+        return none
+    found = F.array_sort(F.flatten(F.array(*parts)))
+    guard = guard_of(usable)
+    return found if guard is None else F.when(text.rlike(guard), found).otherwise(none)
 
 
 def united_spans(spans: Column) -> Column:

@@ -125,29 +125,31 @@ def _exits(interval: int, half: int, width: int):
         start, stop = chunk * width, (chunk + 1) * width
         flags = np.zeros((width, 4), dtype=bool)
         flags[pdf["frame_idx"].to_numpy() - start] = pdf[_FLAG].to_numpy(dtype=bool)
-        # exits[offset][step kind][burst] = (frame, step kind, burst) on leaving the chunk
-        exits = np.zeros((width + interval, 2, depth, 3), dtype=np.int64)
-        for over in range(interval):
-            for kind in (0, 1):
-                for burst in range(depth):
-                    exits[width + over, kind, burst] = (stop + over, kind, burst)
+        # exits[offset, step kind, burst] names the state on leaving the chunk by its place among
+        # the states (frames past the end, step kind, burst); the states past the end are their own.
+        exits = np.empty((width + interval, 2, depth), dtype=np.int64)
+        exits[width:] = np.arange(interval * 2 * depth).reshape(interval, 2, depth)
+        bursts_left = [
+            np.array([_burst_after(b, scene, moved) for b in range(depth)])
+            for scene in (False, True) for moved in (False, True)
+        ]
         for at in range(width - 1, -1, -1):
             for kind in (0, 1):
-                scene, moved = flags[at, kind], flags[at, 2 + kind]
-                for burst in range(depth):
-                    left = _burst_after(burst, scene, moved)
-                    exits[at, kind, burst] = (
-                        exits[at + half, 1, left - 1] if left > 0 else exits[at + interval, 0, 0]
-                    )
+                left = bursts_left[2 * int(flags[at, kind]) + int(flags[at, 2 + kind])]
+                exits[at, kind] = np.where(
+                    left > 0, exits[at + half, 1, np.maximum(left - 1, 0)], exits[at + interval, 0, 0]
+                )
         offsets, kinds, bursts = np.meshgrid(
             np.arange(interval), np.arange(2), np.arange(depth), indexing="ij"
         )
-        found = exits[offsets.ravel(), kinds.ravel(), bursts.ravel()]
+        over, kind_out, burst_out = np.unravel_index(
+            exits[offsets.ravel(), kinds.ravel(), bursts.ravel()], (interval, 2, depth)
+        )
         return pd.DataFrame({
             "video_id": pdf["video_id"].iloc[0], "chunk": chunk,
             "enter_frame": start + offsets.ravel(), "enter_kind": kinds.ravel(),
-            "enter_burst": bursts.ravel(), "exit_frame": found[:, 0], "exit_kind": found[:, 1],
-            "exit_burst": found[:, 2],
+            "enter_burst": bursts.ravel(), "exit_frame": stop + over, "exit_kind": kind_out,
+            "exit_burst": burst_out,
         })
 
     return solve

@@ -7,6 +7,7 @@ is a frame; a line or word is a text box.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilmark.functions.text import strip
 from veilmark.plans.session import with_utc
 
 
@@ -22,13 +23,13 @@ def document_boxes(documents: DataFrame) -> DataFrame:
     """One box per line of a document, stacked 20 px apart; documents may be a stream."""
     lines = documents.select(
         "source", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")
-    )
+    ).withColumn("clean", strip("line"))
     return lines.selectExpr(
         "source AS video_id",
         "CAST(doc_id AS INT) AS frame_idx",
         "CAST(doc_id * 500 AS INT) AS time_ms",
         "pos AS box_ord",
-        r"regexp_replace(line, '^\\s+|\\s+$', '') AS text",
+        "clean AS text",
         "CAST(pmod(doc_id * 31 + pos * 17, 100) AS DOUBLE) / 100 AS confidence",
         "named_struct('x', 10, 'y', 20 * pos, 'w', greatest(1, 8 * length(line)), 'h', 16) AS bbox",
     )

@@ -42,9 +42,8 @@ def read_presets(spark: SparkSession, paths: Iterable[str] = (), custom_path: st
     paths = list(paths)
     if paths:
         built = spark.read.schema(PRESET).option("multiLine", True).json(paths)
-        built = built.filter("preset_id IS NOT NULL").withColumns({
-            "builtin": F.lit(True),
-            "preset_ord": F.row_number().over(_by_name()) - 1,
+        built = built.filter("preset_id IS NOT NULL").orderBy(F.input_file_name()).withColumns({
+            "builtin": F.lit(True), "preset_ord": F.monotonically_increasing_id().cast("int"),
         })
     else:
         built = builtin_presets(spark)
@@ -55,13 +54,8 @@ def read_presets(spark: SparkSession, paths: Iterable[str] = (), custom_path: st
         .filter("preset_id IS NOT NULL")
         .withColumns({
             "builtin": F.lit(False),
-            "preset_ord": (F.monotonically_increasing_id() + 1000).cast("int"),
+            "preset_ord": (F.monotonically_increasing_id() + len(BUILTIN)).cast("int"),
         })
     )
     return built.unionByName(custom)
 
-
-def _by_name():
-    from pyspark.sql import Window
-
-    return Window.orderBy(F.input_file_name())

@@ -5,6 +5,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilmark.schemas import MAX_PATTERN_CHARS, RULE, RULE_TYPES
 
@@ -59,6 +60,14 @@ NEEDS = {
     "email": "@", "url_credentials": "@",
 }
 
+def guard_of(rules: Iterable[dict]) -> str | None:
+    """One pattern that every text with a match of any of the rules contains, or None if unknown."""
+    needs = {NEEDS.get(r["rule_id"]) for r in rules}
+    if not needs or None in needs:
+        return None
+    return "(?U)[" + "".join(sorted(n.removeprefix("(?U)") for n in needs)) + "]"
+
+
 # Rules become expressions of the plan, so their number is bounded.
 MAX_RULES = 2000
 
@@ -92,7 +101,7 @@ def read_rules(spark: SparkSession, custom_path: str | None = None) -> DataFrame
     rules = rules_frame(spark, builtin_rules())
     if custom_path is None:
         return rules
-    schema = _with_corrupt(RULE)
+    schema = T.StructType([*RULE.fields, T.StructField("_corrupt", T.StringType())])
     raw = (
         spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt").json(custom_path)
@@ -102,8 +111,9 @@ def read_rules(spark: SparkSession, custom_path: str | None = None) -> DataFrame
         & F.col("type").isin(RULE_TYPES)
         & F.coalesce(F.col("confidence"), F.lit(0.9)).between(0.0, 1.0)
     )
-    bad = raw.filter(~F.coalesce(good, F.lit(False))).limit(1)
-    custom = raw.join(bad.select(F.lit(1).alias("_b")), how="left_anti", on=F.lit(True)).select(
+    if not raw.filter(~F.coalesce(good, F.lit(False))).isEmpty():
+        return rules
+    custom = raw.select(
         (F.monotonically_increasing_id() + len(BUILTIN)).cast("int").alias("rule_ord"),
         "rule_id", "name", "type",
         F.coalesce("enabled", F.lit(True)).alias("enabled"),
@@ -116,12 +126,6 @@ def read_rules(spark: SparkSession, custom_path: str | None = None) -> DataFrame
     return rules.unionByName(custom)
 
 
-def _with_corrupt(schema):
-    from pyspark.sql import types as T
-
-    return T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-
-
 def collect_rules(rules: DataFrame | Iterable[dict]) -> list[dict]:
     """The rule table as dicts in rule order; refuses a table that is no rule table."""
     if not isinstance(rules, DataFrame):

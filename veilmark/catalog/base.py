@@ -54,7 +54,7 @@ SELECT source video_id, doc_id::INT frame_idx,
          'DATE_TIME','LOCATION'])[((doc_id * 7 + k) % 9)::INT + 1] entity_type,
        ((doc_id * 37 + k * 101) % n_chars)::INT s,
        ((doc_id * 37 + k * 101) % n_chars + 2 + (doc_id + k) % 20)::INT e,
-       ((doc_id * 13 + k * 29) % 100)::DOUBLE / 100 score, k span_ord
+       ((doc_id * 13 + k * 29) % 100)::DOUBLE / 100 score, k::INT span_ord
 FROM documents, range(0, 5) r(k)""",
     "offsets": r"""
 SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY video_id, frame_idx ORDER BY box_ord

@@ -225,7 +225,7 @@ def adaptive_sample(spark: SparkSession, d: str) -> DataFrame:
 # ---- analyzer spans --------------------------------------------------------------------------
 
 @query("composite_texts", sql("composites", """
-SELECT video_id, frame_idx, length(composite) n_chars, sha256(composite) text_hash FROM composites"""))
+SELECT video_id, frame_idx, length(composite)::INT n_chars, sha256(composite) text_hash FROM composites"""))
 def composite_texts(spark: SparkSession, d: str) -> DataFrame:
     return oc.composite_text(ad.boxes(spark, d)).select(
         *oc.FRAME, F.length("composite").alias("n_chars"), F.sha2("composite", 256).alias("text_hash")
@@ -233,7 +233,7 @@ def composite_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("composite_offsets", sql("offsets", """
-SELECT video_id, frame_idx, box_ord, s start_at, s + length(text) end_at FROM offsets"""))
+SELECT video_id, frame_idx, box_ord, s start_at, (s + length(text))::INT end_at FROM offsets"""))
 def composite_offsets(spark: SparkSession, d: str) -> DataFrame:
     return oc.box_offsets(ad.boxes(spark, d)).select(
         *BOX, F.col("start").alias("start_at"), F.col("end").alias("end_at")
@@ -307,7 +307,7 @@ SELECT {key}, '{rule[0]}' rule_id, {i} rule_ord, p.k hit_no, m[p.k] hit,
    + coalesce(list_sum(list_transform(m[1:p.k-1], lambda v: length(v))), 0))::INT s
 FROM (SELECT {key}, regexp_extract_all(t, '{pattern}') m, string_split_regex(t, '{pattern}') g
       FROM (SELECT {key}, {oracle_text(text, rule)} t FROM {table})), LATERAL (SELECT unnest(range(1, len(m) + 1)) k) p""")
-    return "SELECT *, s + length(hit) e FROM (" + " UNION ALL ".join(parts) + (
+    return "SELECT *, (s + length(hit))::INT e FROM (" + " UNION ALL ".join(parts) + (
         ") WHERE rule_id <> 'ipv4_address' OR hit NOT IN ('127.0.0.1', '0.0.0.0', '255.255.255.255')"
     )
 
@@ -444,7 +444,7 @@ def classify_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("rule_sample_test", r"""
-SELECT item_id, len(m) match_count, array_to_string(m, '|') matches
+SELECT item_id, len(m)::INT match_count, array_to_string(m, '|') matches
 FROM (SELECT item_id, regexp_extract_all(text, '\b([A-Z])[a-z]+', 1) m FROM benchmark)""")
 def rule_sample_test(spark: SparkSession, d: str) -> DataFrame:
     tested = oc.rule_sample_test(ad.table(spark, d, "benchmark"), "text", r"\b([A-Z])[a-z]+")

@@ -594,7 +594,7 @@ def merge_tracks(spark: SparkSession, d: str) -> DataFrame:
     jobs = running(
         linked(spark, d), ["event_id"], ORDER, chunk_by("time_ms", WEEK), prior={"a": F.struct("time_ms", *"xywh")}
     ).filter("a IS NOT NULL").withColumn("job_ord", F.col("cand_ord"))
-    half = lambda c: F.floor((F.col(f"a.{c}") + F.col(c)) / 2).alias(c)
+    half = lambda c: F.floor((F.col(f"a.{c}") + F.col(c)) / 2).cast("long" if c == "time_ms" else "int").alias(c)
     base = ["event_id", "job_ord"]
     start = jobs.select(*base, "a.*")
     middle = jobs.filter("pii_type <> 'view'").select(*base, half("time_ms"), *[half(c) for c in "xywh"])

@@ -36,7 +36,7 @@ pv AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY {key} ORDER BY s), 0) prev F
 pc AS (SELECT {key}, count(*) n_spans, max(e) fin, string_agg(substring(t.{text}, (prev + 1)::INT, (s - prev)::INT)
          || (SELECT {piece} FROM (SELECT substring(t.{text}, (s + 1)::INT, (e - s)::INT) p)), '' ORDER BY s) body
        FROM pv JOIN {table} t USING ({key}) GROUP BY {key})
-SELECT t.{key}, coalesce(pc.n_spans, 0) n_spans,
+SELECT t.{key}, coalesce(pc.n_spans, 0)::INT n_spans,
   sha256(CASE WHEN pc.body IS NULL THEN t.{text} ELSE pc.body || substring(t.{text}, (fin + 1)::INT) END) redacted_hash
 FROM {table} t LEFT JOIN pc USING ({key})"""
 
@@ -308,7 +308,7 @@ def undo_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("undo_stack", sql("", """
-SELECT project_id, seq, rn undo_rank FROM (
+SELECT project_id, seq, rn::INT undo_rank FROM (
   SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY seq DESC) rn FROM log) WHERE rn <= 50""", _LOG))
 def undo_stack(spark: SparkSession, d: str) -> DataFrame:
     return rv.undo_stack(_log(spark, d)).select("project_id", "seq", "undo_rank")

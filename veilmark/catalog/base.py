@@ -122,7 +122,9 @@ SELECT doc_id, concat('{"streams":[{"codec_type":"audio"},{"codec_type":"video",
 }
 
 
-def link_tables(source: str, with_cuts: bool = False) -> dict[str, str]:
+def link_tables(
+    source: str, with_cuts: bool = False, gap: int = GAP_MS, reach: int = TOLERANCE_PX
+) -> dict[str, str]:
     """The greedy linking rule as recursive SQL; yields `linked` (one row per candidate)."""
     last_cut = (
         "LEFT JOIN LATERAL (SELECT max(cut_ms) last_cut FROM cuts u "
@@ -134,7 +136,7 @@ def link_tables(source: str, with_cuts: bool = False) -> dict[str, str]:
 SELECT c.*, x + w / 2.0::DOUBLE cx, y + h / 2.0::DOUBLE cy, q.last_cut, lag(time_ms) OVER k p
 FROM {source} c {last_cut} WINDOW k AS (PARTITION BY c.video_id, pii_type ORDER BY time_ms, cand_ord)""",
         "li": f"""
-SELECT *, sum(CASE WHEN p IS NULL OR time_ms - p > {GAP_MS} THEN 1 ELSE 0 END)
+SELECT *, sum(CASE WHEN p IS NULL OR time_ms - p > {gap} THEN 1 ELSE 0 END)
   OVER (PARTITION BY video_id, pii_type ORDER BY time_ms, cand_ord) isl FROM lk""",
         "ln": """
 SELECT *, row_number() OVER (PARTITION BY video_id, pii_type, isl ORDER BY time_ms, cand_ord) rn FROM li""",
@@ -150,9 +152,9 @@ SELECT video_id, pii_type, isl, rn, cand_ord,
             ELSE list_concat(list_concat(st[1:m-1],
                  [{{'t0': st[m].t0, 'o0': st[m].o0, 't1': time_ms, 'cx': cx, 'cy': cy}}]), st[m+1:]) END
 FROM (SELECT n.video_id, n.pii_type, n.isl, n.rn, n.cand_ord, n.time_ms, n.cx, n.cy, r.st,
-        list_position(list_transform(r.st, lambda e: n.time_ms - e.t1 <= {GAP_MS}
+        list_position(list_transform(r.st, lambda e: n.time_ms - e.t1 <= {gap}
           AND NOT coalesce(n.last_cut > e.t1, false)
-          AND sqrt((n.cx - e.cx) * (n.cx - e.cx) + (n.cy - e.cy) * (n.cy - e.cy)) <= {TOLERANCE_PX}), true) m
+          AND sqrt((n.cx - e.cx) * (n.cx - e.cx) + (n.cy - e.cy) * (n.cy - e.cy)) <= {reach}), true) m
       FROM lr r JOIN ln n ON n.video_id = r.video_id AND n.pii_type = r.pii_type AND n.isl = r.isl
                          AND n.rn = r.rn + 1)""",
         "linked": """

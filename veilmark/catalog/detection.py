@@ -343,6 +343,28 @@ def recogniser_counts(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("entity_type").agg(F.count("*").alias("n"))
 
 
+def _load_names():
+    """A stand-in analyzer: capitalised words are persons."""
+    import re
+
+    word = re.compile(r"\b[A-Z][a-z]{3,}\b", re.ASCII)
+    return lambda text: [("PERSON", m.start(), m.end(), 0.6) for m in word.finditer(text)]
+
+
+@query("plugin_analyzer", sql("composites", r"""
+SELECT video_id, frame_idx, count(*) n, sum(s)::BIGINT start_sum, sum(length(hit))::BIGINT length_sum FROM (
+  SELECT video_id, frame_idx, p.k, m[p.k] hit, list_sum(list_transform(g[1:p.k], lambda v: length(v)))
+    + coalesce(list_sum(list_transform(m[1:p.k - 1], lambda v: length(v))), 0) s
+  FROM (SELECT video_id, frame_idx, regexp_extract_all(composite, '\b[A-Z][a-z]{3,}\b') m,
+          string_split_regex(composite, '\b[A-Z][a-z]{3,}\b') g FROM composites),
+    LATERAL (SELECT unnest(range(1, len(m) + 1)) k) p) GROUP BY ALL"""))
+def plugin_analyzer(spark: SparkSession, d: str) -> DataFrame:
+    found = oc.plugin_spans(oc.composite_text(ad.boxes(spark, d)), _load_names)
+    return found.groupBy(*oc.FRAME).agg(
+        F.count("*").alias("n"), F.sum("start").alias("start_sum"), F.sum(F.col("end") - F.col("start")).alias("length_sum")
+    )
+
+
 # ---- regex and label rules -------------------------------------------------------------------
 
 def oracle_candidates(table: str) -> str:

@@ -4,13 +4,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmark.catalog.base import GAP_MS, LINKED, SUMMARY, TABLES, TOLERANCE_PX, link_tables, query, sql
-from veilmark.catalog.detection import _DIST, dense_hists
+from veilmark.catalog.detection import _DIST, dense_hists, oracle_candidates
 from veilmark.functions import geometry as geo
 from veilmark.operators import link as ol
 from veilmark.operators import regions as rg
 from veilmark.operators import tracks as tk
 from veilmark.plans.ordered import chunk_by, latest_before, running
 from veilmark.sources import adapters as ad
+from veilmark.sources.rules import builtin_rules
 
 ORDER = ["time_ms", "cand_ord"]
 # One frame per 1000 s suits a log whose rows are hours apart.
@@ -138,6 +139,22 @@ def append_events(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("full_scan", sql("boxes", """
+SELECT video_id, pii_type, min(time_ms) start_ms, max(time_ms) end_ms, max(confidence) confidence, count(*) n_keyframes,
+  arg_min(text, (time_ms, cand_ord)) extracted_text, max(w) env_w FROM linked GROUP BY video_id, pii_type, event_id""", {
+    "hits": oracle_candidates("(SELECT * FROM boxes WHERE confidence >= 0.25 AND length(text) > 0)"),
+    "found": """SELECT video_id, pii_type, time_ms, confidence, x, y, w, h, text, frame_idx::BIGINT * 16777216
+  + row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY rule_ord, box_ord, hit_no) cand_ord FROM hits""",
+    **link_tables("found", gap=20_000, reach=80)}))
+def full_scan(spark: SparkSession, d: str) -> DataFrame:
+    from veilmark.plans.scan import full_scan as plan
+
+    rules = [r for r in builtin_rules() if r["type"] == "regex"]
+    return plan(ad.boxes(spark, d), rules, gap_ms=20_000, chunk_ms=100_000).select(
+        *ol.KIND, "start_ms", "end_ms", "confidence", "n_keyframes", "extracted_text", "env_w"
+    )
+
+
 # ---- boundary frames -------------------------------------------------------------------------
 
 @query("boundary_frames", sql("summary", f"""
@@ -431,6 +448,19 @@ def keyframe_pairs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("close_unions", sql("linked", """
+SELECT event_id, time_ms, x + 80 + 15 >= px AND px + 80 + 15 >= x AND y + 20 + 15 >= py AND py + 20 + 15 >= y close,
+  least(x, px) x, least(y, py) y, greatest(x, px) + 80 - least(x, px) w, greatest(y, py) + 20 - least(y, py) h
+FROM (SELECT *, lag(x) OVER k px, lag(y) OVER k py FROM linked
+      WINDOW k AS (PARTITION BY event_id ORDER BY time_ms, cand_ord)) WHERE px IS NOT NULL"""))
+def close_unions(spark: SparkSession, d: str) -> DataFrame:
+    pairs = rg.keyframe_pairs(linked(spark, d), F.lit(FPS), ORDER, WEEK)
+    a, b = F.col("a"), F.col("b")
+    return pairs.select(
+        "event_id", F.col("b.time_ms").alias("time_ms"), rg.rects_close(a, b).alias("close"), geo.box_union(a, b).alias("u")
+    ).select("event_id", "time_ms", "close", "u.*")
+
+
 @query("envelopes", sql("linked", """
 SELECT event_id, max(w) + 2 * trunc(max(w) * 0.2::DOUBLE)::INT env_w, max(h) + 2 * trunc(max(h) * 0.2::DOUBLE)::INT env_h
 FROM linked GROUP BY ALL"""))

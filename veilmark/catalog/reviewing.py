@@ -8,6 +8,7 @@ from veilmark.catalog.detection import (
     _HITS, REGEX_RULES, document_hits, oracle_hits, oracle_spans,
 )
 from veilmark.functions import text as tx
+from veilmark.functions.clock import age_seconds, iso_utc
 from veilmark.operators import jobs as oj
 from veilmark.operators import redact as rd
 from veilmark.operators import review as rv
@@ -272,6 +273,16 @@ def split_event(spark: SparkSession, d: str) -> DataFrame:
     return rv.split_event(ad.review(spark, d), F.col("start_ms") + 700).select(*KEY, "part", "start_ms", "end_ms")
 
 
+@query("split_keyframes", sql("review", """
+SELECT project_id, event_id, CASE WHEN start_ms + 700 < end_ms THEN CASE WHEN t <= start_ms + 700 THEN 1 ELSE 2 END ELSE 0 END part, t time_ms
+FROM (SELECT *, unnest(generate_series(start_ms, end_ms, 500)) t FROM review)"""))
+def split_keyframes(spark: SparkSession, d: str) -> DataFrame:
+    events = ad.review(spark, d)
+    kfs = events.select(*KEY, F.explode(F.sequence("start_ms", "end_ms", F.lit(500))).alias("time_ms"))
+    parts = rv.split_event(events, F.col("start_ms") + 700)
+    return rv.split_keyframes(kfs, parts).select(*KEY, "part", "time_ms")
+
+
 # ---- action log ------------------------------------------------------------------------------
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
@@ -612,6 +623,16 @@ def projects_list(spark: SparkSession, d: str) -> DataFrame:
     ).orderBy(F.desc("updated_ms"))
 
 
+@query("export_ages", """
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') started_at, (epoch_us(TIMESTAMP '2000-01-01') - epoch_us(o_orderdate)) // 1000000 age
+FROM orders""")
+def export_ages(spark: SparkSession, d: str) -> DataFrame:
+    at = F.col("o_orderdate").cast("timestamp")
+    return ad.table(spark, d, "orders").select(
+        "o_orderkey", iso_utc(at).alias("started_at"), age_seconds(at, F.to_timestamp(F.lit("2000-01-01"))).alias("age")
+    )
+
+
 @query("latest_export", """
 SELECT o_custkey project_id, arg_max(o_orderkey, (o_orderdate, o_orderkey)) order_id FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL""")
 def latest_export(spark: SparkSession, d: str) -> DataFrame:

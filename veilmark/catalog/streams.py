@@ -8,7 +8,7 @@ from veilmark.catalog.detection import _DIST, _HITS, _PAIRS
 from veilmark.catalog.reviewing import redact_oracle
 from veilmark.catalog.detection import REGEX_RULES, oracle_spans
 from veilmark.operators.redact import redact_text
-from veilmark.plans.session import with_utc
+from veilmark.plans.session import shared_folder, with_utc
 from veilmark.schemas import DEFAULT_THRESHOLD
 from veilmark.sources import adapters as ad
 from veilmark.sources.rules import builtin_rules
@@ -103,6 +103,15 @@ def stream_progress(spark: SparkSession, d: str) -> DataFrame:
     return sl.run_updates(pg.progress_state(events), ["scan_id"])
 
 
+@query("progress_log", f"""
+SELECT user_id::VARCHAR scan_id, event_id seq, {_STAGE} stage FROM events""")
+def progress_log(spark: SparkSession, d: str) -> DataFrame:
+    rows = _stream(spark, d, "events").selectExpr("CAST(user_id AS STRING) scan_id", "event_id seq", f"{_STAGE} stage")
+    path = shared_folder(spark)
+    pg.append_progress(rows, path).awaitTermination()
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 _BATCH_STAGE = """CASE event_type WHEN 'click' THEN 'ocr' WHEN 'view' THEN 'export_progress' WHEN 'purchase' THEN 'scan_done'
   WHEN 'error' THEN 'video_error' ELSE 'video_start' END"""
 

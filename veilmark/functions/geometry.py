@@ -88,6 +88,14 @@ def pad_overlay_box(box: Column, frame_w: Column, frame_h: Column, share: float)
     )
 
 
+def box_union(a: Column, b: Column) -> Column:
+    """Smallest rectangle around two."""
+    x, y = F.least(a["x"], b["x"]), F.least(a["y"], b["y"])
+    return make_box(
+        x, y, F.greatest(a["x"] + a["w"], b["x"] + b["w"]) - x, F.greatest(a["y"] + a["h"], b["y"] + b["h"]) - y
+    )
+
+
 def contains_point(box: Column, px: Column, py: Column) -> Column:
     return (
         (px >= box["x"]) & (px <= box["x"] + box["w"])

@@ -1,7 +1,8 @@
 """From text boxes to candidates: analyzer spans, regex rules and label rules."""
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -177,6 +178,30 @@ def recogniser_spans(texts: DataFrame, text: str, keys: list[str], checked_cards
     return found
 
 
+def plugin_spans(composites: DataFrame, load: Callable) -> DataFrame:
+    """Spans from a pluggable analyzer over the joined text of each frame.
+
+    `load` runs once per task and returns a function from a text to (entity_type, start, end, score)
+    tuples; it may load a model. Texts arrive in Arrow batches.
+    """
+    def analyse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        analyzer = load()
+        for pdf in batches:
+            rows = [
+                (video, frame, *span, i)
+                for video, frame, text in zip(pdf["video_id"], pdf["frame_idx"], pdf["composite"])
+                for i, span in enumerate(analyzer(text))
+            ]
+            yield pd.DataFrame(rows, columns=[
+                "video_id", "frame_idx", "entity_type", "start", "end", "score", "span_ord"
+            ])
+
+    return composites.select(*FRAME, "composite").mapInPandas(
+        analyse,
+        "video_id string, frame_idx int, entity_type string, start int, end int, score double, span_ord int",
+    )
+
+
 # ---- regex rules -----------------------------------------------------------------------------
 
 def _tagged(matches: Column, rule: Mapping) -> Column:

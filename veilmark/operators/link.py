@@ -173,8 +173,11 @@ def _walked(rows: DataFrame, gap_ms: int, tolerance: float, chunk_ms: int) -> Da
     )
 
 
-def _bad_chunks(walked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chunks whose start state differs from the end state before, and the end states moved on."""
+def _checked_chunks(walked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chunks that began with open events, with the verdict on their guess, and the end states moved on.
+
+    A wrong order of events that were open at the start matters only where two of them were in reach.
+    """
     place = [*KIND, "_chunk"]
     ends = walked.filter(F.col("_role") == _END).select(*place, "_ambiguous")
     true_in = (
@@ -190,7 +193,7 @@ def _bad_chunks(walked: DataFrame) -> tuple[DataFrame, DataFrame]:
     same = F.col("guess_pos").isNotNull() & F.col("true_pos").isNotNull() & (
         (F.col("guess_pos") == F.col("true_pos")) | ~F.col("_ambiguous")
     )
-    return compared.filter(~same).select(*place).distinct(), true_in
+    return compared.select(*place, (~same).alias("wrong")), true_in
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,10 +259,11 @@ def link_candidates(
     walked = settle(_walked(rows, gap_ms, float(tolerance_px), chunk_ms))
     place = [*KIND, "_chunk"]
     while True:
-        bad, true_in = _bad_chunks(walked)
-        if bad.isEmpty():
+        checked, true_in = _checked_chunks(walked)
+        n_states, n_wrong = checked.agg(F.count("*"), F.count_if("wrong")).first()
+        if n_wrong == 0:
             break
-        bad = settle(bad)
+        bad = settle(checked.filter("wrong").select(*place).distinct())
         entries = true_in.join(bad, place, "left_semi").withColumn("_role", F.lit(_ENTRY))
         again = walked.filter(F.col("_role") == _OWN).join(bad, place, "left_semi")
         redone = _walked(
@@ -267,7 +271,13 @@ def link_candidates(
         )
         walked = settle(walked.join(bad, place, "left_anti").unionByName(redone))
 
-    links = settle(
+    own = walked.filter(F.col("_role") == _OWN)
+    if n_states == 0:
+        # No event was open at any chunk border.
+        return own.select(*columns, "seed_ms", "seed_ord").withColumn(
+            "event_id", event_key("video_id", "pii_type", "seed_ms", "seed_ord")
+        )
+    links = (
         true_in.select(*KIND, "_chunk", "_pos", *ORDER, "seed_ms", "seed_ord", "_ref")
         .join(
             walked.filter(F.col("_role") == _STATE_IN).select(*place, *ORDER, F.col("_pos").alias("at_start")),
@@ -281,8 +291,8 @@ def link_candidates(
             "video_id string, pii_type string, _chunk long, _ref int, found_ms long, found_ord long",
         )
     )
-    own = walked.filter(F.col("_role") == _OWN)
-    if links.limit(_BROADCAST_ROWS + 1).count() <= _BROADCAST_ROWS:
+    # One row per event open at a chunk border: few, and already counted.
+    if n_states <= _BROADCAST_ROWS:
         links = F.broadcast(links)
     stitched = own.join(links, [*KIND, "_chunk", "_ref"], "left").select(
         *columns,

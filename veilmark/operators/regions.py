@@ -214,7 +214,7 @@ def _unite(rows: dict[str, np.ndarray], gap: int) -> list[tuple[int, int, int, i
 
 
 def _unite_frames(gap: int):
-    """Unite the rectangles of each frame; frames arrive whole and one after the other."""
+    """Unite the rectangles of each patch of a frame; patches arrive whole and one after the other."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -238,9 +238,9 @@ def _unite_frames(gap: int):
         for batch in batches:
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
-            frames = list(zip(held.column("video_id").to_pylist(), held.column("frame_idx").to_pylist()))
+            frames = list(zip(*[held.column(c).to_pylist() for c in ("video_id", "frame_idx", "_rx", "_ry")]))
             bounds = [0] + [i for i in range(1, len(frames)) if frames[i] != frames[i - 1]]
-            # The last frame may go on in the next batch.
+            # The last patch may go on in the next batch.
             if len(bounds) > 1:
                 yield done(held, bounds)
                 held = held.slice(bounds[-1])
@@ -250,14 +250,24 @@ def _unite_frames(gap: int):
     return step
 
 
+def _strips(df: DataFrame, keys: list[str], low: str, high: str, name: str, gap: int) -> DataFrame:
+    """Number the runs of rectangles along one axis that no empty strip wider than the gap divides."""
+    order = Window.partitionBy(*keys).orderBy(low)
+    reached = F.max(high).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = df.withColumn("_new", F.coalesce(F.col(low) > reached + gap, F.lit(False)).cast("int"))
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return opened.withColumn(name, F.sum("_new").over(upto)).drop("_new")
+
+
 def merge_regions(regions: DataFrame, gap: int = MERGE_GAP_PX, rank: str = "event_ord") -> DataFrame:
     """Unite the rectangles of each frame that overlap or nearly touch; the surest event is kept.
 
     Rectangles whose corners share a grid cell of the gap's size are near for certain, so they are
     united by a plain aggregation first. After that a frame holds at most one rectangle per cell,
-    which bounds a frame by its area whatever the number of regions. Frames left with one rectangle
-    are finished; only the others go through Python, in whole Arrow batches. Ties in confidence go to
-    the lower `rank`.
+    which bounds a frame by its area whatever the number of regions. Empty strips wider than the gap
+    then cut the frame into patches that cannot reach each other. Patches of one rectangle are
+    finished; only the others go through Python, in whole Arrow batches. Ties in confidence go to the
+    lower `rank`.
     """
     best = F.max(F.struct("confidence", (-F.col(rank)).alias("r"), "event_id"))
     united = regions.groupBy(
@@ -270,11 +280,14 @@ def merge_regions(regions: DataFrame, gap: int = MERGE_GAP_PX, rank: str = "even
         "b.event_id", "members",
     )
     frame = ["video_id", "frame_idx"]
-    counted = united.withColumn("_n", F.count("*").over(Window.partitionBy(*frame)))
+    apart = _strips(_strips(united, frame, "x1", "x2", "_rx", gap), [*frame, "_rx"], "y1", "y2", "_ry", gap)
+    counted = apart.withColumn("_n", F.count("*").over(Window.partitionBy(*frame, "_rx", "_ry")))
     alone = counted.filter("_n = 1").selectExpr(
         *frame, "event_id", "confidence", "members", "x1 x", "y1 y", "x2 - x1 w", "y2 - y1 h"
     )
-    several = counted.filter("_n > 1").select(*frame, "event_id", *_PIECE).sortWithinPartitions(*frame)
+    several = counted.filter("_n > 1").select(
+        *frame, "_rx", "_ry", "event_id", *_PIECE
+    ).sortWithinPartitions(*frame, "_rx", "_ry")
     return alone.unionByName(several.mapInArrow(
         _unite_frames(gap),
         "video_id string, frame_idx int, event_id string, confidence double, members long,"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veilmark.functions.histogram import bhattacharyya, mean_abs_diff
 from veilmark.functions.numeric import frame_to_ms, ms_to_frame
 from veilmark.plans.ordered import chunk_by, ranked, running
+from veilmark.plans.session import settle
 from veilmark.schemas import (
     BOUNDARY_FRAMES, BURST_SAMPLES, MOTION_THRESHOLD, REFINE_BUDGET, REFINE_MINIMUM, SCENE_THRESHOLD,
 )
@@ -245,10 +246,11 @@ def adaptive_sample(
     entries = tables.repartition("video_id").sortWithinPartitions("video_id", "chunk").mapInPandas(
         _chain(0), "video_id string, chunk long, enter_frame long, enter_kind int, enter_burst int"
     )
-    stepped = flagged.join(entries, ["video_id", "chunk"]).groupBy("video_id", "chunk").applyInPandas(
+    # Sampled frames are few and read twice below, so the walk is written once.
+    stepped = settle(flagged.join(entries, ["video_id", "chunk"]).groupBy("video_id", "chunk").applyInPandas(
         _emit(interval, half),
         "video_id string, frame_idx int, prev_frame int, scene boolean, burst int",
-    )
+    ))
     return _with_last_frame(stepped, frames, scene_threshold, motion_threshold, hist, pixels)
 
 

@@ -16,6 +16,18 @@ BATCH_STATUS = {
 }
 
 
+def append_progress(events: DataFrame, path: str, checkpoint: str | None = None):
+    """Append progress rows to a table.
+
+    A stream is started and its query returned; a table is written at once.
+    """
+    if not events.isStreaming:
+        events.write.mode("append").parquet(path)
+        return None
+    writer = events.writeStream.format("parquet").outputMode("append").option("path", path)
+    return writer.option("checkpointLocation", checkpoint or f"{path}_state").trigger(availableNow=True).start()
+
+
 def _newest(value: Column, when: Column) -> Column:
     return F.max_by(value, F.when(when & value.isNotNull(), F.col("seq")))
 

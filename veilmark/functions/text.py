@@ -79,18 +79,16 @@ def hit_spans(text: Column, pattern: str) -> Column:
     clean = F.translate(text, _OPEN + _CLOSE, "  ")
     pieces = F.split(F.regexp_replace(clean, pattern, f"{_OPEN}$0{_CLOSE}"), _OPEN)
     empty = F.array().cast("array<struct<start:int,end:int>>")
-    walked = F.aggregate(
-        F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
-        F.struct(F.length(F.element_at(pieces, 1)).alias("at"), empty.alias("spans")),
-        lambda acc, piece: F.struct(
-            (acc["at"] + F.length(piece) - 1).alias("at"),
-            F.concat(
-                acc["spans"],
-                F.array(F.struct(
-                    acc["at"].alias("start"),
-                    (acc["at"] + F.instr(piece, _CLOSE) - 1).alias("end"),
-                )),
-            ).alias("spans"),
-        ),
-    )["spans"]
+
+    def advance(acc: Column, piece: Column) -> Column:
+        # The first piece lies before any match; every other one starts with a match.
+        first = acc["at"] < 0
+        span = F.struct(acc["at"].alias("start"), (acc["at"] + F.instr(piece, _CLOSE) - 1).alias("end"))
+        return F.struct(
+            F.when(first, F.length(piece)).otherwise(acc["at"] + F.length(piece) - 1).alias("at"),
+            F.when(first, acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span))).alias("spans"),
+        )
+
+    start = F.struct(F.lit(-1).alias("at"), empty.alias("spans"))
+    walked = F.aggregate(pieces, start, advance, lambda acc: acc["spans"])
     return F.filter(walked, lambda s: s["end"] > s["start"])

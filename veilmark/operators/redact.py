@@ -74,21 +74,26 @@ def token(piece: Column, salt: str, size: int = 12) -> Column:
 
 def replace_spans(text: Column, spans: Column, style) -> Column:
     """Rebuild the text with every span of an ordered, disjoint list replaced by `style(piece)`."""
-    body = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
+    def put(acc: Column, s: Column) -> Column:
+        return F.struct(
             s["end"].alias("at"),
             F.concat(
                 acc["out"],
                 F.substring(text, acc["at"] + 1, s["start"] - acc["at"]),
                 style(F.substring(text, s["start"] + 1, s["end"] - s["start"])),
             ).alias("out"),
-        ),
-    )
-    return F.when(F.size(spans) == 0, text).otherwise(
-        F.concat(body["out"], F.substring(text, body["at"] + 1, F.length(text)))
+        )
+
+    return _rebuilt(text, spans, put)
+
+
+def _rebuilt(text: Column, spans: Column, put) -> Column:
+    """Fold the spans over the text and append what is left after the last one."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    done = F.aggregate(
+        spans, start, put, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
     )
+    return F.when(F.size(spans) == 0, text).otherwise(done)
 
 
 def style_of(kind: str, strength: int = 15, salt: str = ""):
@@ -146,21 +151,17 @@ def redact_by_events(
     )
     body = F.col(text)
     joined = documents.join(gathered, keys, "left").withColumn("_u", F.coalesce(united, F.array().cast(styled)))
-    rebuilt = F.aggregate(
-        "_u", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
+
+    def put(acc: Column, s: Column) -> Column:
+        return F.struct(
             s["end"].alias("at"),
             F.concat(
                 acc["out"], F.substring(body, acc["at"] + 1, s["start"] - acc["at"]),
                 _styled(F.substring(body, s["start"] + 1, s["end"] - s["start"]), s["style"], salt),
             ).alias("out"),
-        ),
-    )
-    return joined.withColumn(
-        out, F.when(F.size("_u") == 0, body).otherwise(
-            F.concat(rebuilt["out"], F.substring(body, rebuilt["at"] + 1, F.length(body)))
         )
-    ).withColumn("n_spans", F.size("_u")).drop("_s", "_u")
+
+    return joined.withColumn(out, _rebuilt(body, F.col("_u"), put)).withColumn("n_spans", F.size("_u")).drop("_s", "_u")
 
 
 def _styled(piece: Column, style: Column, salt: str) -> Column:

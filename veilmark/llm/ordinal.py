@@ -15,41 +15,57 @@ from veilmark.llm import words as W
 
 # ---- fixed values: grades of the review statuses ---------------------------------------------
 GRADES = {"rejected": 0, "pending": 1, "accepted": 2}
-DIMENSIONS = 1 << 18
+DIMENSIONS = 1 << 22
 SAMPLE_PER_GRADE = 6000
-EPOCHS = 8
-RATE = 0.3
-DECAY = 1e-5
+MIN_TEXTS = 8
+MIN_SIGMAS = 5.0
+MIN_RATIO = 1.0
+MIN_TAIL = 0.85
+SHINGLE_WORDS = 5
+ROUNDS = 300
+PENALTY = 1e-6
+
+
+_PLACES = np.random.default_rng(31).integers(1, 1 << 62, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_KINDS = np.zeros(256, np.uint64)
+_KINDS[65:91], _KINDS[97:123], _KINDS[48:58], _KINDS[128:] = 1, 2, 3, 4
+
+
+def _ends(data: np.ndarray, first: np.ndarray, size: np.ndarray, chars: int, backward: bool) -> np.ndarray:
+    """Hash of the first or last bytes of each word, A-Z as a-z forward and as they are backward."""
+    out = np.zeros(len(first), np.uint64)
+    for k in range(chars):
+        at = np.clip(first + (size - 1 - k if backward else k), 0, len(data) - 1)
+        byte = data[at] if backward else W.LOWER[data[at]]
+        out += np.where(size > k, byte.astype(np.uint64) + np.uint64(1), np.uint64(0)) * _PLACES[k]
+    return W.mix(out + np.uint64(chars + 100 * backward))
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed features of each text as (index, value, bounds).
 
-    Present words count once each. Endings of three bytes, and the case of a word's ends with its length class,
-    count by their share of the words.
+    Words and their first 4 to 6 bytes count once each where present, as do classes of the share of distinct words
+    and of words that repeat the one before. Endings of three bytes, and the letter case
+    at a word's ends with its length class, count by their share of the words.
     """
     data, offsets = W.utf8(column)
     value, first, end, bounds = W.words(data, offsets)
     top = np.uint64(DIMENSIONS - 1)
-    last = len(data) - 1
     if len(value):
         size = end - first
-        tail = np.zeros(len(value), np.uint64)
-        for k in (3, 2, 1):
-            at = np.clip(end - k, 0, last)
-            tail = tail * np.uint64(257) + np.where(size >= k, data[at].astype(np.uint64) + np.uint64(1), np.uint64(0))
-        kinds = np.zeros(256, np.uint64)
-        kinds[65:91], kinds[97:123], kinds[48:58], kinds[128:] = 1, 2, 3, 4
-        shape = kinds[data[first]] * np.uint64(5) + kinds[data[end - 1]]
-        shape = shape * np.uint64(5) + kinds[data[np.clip(first + 1, 0, last)]]
-        shape = shape * np.uint64(8) + np.minimum(size, 31).astype(np.uint64) // np.uint64(4)
+        tail = _ends(data, first, size, 3, True) & top
+        shape = _KINDS[data[first]] * np.uint64(5) + _KINDS[data[end - 1]]
+        shape = shape * np.uint64(5) + _KINDS[data[np.clip(first + 1, 0, len(data) - 1)]]
+        shape = W.mix(shape * np.uint64(8) + np.minimum(size, 31).astype(np.uint64) // np.uint64(4) + np.uint64(1 << 50)) & top
+        there = [value & top, *[_ends(data, first, size, k, False) & top for k in (4, 5, 6)]]
     index, weight, ends = [], [], [0]
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         if b > a:
-            present = np.unique(value[a:b] & top)
-            rest, times = np.unique(np.concatenate([
-                W.mix(tail[a:b] + np.uint64(1 << 40)) & top, W.mix(shape[a:b] + np.uint64(1 << 50)) & top,
-            ]), return_counts=True)
+            fresh = len(np.unique(value[a:b])) / (b - a)
+            again = (value[a + 1 : b] == value[a : b - 1]).mean() if b - a > 1 else 0.0
+            habits = [1000 + int(20 * fresh) + 100 * min(5, (b - a).bit_length() // 2), 2000 + int(20 * again)]
+            present = np.unique(np.concatenate([*[x[a:b] for x in there], W.mix(np.array(habits, np.uint64)) & top]))
+            rest, times = np.unique(np.concatenate([tail[a:b], shape[a:b]]), return_counts=True)
             index += [present, rest]
             weight += [np.full(len(present), 1.0), 4.0 * times / (b - a)]
             ends.append(ends[-1] + len(present) + len(rest))
@@ -71,41 +87,66 @@ def tails(score: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(score[:, None] - thresholds[None, :], -60, 60)))
 
 
+def _contrast(place: np.ndarray, owner: np.ndarray, grades: np.ndarray, times: np.ndarray, levels: int) -> np.ndarray:
+    """How much more frequent each feature is below some threshold than above: its largest log ratio of shares.
+
+    0 where no difference reaches MIN_SIGMAS, so that words of single texts or of all texts play no part.
+    """
+    n, out = len(grades), np.zeros(len(times))
+    for k in range(1, levels):
+        above = int((grades >= k).sum())
+        if 0 < above < n:
+            high = np.bincount(place, (grades >= k)[owner].astype(float), len(times))
+            low, below = times - high, n - above
+            spread = np.sqrt(np.maximum(times * (1 - times / n) / n, 1e-12) * (1 / above + 1 / below))
+            ratio = np.log((low + 0.5) / (below + 1)) - np.log((high + 0.5) / (above + 1))
+            out = np.maximum(out, np.where(low / below - high / above >= MIN_SIGMAS * spread, ratio, 0.0))
+    return out
+
+
 def fit(texts: pa.Array, grades: np.ndarray, share: np.ndarray, levels: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds by adaptive gradient steps on the cumulative-link likelihood.
+    """Weights and ordered thresholds by accelerated gradient steps on the penalised cumulative-link likelihood.
 
     share: the weight of each row. Thresholds are a first one and positive steps, so that they stay ordered.
+    Features are scaled by how well they mark lower grades; those that fewer than MIN_TEXTS of the texts have, or
+    that mark none, keep the weight 0. No weight is above 0: a text is held good until something speaks against
+    it, so that short texts, which have few features, are not graded down.
     """
     index, value, ends = features(texts)
-    weights, squares = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-3)
-    cuts, cut_squares = np.concatenate([[-1.0], np.zeros(levels - 2)]), np.full(levels - 1, 1e-3)
-    order = np.random.default_rng(5)
-    for _ in range(EPOCHS):
-        for rows in np.array_split(order.permutation(len(grades)), max(1, len(grades) // 64)):
-            sizes = ends[rows + 1] - ends[rows]
-            at = np.repeat(ends[rows] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-            i, v, doc = index[at], value[at], np.repeat(np.arange(len(rows)), sizes)
-            score = np.bincount(doc, weights[i] * v, len(rows))
-            steps = np.exp(cuts[1:])
-            thresholds = cuts[0] + np.concatenate([[0.0], np.cumsum(steps)])
-            tail = np.hstack([np.ones((len(rows), 1)), tails(score, thresholds), np.zeros((len(rows), 1))])
-            g = grades[rows]
-            upper, lower = tail[np.arange(len(rows)), g], tail[np.arange(len(rows)), g + 1]
-            chance = np.maximum(upper - lower, 1e-9)
-            d_up, d_low = upper * (1 - upper), lower * (1 - lower)
-            w = share[rows] / len(rows)
-            slope = w * (d_up - d_low) / chance
-            d_theta = np.zeros(levels + 1)
-            np.add.at(d_theta, g, -w * d_up / chance)
-            np.add.at(d_theta, g + 1, w * d_low / chance)
-            d_theta = d_theta[1:levels]
-            gradient = np.bincount(i, slope[doc] * v, DIMENSIONS) - DECAY * weights
-            squares += gradient**2
-            weights += RATE * gradient / np.sqrt(squares)
-            d_cuts = np.concatenate([[d_theta.sum()], [s * d_theta[k + 1 :].sum() for k, s in enumerate(steps)]])
-            cut_squares += d_cuts**2
-            cuts += RATE * d_cuts / np.sqrt(cut_squares)
-    return weights, cuts[0] + np.concatenate([[0.0], np.cumsum(np.exp(cuts[1:]))])
+    owner = np.repeat(np.arange(len(grades)), np.diff(ends))
+    used, place, times = np.unique(index, return_inverse=True, return_counts=True)
+    scale = np.where(times >= MIN_TEXTS, _contrast(place, owner, grades, times, levels), 0.0)
+    common = scale >= MIN_RATIO
+    kept, used, scale = common[place], used[common], scale[common]
+    index, owner = (np.cumsum(common) - 1)[place[kept]], owner[kept]
+    value = value[kept] * scale[index]
+    n, width, rows = len(grades), len(used), np.arange(len(grades))
+    share = share / share.sum()
+
+    def slopes(weights: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        steps = np.exp(cuts[1:])
+        thresholds = cuts[0] + np.concatenate([[0.0], np.cumsum(steps)])
+        score = np.bincount(owner, weights[index] * value, n)
+        tail = np.hstack([np.ones((n, 1)), tails(score, thresholds), np.zeros((n, 1))])
+        upper, lower = tail[rows, grades], tail[rows, grades + 1]
+        chance = np.maximum(upper - lower, 1e-9)
+        up, low = share * upper * (1 - upper) / chance, share * lower * (1 - lower) / chance
+        theta = (np.bincount(grades + 1, low, levels + 1) - np.bincount(grades, up, levels + 1))[1:levels]
+        by_cut = np.concatenate([[theta.sum()], [s * theta[k + 1 :].sum() for k, s in enumerate(steps)]])
+        return np.bincount(index, (up - low)[owner] * value, width) - PENALTY * weights, by_cut
+
+    reach = np.bincount(owner, value, n)
+    step = 1.0 / (0.5 * np.bincount(index, (share * reach)[owner] * value, width) + PENALTY)  # bounds the curvature
+    weights, cuts = np.zeros(width), np.concatenate([[-1.0], np.zeros(levels - 2)])
+    ahead_w, ahead_c = weights, cuts
+    for k in range(ROUNDS):
+        d_weights, d_cuts = slopes(ahead_w, ahead_c)
+        new_w, new_c = np.minimum(ahead_w + step * d_weights, 0.0), ahead_c + 2.0 * d_cuts
+        ahead_w, ahead_c = new_w + k / (k + 3) * (new_w - weights), new_c + k / (k + 3) * (new_c - cuts) * 0.5
+        weights, cuts = new_w, new_c
+    whole = np.zeros(DIMENSIONS, np.float32)
+    whole[used] = weights * scale
+    return whole, cuts[0] + np.concatenate([[0.0], np.cumsum(np.exp(cuts[1:]))])
 
 
 def fit_ratings(
@@ -113,7 +154,8 @@ def fit_ratings(
 ) -> tuple[np.ndarray, np.ndarray] | None:
     """Fit on reviewed findings, at most `per_grade` of each status, chosen by a hash of event_id.
 
-    The sample is weighted back to the shares that the statuses have in all reviews. Several reviews of a finding
+    Of copies in the sample, told by their lowest shingle hash, one is kept. The rest is weighted back to the shares
+    that the statuses have in all reviews. Several reviews of a finding
     count as the lowest one. None if there is no usable review. One task fits the bounded sample.
     """
     grade = F.create_map(*[F.lit(x) for pair in GRADES.items() for x in pair])[F.col("status")]
@@ -137,11 +179,13 @@ def fit_ratings(
         table = pa.Table.from_batches(list(batches), schema=sample_schema)
         if table.num_rows:
             table = table.sort_by([("event_id", "ascending"), ("extracted_text", "ascending")]).combine_chunks()
+            lowest = [int(x[0]) if len(x) else 0 for x in W.shingle_sets(table["extracted_text"].combine_chunks(), SHINGLE_WORDS)]
+            table = table.take(np.unique(np.array(lowest, np.uint64), return_index=True)[1])  # a copied text counts once
             g = table["grade"].to_numpy().astype(np.int64)
             w = np.array([share[x] for x in g.tolist()])
             weights, thresholds = fit(table["extracted_text"].combine_chunks(), g, w / w.mean())
             yield pa.record_batch({
-                "weights": pa.array([weights.astype("<f8").tobytes()]),
+                "weights": pa.array([weights.astype("<f4").tobytes()]),
                 "thresholds": pa.array([thresholds.tolist()]),
             })
 
@@ -152,11 +196,11 @@ def fit_ratings(
         ("extracted_text", pa.string()), ("grade", pa.int32()),
     ])
     row = sample.repartition(1).mapInArrow(train, "weights binary, thresholds array<double>").first()
-    return (np.frombuffer(row[0], "<f8"), np.array(row[1])) if row else None
+    return (np.frombuffer(row[0], "<f4"), np.array(row[1])) if row else None
 
 
 def rate_findings(
-    findings: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, min_tail: float = 0.5
+    findings: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, min_tail: float = MIN_TAIL
 ) -> DataFrame:
     """Add expected_grade, tail_probability (of the highest grade) and selected to every finding.
 
@@ -168,13 +212,12 @@ def rate_findings(
     base = findings.select(*[F.col(f"`{c}`") for c in findings.columns if c not in added])
     schema = T.StructType([*base.schema.fields, T.StructField("expected_grade", T.DoubleType()),
                            T.StructField("tail_probability", T.DoubleType()), T.StructField("selected", T.BooleanType())])
-    shared = base.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS doubles: 2 MB
+    shared = base.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS floats: 16 MB, nearly all 0
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in W.slices(whole, "extracted_text"):
                 text = batch.column("extracted_text")
-                _, offsets = W.utf8(text)
                 if shared.value is None:
                     tail = np.ones((batch.num_rows, 2))
                 else:

@@ -16,8 +16,8 @@ _BYTE_VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=n
 _PLACES = np.random.default_rng(977).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -90,7 +90,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         powers[0] = 1
         np.cumprod(powers, out=powers)
         sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(_BYTE_VALUES[_LOWER[data[a:b]]] * powers[:-1], out=sums[1:])
+        np.cumsum(_BYTE_VALUES[LOWER[data[a:b]]] * powers[:-1], out=sums[1:])
         powers[:] = _INVERSE
         powers[0] = 1
         np.cumprod(powers, out=powers)
@@ -119,8 +119,8 @@ def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
         if b - a >= size:
             out.append(np.unique(rolled[a : b - size + 1]))
         elif b > a:
-            short = (value[a:b] * _PLACES[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a) * _PLACES[63]
-            out.append(mix(np.array([short], np.uint64)))
+            short = (value[a:b] * _PLACES[: b - a]).sum(dtype=np.uint64, keepdims=True) + _PLACES[59 + b - a : 60 + b - a]
+            out.append(mix(short))
         else:
             out.append(np.zeros(0, np.uint64))
     return out

@@ -20,7 +20,7 @@ SAMPLE_PER_GRADE = 6000
 MIN_TEXTS = 8
 MIN_SIGMAS = 5.0
 MIN_RATIO = 1.0
-MIN_TAIL = 0.85
+MIN_TAIL = 0.5
 SHINGLE_WORDS = 5
 ROUNDS = 300
 PENALTY = 1e-6

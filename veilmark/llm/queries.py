@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm import archive, language, ordinal, url_filter
+from veilmark.llm import archive, language, ordinal, shingle_join, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.archive_reports(reports).select(
         F.col("project_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@query("op7_ngram_jaccard_join", r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: hash(array_to_string(ws[i:i + 4], ' '))))
+    WHEN len(ws) > 0 THEN [hash(array_to_string(ws, ' '))] ELSE [] END sh FROM w),
+e AS (SELECT doc_id, len(sh) n, unnest(sh) h FROM s),
+l AS (SELECT a.doc_id a, b.doc_id b FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id node, doc_id reached FROM documents
+    UNION SELECT r.node, x.t FROM r JOIN (SELECT a f, b t FROM l UNION ALL SELECT b, a FROM l) x ON x.f = r.reached)
+SELECT s.doc_id, len(sh)::BIGINT n_shingles, (SELECT min(reached) FROM r WHERE r.node = s.doc_id) component_id FROM s""")
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("frame_idx"), F.col("text").alias("composite"))
+    return shingle_join.similar_frames(frames).withColumnRenamed("frame_idx", "doc_id")

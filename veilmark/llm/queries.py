@@ -2,10 +2,11 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm import archive, language, ordinal, shingle_join, url_filter
+from veilmark.llm import archive, language, ordinal, packing, shingle_join, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,5 +111,27 @@ r AS (SELECT doc_id node, doc_id reached FROM documents
     UNION SELECT r.node, x.t FROM r JOIN (SELECT a f, b t FROM l UNION ALL SELECT b, a FROM l) x ON x.f = r.reached)
 SELECT s.doc_id, len(sh)::BIGINT n_shingles, (SELECT min(reached) FROM r WHERE r.node = s.doc_id) component_id FROM s""")
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("frame_idx"), F.col("text").alias("composite"))
+    frames = frame_texts(table(spark, sf_dir, "documents"))
     return shingle_join.similar_frames(frames).withColumnRenamed("frame_idx", "doc_id")
+
+
+def frame_texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").alias("frame_idx"), F.col("text").alias("composite"))
+
+
+@query("op5_token_files")
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = frame_texts(table(spark, sf_dir, "documents"))
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return token_files.tokenised_frames(frames, vocabulary, "words", 1).withColumnRenamed("frame_idx", "doc_id")
+
+
+def pack(docs: DataFrame) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    packed = packing.pack_frames(frame_texts(docs), vocabulary, "bytes", 0)
+    return packed.withColumnsRenamed({"frame_idx": "doc_id", "frame_tokens": "doc_tokens"})
+
+
+@query("op6_packing")
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm import archive, language, ordinal, packing, shingle_join, token_files, url_filter
+from veilmark.llm import archive, language, lattice_dedup, ordinal, packing, pivot_search, shingle_join, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,3 +135,31 @@ def pack(docs: DataFrame) -> DataFrame:
 @query("op6_packing")
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
+
+
+def frame_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_idx"), F.col("embedding").alias("hist"))
+
+
+@query("op1_exact_top_k", r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) z FROM embeddings
+    WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+p AS (SELECT q.vec_id query_id, c.vec_id, list_sum(list_transform(list_zip(q.z, c.z), lambda t: t[1] * t[2]))::BIGINT score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT "rank", vec_id, score FROM p
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""")
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = frame_vectors(spark, sf_dir)
+    return pivot_search.nearest_frames(frames, frames.where("frame_idx % 50 = 0")).withColumnRenamed("frame_idx", "vec_id")
+
+
+@query("op2_embedding_near_dedup", r"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] e FROM embeddings WHERE embedding IS NOT NULL
+    AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+l AS (SELECT a.vec_id a, b.vec_id b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id node, vec_id reached FROM embeddings UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reached)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) n_links, (SELECT min(reached) FROM r WHERE node = vec_id) component_id,
+       vec_id = (SELECT min(reached) FROM r WHERE node = vec_id) kept FROM embeddings""")
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.near_copies(frame_vectors(spark, sf_dir)).withColumnRenamed("frame_idx", "vec_id")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm import archive, language, lattice_dedup, ordinal, packing, pivot_search, shingle_join, token_files, url_filter
+from veilmark.llm import archive, language, lattice_dedup, ordinal, packing, piece_codec, pivot_search, shingle_join, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -163,3 +163,13 @@ SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) n_links, (SELECT min(
        vec_id = (SELECT min(reached) FROM r WHERE node = vec_id) kept FROM embeddings""")
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_dedup.near_copies(frame_vectors(spark, sf_dir)).withColumnRenamed("frame_idx", "vec_id")
+
+
+@query("op4_sentencepiece")
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and a checksum of the text that decoding gives back."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    decoded = piece_codec.decode_frames(piece_codec.encode_frames(frame_texts(table(spark, sf_dir, "documents")), model), model)
+    return decoded.select(
+        F.col("frame_idx").alias("doc_id"), "n_pieces", "ids_crc32", F.crc32(F.encode("composite", "UTF-8")).alias("text_crc32")
+    )

@@ -3,7 +3,7 @@
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmark.llm import archive, language, lattice_dedup, ordinal, packing, piece_codec, pivot_search, shingle_join, token_files, url_filter
@@ -52,34 +52,47 @@ def review_statuses(labels: DataFrame) -> DataFrame:
     )
 
 
+def carried(docs: DataFrame, ident: str, text: str) -> DataFrame:
+    """doc_id and text under the operator's names, the other columns as one struct, so that no names clash."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*rest).alias("row"), F.col("doc_id").alias(ident), F.col("text").alias(text))
+
+
+def restored(docs: DataFrame, text: str) -> list[Column]:
+    """The columns of docs out of what `carried` made."""
+    return [F.col(text).alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows and columns of docs, rated."""
-    found = docs.withColumns({"event_id": F.col("doc_id"), "extracted_text": F.col("text")})
-    model = ordinal.fit_ratings(
-        found.select("event_id", "extracted_text"), review_statuses(table(spark, sf_dir, "labels"))
-    )
-    return ordinal.rate_findings(found.drop("text"), model).withColumnRenamed("extracted_text", "text").drop("event_id")
+    """All rows of docs, carried and rated."""
+    found = carried(docs, "event_id", "extracted_text")
+    model = ordinal.fit_ratings(found, review_statuses(table(spark, sf_dir, "labels")))
+    return ordinal.rate_findings(found, model)
 
 
 @query("op8_quality_classifier")
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality(spark, docs, sf_dir).select("doc_id", "expected_grade", "tail_probability", "selected")
+    return quality(spark, docs, sf_dir).select(F.col("event_id").alias("doc_id"), "expected_grade", "tail_probability", "selected")
+
+
+def held_out() -> Column:
+    return F.pmod(F.crc32(F.col("frame_idx").cast("string")), F.lit(4)) == 2
 
 
 def languages(docs: DataFrame) -> DataFrame:
-    """All rows and columns of docs with lang_pred, score and narrow; learned from the rows that are not held out."""
-    found = docs.withColumns({"frame_idx": F.col("doc_id"), "composite": F.col("text")})
-    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
-    learned = language.learn_languages(found.where(remainder != 2).select("frame_idx", "composite", "lang"))
-    return language.recognise_languages(found.drop("text"), learned).withColumnRenamed("composite", "text").drop("frame_idx")
+    """All rows of docs, carried, with lang_pred, score and narrow; learned from the rows that are not held out."""
+    found = carried(docs, "frame_idx", "composite")
+    learned = language.learn_languages(found.where(~held_out()).select("frame_idx", "composite", "row.lang"))
+    return language.recognise_languages(found, learned)
 
 
 @query("op9_language_id")
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
-    return languages(docs).select("doc_id", (remainder == 2).alias("held_out"), "lang_pred", "score", "narrow")
+    return languages(docs).select(
+        F.col("frame_idx").alias("doc_id"), held_out().alias("held_out"), "lang_pred", "score", "narrow"
+    )
 
 
 @query("op10_warc", r"""

@@ -13,19 +13,19 @@ ORACLE_SQL = None
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on the labels, selects."""
-    return Q.quality(spark, docs, sf_dir).where("selected").select(*docs.columns)
+    return Q.quality(spark, docs, sf_dir).where("selected").select(*Q.restored(docs, "extracted_text"))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those without a letter or with a narrow margin go."""
-    return Q.languages(docs).where("NOT narrow").select(*docs.columns)
+    return Q.languages(docs).where("NOT narrow").select(*Q.restored(docs, "composite"))
 
 
 def one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest id. Rows without an id stay."""
     groups = shingle_join.similar_frames(Q.frame_texts(docs))
     copies = groups.where("component_id < frame_idx").select(F.col("frame_idx").alias("doc_id")).distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(copies, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

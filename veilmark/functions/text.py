@@ -76,7 +76,7 @@ def hit_spans(text: Column, pattern: str) -> Column:
     The matches are bracketed by two control characters and the text is split at the opening one,
     so positions come from a single running sum over the pieces.
     """
-    clean = F.translate(text, _OPEN + _CLOSE, "  ")
+    clean = F.translate(text, _OPEN + _CLOSE, "\u0003\u0003")  # as little a blank as they are
     pieces = F.split(F.regexp_replace(clean, pattern, f"{_OPEN}$0{_CLOSE}"), _OPEN)
     empty = F.array().cast("array<struct<start:int,end:int>>")
 

@@ -10,7 +10,7 @@ from veilmark.functions import text as tx
 from veilmark.schemas import (
     CONTEXT_CONFIDENCE, CONTEXT_PX, DEFAULT_THRESHOLD, PERSON_MIN_CHARS, PII_TYPES, REGEX_CONFIDENCE,
 )
-from veilmark.sources.rules import NEEDS, active_rules, collect_rules, guard_of, to_java
+from veilmark.sources.rules import active_rules, collect_rules, guard_of, need_of, to_java
 
 # ---- fixed values: entity types that are kept, and what they become --------------------------
 ENTITY_MAP = {
@@ -159,7 +159,7 @@ def recogniser_spans(texts: DataFrame, text: str, keys: list[str], checked_cards
 
     def scored(rule: Mapping) -> Column:
         found = F.when(
-            body.rlike(NEEDS[rule["rule_id"]]), tx.hit_spans(body, tx.SCAN_FLAGS + rule["pattern"])
+            body.rlike(need_of(rule)), tx.hit_spans(body, tx.SCAN_FLAGS + rule["pattern"])
         ).otherwise(no_spans)
         return F.transform(found, lambda s: F.struct(
             F.lit(entity_of[rule["rule_id"]]).alias("entity_type"),
@@ -225,7 +225,7 @@ def regex_candidates(
     none = F.array().cast("array<string>")
     guard, per_rule = guard_of(usable), []
     for rule in usable:
-        need = NEEDS.get(rule["rule_id"])
+        need = need_of(rule)
         matches = tx.hits(body, tx.SCAN_FLAGS + to_java(rule["pattern"]))
         if need is not None:
             matches = F.when(body.rlike(need), matches).otherwise(none)
@@ -352,9 +352,12 @@ def classify(
     if spans is not None:
         found = analyzer_candidates(spans, boxes, threshold, overrides).select(columns).unionByName(found)
     if active_rules(rules, ("context", "field_label")):
+        # A rectangle that has a hit already gets no label value; told in one window, so that texts are matched once.
         found = found.unionByName(
-            label_candidates(boxes, rules, found, threshold, overrides).select(columns)
-        )
+            label_candidates(boxes, rules, None, threshold, overrides).select(columns)
+        ).withColumn("_hits", F.count_if(F.col("source") != "context").over(Window.partitionBy(*FRAME, "bbox"))).filter(
+            (F.col("source") != "context") | (F.col("_hits") == 0)
+        ).drop("_hits")
     if faces is not None:
         found = found.unionByName(faces.select(columns))
     rank = F.element_at(_literal_map(_SOURCE_RANK), F.col("source"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.functions import text as tx
-from veilmark.sources.rules import NEEDS, active_rules, collect_rules, guard_of, to_java
+from veilmark.sources.rules import active_rules, collect_rules, guard_of, need_of, to_java
 
 MASK = "█"
 SPANS = "array<struct<start:int,end:int>>"
@@ -26,7 +26,7 @@ def rule_spans(text: Column, rules: DataFrame | Iterable[dict]) -> Column:
     parts = []
     for rule in usable:
         spans = tx.hit_spans(text, tx.SCAN_FLAGS + to_java(rule["pattern"]))
-        need = NEEDS.get(rule["rule_id"])
+        need = need_of(rule)
         parts.append(spans if need is None else F.when(text.rlike(need), spans).otherwise(none))
     if not parts:
         return none

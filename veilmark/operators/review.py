@@ -21,10 +21,13 @@ def _check(status: str) -> None:
 def set_statuses(events: DataFrame, updates: DataFrame) -> DataFrame:
     """Apply one decision per listed event (project_id, event_id, new_status); unknown ids do nothing.
 
-    Updates with an unknown status are left out; `bad_statuses` lists them.
+    Of several decisions on an event the one with the highest `seq` counts, if updates have that column, else the
+    last in the order of STATUSES. Updates with an unknown status are left out; `bad_statuses` lists them.
     """
+    order = F.array_position(F.array(*[F.lit(s) for s in STATUSES]), F.col("new_status"))
+    turn = F.struct("seq", order) if "seq" in updates.columns else order
     valid = updates.filter(F.col("new_status").isin(STATUSES)).groupBy(*KEY).agg(
-        F.max("new_status").alias("new_status")
+        F.max_by("new_status", turn).alias("new_status")
     )
     return events.join(valid, KEY, "left").withColumns({
         "status": F.coalesce("new_status", "status"), "updated": F.col("new_status").isNotNull(),

@@ -1,6 +1,7 @@
 """Which frames to look at: fixed steps, ranges, changes, bursts and boundaries."""
 
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -180,8 +181,9 @@ def _chain(first_frame: int):
     return follow
 
 
-def _emit(interval: int, half: int):
-    """Samples of one chunk from its true entry state."""
+def _emit(interval: int, half: int, width: int):
+    """Samples of one chunk from its true entry state; a missing frame is passed over as one without a change."""
+    missing = SimpleNamespace(scene_full=False, scene_half=False, motion_full=False, motion_half=False)
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         frames = pdf.sort_values("frame_idx")
@@ -189,12 +191,14 @@ def _emit(interval: int, half: int):
         at = int(frames["enter_frame"].iloc[0])
         kind, burst = int(frames["enter_kind"].iloc[0]), int(frames["enter_burst"].iloc[0])
         out = []
-        while at in rows:
-            row = rows[at]
+        video, stop = frames["video_id"].iloc[0], (int(frames["chunk"].iloc[0]) + 1) * width
+        while at < stop:
+            row = rows.get(at, missing)
             scene, moved = (row.scene_half, row.motion_half) if kind else (row.scene_full, row.motion_full)
             step = half if kind else interval
             burst = _burst_after(burst, scene, moved)
-            out.append((row.video_id, at, at - step if at - step >= 0 else None, bool(scene), burst))
+            if row is not missing:
+                out.append((video, at, at - step if at - step >= 0 else None, bool(scene), burst))
             if burst > 0:
                 at, kind, burst = at + half, 1, burst - 1
             else:
@@ -211,8 +215,9 @@ def adaptive_sample(
 ) -> DataFrame:
     """Sampled frames with the sample before, whether the scene changed, and the burst left.
 
-    `frames` holds every frame of a video, numbered from 0 without holes. The last frame of a video
-    is always sampled.
+    `frames` holds the frames of a video, numbered from 0. A missing frame is not sampled and counts as one
+    without a change, also for the frame that would be compared with it; the steps go on behind it. The last
+    frame of a video is always sampled.
     """
     half = max(1, interval // 2)
     width = max(chunk_frames, interval)
@@ -227,8 +232,9 @@ def adaptive_sample(
     back = Window.partitionBy("video_id", "chunk").orderBy("frame_idx")
 
     def compared(offset: int, name: str) -> list[Column]:
-        scene = bhattacharyya(F.lag("_h", offset).over(back), F.col("_h")) > scene_threshold
-        moved = mean_abs_diff(F.lag("_p", offset).over(back), F.col("_p")) >= motion_threshold
+        known = F.col("frame_idx") - F.lag("frame_idx", offset).over(back) == offset
+        scene = known & (bhattacharyya(F.lag("_h", offset).over(back), F.col("_h")) > scene_threshold)
+        moved = known & (mean_abs_diff(F.lag("_p", offset).over(back), F.col("_p")) >= motion_threshold)
         return [
             F.coalesce(scene, F.lit(False)).alias(f"scene_{name}"),
             F.coalesce(moved, F.lit(False)).alias(f"motion_{name}"),
@@ -238,6 +244,7 @@ def adaptive_sample(
         "video_id", "chunk", "frame_idx", "_home", *compared(interval, "full"), *compared(half, "half")
     ).filter(F.col("_home") == F.col("chunk")).drop("_home")
 
+    flagged = settle(flagged)  # four booleans a frame, read twice below
     tables = flagged.groupBy("video_id", "chunk").applyInPandas(
         _exits(interval, half, width),
         "video_id string, chunk long, enter_frame long, enter_kind int, enter_burst int,"
@@ -248,8 +255,8 @@ def adaptive_sample(
     )
     # Sampled frames are few and read twice below, so the walk is written once.
     stepped = settle(flagged.join(entries, ["video_id", "chunk"]).groupBy("video_id", "chunk").applyInPandas(
-        _emit(interval, half),
-        "video_id string, frame_idx int, prev_frame int, scene boolean, burst int",
+        _emit(interval, half, width),
+        "video_id string, frame_idx long, prev_frame long, scene boolean, burst int",
     ))
     return _with_last_frame(stepped, frames, scene_threshold, motion_threshold, hist, pixels)
 

@@ -4,6 +4,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilmark.schemas import EVENT_SOURCES, PII_TYPES, STATUSES, STYLE_TYPES, TRACKING_METHODS
 
@@ -42,10 +43,13 @@ def effective_presets(presets: DataFrame) -> DataFrame:
 def patch_settings(base: DataFrame, patches: DataFrame, fields: list[str], key: str = "project_id") -> DataFrame:
     """Shallow merge: every given field replaces the stored one, a map as a whole.
 
-    `given` of a patch lists the fields it sets, so a field can be set to null.
+    `given` of a patch lists the fields it sets, so a field can be set to null. Of several patches for a key the
+    one with the highest `seq` counts, if patches have that column, else the greatest row.
     """
-    patch = patches.select(
-        key, "given", *[F.col(f).alias(f"_new_{f}") for f in fields]
+    turn = ["seq"] if "seq" in patches.columns else ["given", *fields]
+    turn = [c for c in turn if not isinstance(patches.schema[c].dataType, T.MapType)]
+    patch = patches.groupBy(key).agg(F.max_by(F.struct("given", *fields), F.struct(*turn)).alias("p")).select(
+        key, "p.given", *[F.col(f"p.{f}").alias(f"_new_{f}") for f in fields]
     )
     given = lambda f: F.coalesce(F.array_contains("given", f), F.lit(False))
     return base.join(patch, key, "left").select(
@@ -86,7 +90,12 @@ def preset_totals(sweep: DataFrame) -> DataFrame:
 
 
 def apply_presets(settings: DataFrame, chosen: DataFrame, presets: DataFrame) -> DataFrame:
-    """Copy the non-null fields of each project's chosen preset (project_id, preset_id) over its settings."""
+    """Copy the non-null fields of each project's chosen preset (project_id, preset_id) over its settings.
+
+    Of several choices for a project the one with the highest `seq` counts, if `chosen` has it, else the greatest id.
+    """
+    turn = F.col("seq") if "seq" in chosen.columns else F.col("preset_id")
+    chosen = chosen.groupBy("project_id").agg(F.max_by("preset_id", turn).alias("preset_id"))
     values = presets.select(
         "preset_id", *[F.col(f"scan_settings.{f}").alias(f"_p_{f}") for f in PRESET_FIELDS]
     )

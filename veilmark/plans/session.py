@@ -14,14 +14,14 @@ def with_utc(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below the checkpoint folder that the cluster names.
 
-    Only where the cluster names none (local tests) is a default set.
+    Only in local mode, where everything runs on one machine, is a default set; a cluster must name a folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        current = spark.sparkContext.getCheckpointDir()
-        root = current or "/tmp/veilmark-checkpoints"
-        if not current:
-            spark.sparkContext.setCheckpointDir(root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "/tmp/veilmark-checkpoints"
+        spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/veilmark/{uuid.uuid4().hex}"
 
 

@@ -3,10 +3,12 @@
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilmark.functions.text import SCAN_FLAGS
 from veilmark.schemas import MAX_PATTERN_CHARS, RULE, RULE_TYPES
 
 # ---- fixed values: built-in rules -----------------------------------------------------------
@@ -53,25 +55,25 @@ BUILTIN = [
      "Flag text adjacent to account-related labels."),
 ]
 
-# A text without this character class cannot match the rule, so the costly pattern is skipped.
-NEEDS = {
-    "phone_us": r"(?U)\d", "ssn": r"(?U)\d", "credit_card": r"(?U)\d", "employee_id_6digit": r"(?U)\d",
-    "ipv4_address": r"(?U)\d", "bank_account_us": r"(?U)\d", "routing_number_aba": r"(?U)\d",
-    "email": "@", "url_credentials": "@",
-}
+# A text without this character class cannot match the pattern, so the costly search is skipped. This holds for
+# the built-in patterns themselves; a rule that only shares an id with one has a pattern of its own and no guard.
+_WITH_AT = ("email", "url_credentials")
+NEEDS = {row[3]: "@" if row[0] in _WITH_AT else r"(?U)\d" for row in BUILTIN if row[2] == "regex"}
+
+
+def need_of(rule: dict) -> str | None:
+    """What every match of the rule's pattern contains, if known."""
+    return NEEDS.get(rule["pattern"])
+
 
 def guard_of(rules: Iterable[dict]) -> str | None:
     """One pattern that every text with a match of any of the rules contains, or None if unknown."""
-    needs = {NEEDS.get(r["rule_id"]) for r in rules}
+    needs = {need_of(r) for r in rules}
     if not needs or None in needs:
         return None
     return "(?U)[" + "".join(sorted(n.removeprefix("(?U)") for n in needs)) + "]"
 
 
-# Rules become expressions of the plan, so their number is bounded.
-MAX_RULES = 2000
-
-
 def make_rule(rule_id: str, pattern: str | None, label: str | None = None, **extra) -> dict:
     """A rule as a dict, with the defaults of the data model."""
     rule = {
@@ -113,8 +115,10 @@ def read_rules(spark: SparkSession, custom_path: str | None = None) -> DataFrame
     )
     if not raw.filter(~F.coalesce(good, F.lit(False))).isEmpty():
         return rules
+    place = Window.orderBy("_file", "_row")  # rule files are small: one task numbers them in file order
+    raw = raw.withColumns({"_file": F.input_file_name(), "_row": F.monotonically_increasing_id()})
     custom = raw.select(
-        (F.monotonically_increasing_id() + len(BUILTIN)).cast("int").alias("rule_ord"),
+        (F.row_number().over(place) + (len(BUILTIN) - 1)).alias("rule_ord"),
         "rule_id", "name", "type",
         F.coalesce("enabled", F.lit(True)).alias("enabled"),
         "pattern", "label",
@@ -127,22 +131,52 @@ def read_rules(spark: SparkSession, custom_path: str | None = None) -> DataFrame
 
 
 def collect_rules(rules: DataFrame | Iterable[dict]) -> list[dict]:
-    """The rule table as dicts in rule order; refuses a table that is no rule table."""
+    """The rule table as dicts in rule order. Patterns become expressions of the plan, exact terms belong in a list table."""
     if not isinstance(rules, DataFrame):
         return list(rules)
-    rows = rules.orderBy("rule_ord").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    return [r.asDict(recursive=True) for r in rows]
+    return [r.asDict(recursive=True) for r in rules.orderBy("rule_ord").collect()]
+
+
+def _group(name: str) -> str:
+    """A group name of letters and digits only."""
+    return name if re.fullmatch("[A-Za-z][A-Za-z0-9]*", name) else "g" + name.encode().hex()
+
+
+def _classes(pattern: str) -> str:
+    """Escape what is literal inside a Python character class but an operator inside a Java one."""
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\":
+            out.append(pattern[at : at + 2])
+            at += 2
+            continue
+        if not inside and c == "[":
+            inside = True
+            lead = re.match(r"\[\^?\]?", pattern[at:]).group()
+            out.append(lead.replace("]", "\\]"))
+            at += len(lead)
+            continue
+        if inside and c == "]":
+            inside = False
+        elif inside and (c == "[" or pattern[at : at + 2] == "&&"):
+            out.append("\\")
+        out.append(c)
+        at += 1
+    return "".join(out)
 
 
 def to_java(pattern: str) -> str:
-    """Spell named groups and the end anchor the way java.util.regex does."""
-    out = re.sub(r"\(\?P<(\w+)>", r"(?<\1>", pattern)
-    out = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", out)
+    """Spell named groups, the end anchor and character classes the way java.util.regex does."""
+    out = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{_group(m[1])}>", _classes(pattern))
+    out = re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\k<{_group(m[1])}>", out)
     return out.replace(r"\Z", r"\z")
 
 
+# A group that repeats without bound and whose body does so at its end or throughout: exponential on near misses.
+_NESTED = re.compile(r"\((?:\?:|\?P?<\w+>)?(?:[^()\\]|\\.)*[*+]\)[*+]|\((?:\?:|\?P?<\w+>)?(?:[^()\\]|\\.)*\{\d+,\}\)[*+]")
+
+
 def pattern_problem(pattern: str | None) -> str | None:
     """Why a pattern must not run, or None."""
     if pattern is None:
@@ -153,6 +187,14 @@ def pattern_problem(pattern: str | None) -> str | None:
         re.compile(pattern)
     except re.error as exc:
         return f"malformed regex: {exc}"
+    if _NESTED.search(pattern):
+        return "nested unbounded repetition"
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        try:
+            session._jvm.java.util.regex.Pattern.compile(SCAN_FLAGS + to_java(pattern))
+        except Py4JJavaError as exc:
+            return f"malformed regex: {str(exc.java_exception.getMessage()).splitlines()[0]}"
     return None
 
 

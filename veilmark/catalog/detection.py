@@ -391,6 +391,19 @@ def regex_rule_hits(spark: SparkSession, d: str) -> DataFrame:
     return flat(found, *oc.FRAME, "time_ms", "box_ord", "hit_no", "rule_id", "pii_type", "confidence", "text")
 
 
+_OWN = [("email", "thin[a-z]*"), ("ssn", "aie[a-z]*"), ("mine", "@[a-z]+")]
+
+
+@query("custom_rule_hits", sql("boxes", " UNION ALL ".join(f"""
+SELECT video_id, frame_idx, box_ord, '{i}' rule_id, unnest(m) text, unnest(range(0, len(m)))::INT hit_no
+FROM (SELECT *, regexp_extract_all(text, '(?i){p}') m FROM boxes)""" for i, p in _OWN)))
+def custom_rule_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Rules of one's own, two of which have the id of a built-in one."""
+    rules = [make_rule(i, p, "custom", rule_ord=k) for k, (i, p) in enumerate(_OWN)]
+    return oc.regex_candidates(ad.boxes(spark, d), rules).select(
+        *oc.FRAME, F.col("first_ord").alias("box_ord"), "rule_id", "text", F.col("second_ord").alias("hit_no"))
+
+
 @query("regex_rule_counts", sql("boxes", """
 SELECT video_id, pii_type, rule_id, count(*) findings FROM hits GROUP BY ALL""", _HITS))
 def regex_rule_counts(spark: SparkSession, d: str) -> DataFrame:

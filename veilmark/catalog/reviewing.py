@@ -19,7 +19,7 @@ from veilmark.sources import adapters as ad
 from veilmark.sources import media, reports
 from veilmark.sources.presets import BUILTIN as PRESETS
 from veilmark.sources.presets import OVERRIDE_TYPES, builtin_presets
-from veilmark.sources.rules import builtin_rules, make_rule
+from veilmark.sources.rules import builtin_rules, make_rule, rule_errors
 
 KEY = ["project_id", "event_id"]
 
@@ -62,6 +62,33 @@ def redact_pixelate(spark: SparkSession, d: str) -> DataFrame:
     return _hashed(rd.redact_text(pages, "html", builtin_rules(), "pixelate", 4), "page_id")
 
 
+@query("redact_custom", redact_oracle(
+    "documents", "doc_id", "text",
+    oracle_spans("documents", "doc_id", "text", [("email", "", "", "aie[a-z]*", "", 0, 0.9, None, "")]).replace(
+        r"regexp_replace(text, '\p{L}', '_', 'g')", "text"), "repeat('█', length(p))"))
+def redact_custom(spark: SparkSession, d: str) -> DataFrame:
+    """A rule of one's own that has the id of a built-in one."""
+    docs = ad.table(spark, d, "documents").select("doc_id", "text")
+    return _hashed(rd.redact_text(docs, "text", [make_rule("email", "aie[a-z]*")]), "doc_id")
+
+
+_PROBLEMS = """SELECT DISTINCT concat(p_brand, ' ', p_size % 6) rule_id, CASE p_size % 6 WHEN 0 THEN concat('[', p_brand)
+  WHEN 1 THEN concat('(', p_brand, '+)+') WHEN 2 THEN repeat(p_brand, 80) WHEN 3 THEN concat('(?P<a_b>', p_brand, ')')
+  WHEN 4 THEN concat('[[', p_brand, ']') ELSE NULL END pattern FROM part"""
+
+
+@query("rule_problems", f"""
+SELECT rule_id, CASE WHEN pattern IS NULL THEN 'no pattern' WHEN length(pattern) > 500 THEN 'pattern exceeds 500 chars'
+  WHEN starts_with(pattern, '(') THEN 'nested unbounded repetition' ELSE 'malformed regex' END problem
+FROM ({_PROBLEMS}) WHERE pattern IS NULL OR NOT (starts_with(pattern, '(?') OR starts_with(pattern, '[['))""")
+def rule_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Patterns made from the parts' brands, well formed or not."""
+    ad.table(spark, d, "part").createOrReplaceTempView("part")
+    rules = spark.sql(_PROBLEMS).selectExpr(
+        "CAST(row_number() OVER (ORDER BY rule_id) AS INT) rule_ord", "rule_id", "'regex' type", "true enabled", "pattern")
+    return rule_errors(spark, rules).withColumn("problem", F.regexp_extract("problem", "^[^:]*", 0))
+
+
 _WORD = [("w", "", "", "aie[a-z]*", "", 0, 0.9, None, "")]
 
 
@@ -489,13 +516,13 @@ def _part_rules(spark: SparkSession, d: str) -> DataFrame:
     return ad.table(spark, d, "part").selectExpr(
         "CAST(p_partkey AS INT) rule_ord", "concat('r', p_partkey % 1500) rule_id", "p_name name",
         "CASE p_size % 5 WHEN 0 THEN 'regex' WHEN 1 THEN 'context' WHEN 2 THEN 'allowlist' WHEN 3 THEN 'denylist' ELSE 'field_label' END type",
-        "p_retailprice > 1000 enabled", "p_brand pattern", "CAST(p_size AS INT) priority",
+        "p_partkey % 3 > 0 enabled", "p_brand pattern", "CAST(p_size AS INT) priority",
     )
 
 
 _PART = """SELECT p_partkey::INT rule_ord, concat('r', p_partkey % 1500) rule_id, p_name AS name,
   CASE p_size % 5 WHEN 0 THEN 'regex' WHEN 1 THEN 'context' WHEN 2 THEN 'allowlist' WHEN 3 THEN 'denylist' ELSE 'field_label' END type,
-  p_retailprice > 1000 enabled, p_brand pattern, p_size::INT priority FROM part"""
+  p_partkey % 3 > 0 enabled, p_brand pattern, p_size::INT priority FROM part"""
 
 
 @query("rule_patch", f"""

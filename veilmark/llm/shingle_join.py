@@ -121,11 +121,16 @@ def _prefixes(frames: DataFrame, size: int, percent: int, sketch: Broadcast) ->
     return frames.mapInArrow(cut, "shingle long, frame_idx long, n int, pos int")
 
 
-def _bound(percent: int) -> str:
-    """Length and positional filter on sides a and b that share a shingle at a.pos and b.pos."""
+def _bound(percent: int, first: bool = False) -> str:
+    """Length and positional filter on sides a and b that share a shingle at a.pos and b.pos.
+
+    first: as if no shingle before these places were shared. That is so where an alike pair first meets, hence
+    every alike pair passes there, while most pairs that meet late in their prefixes pass nowhere.
+    """
+    before = "0" if first else "least(a.pos, b.pos)"
     return (
         f"100L * least(a.n, b.n) >= {percent}L * greatest(a.n, b.n) AND {100 + percent}L * "
-        f"(least(a.pos, b.pos) + 1 + least(a.n - a.pos, b.n - b.pos) - 1) >= {percent}L * (a.n + b.n)"
+        f"({before} + least(a.n - a.pos, b.n - b.pos)) >= {percent}L * (a.n + b.n)"
     )
 
 
@@ -209,10 +214,8 @@ def similar_frames(frames: DataFrame, size: int = SHINGLE_WORDS, percent: int =
     apart = placed.groupBy("shingle").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("shingle")
     rest = placed.join(apart, "shingle", "left_semi")
     crossing = (
-        rest.alias("a").join(rest.alias("b"), "shingle").where("a.c < b.c").where(_bound(percent))
-        .groupBy(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
-        .agg(F.min("a.pos").alias("pa"), F.min("b.pos").alias("pb"), F.first("a.n").alias("na"), F.first("b.n").alias("nb"))
-        .where(f"{100 + percent}L * (least(na - pa, nb - pb)) >= {percent}L * (na + nb)").select("a", "b")
+        rest.alias("a").join(rest.alias("b"), "shingle").where("a.c < b.c").where(_bound(percent, first=True))
+        .select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
     )
     crossing = settle(crossing.join(near.union(near.select("b", "a")), ["a", "b"], "left_anti"))
     second = settle(_verify(crossing, texts, size, percent))

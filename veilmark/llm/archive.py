@@ -174,7 +174,7 @@ def read_archives(manifest: DataFrame, id_type: str = "string") -> DataFrame:
             for name in batch.column("file").to_pylist():
                 system, path = files.locate(name)
                 rows, held = [], 0
-                with system.open_input_stream(path) as stream:
+                with system.open_input_stream(path, compression=None) as stream:
                     for raw in frames(stream):
                         warc, http, payload = parse(raw)
                         named = warc["WARC-Payload-Digest"].removeprefix("sha1:")
@@ -190,7 +190,7 @@ def read_archives(manifest: DataFrame, id_type: str = "string") -> DataFrame:
                 if rows:
                     yield _rows(rows, columns)
 
-    out = manifest.select("file").repartition(F.col("file")).mapInArrow(read, schema)
+    out = manifest.select("file").repartition(max(1, manifest.count()), "file").mapInArrow(read, schema)
     ident = F.when(F.col("project_id") != "", F.col("project_id")).cast(id_type)
     return out.withColumn("project_id", ident).withColumn("refers_to", F.col("refers_to").cast(id_type))
 

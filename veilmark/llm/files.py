@@ -18,6 +18,6 @@ def write_whole(uri: str, body: Callable[[pa.NativeFile], None]) -> None:
     folder, name = path.rsplit("/", 1)
     system.create_dir(folder, recursive=True)
     draft = f"{folder}/_draft-{uuid.uuid4().hex}-{name}"
-    with system.open_output_stream(draft) as sink:
+    with system.open_output_stream(draft, compression=None) as sink:
         body(sink)
     system.move(draft, path)

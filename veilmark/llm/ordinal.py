@@ -20,7 +20,8 @@ SAMPLE_PER_GRADE = 6000
 MIN_TEXTS = 8
 MIN_SIGMAS = 5.0
 MIN_RATIO = 1.0
-MIN_TAIL = 0.5
+MIN_TAIL = 0.7
+LEAST_GAP = 1e-3
 SHINGLE_WORDS = 5
 ROUNDS = 300
 PENALTY = 1e-6
@@ -107,7 +108,7 @@ def _contrast(place: np.ndarray, owner: np.ndarray, grades: np.ndarray, times: n
 def fit(texts: pa.Array, grades: np.ndarray, share: np.ndarray, levels: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds by accelerated gradient steps on the penalised cumulative-link likelihood.
 
-    share: the weight of each row. Thresholds are a first one and positive steps, so that they stay ordered.
+    share: the weight of each row. Thresholds are kept in order and LEAST_GAP apart.
     Features are scaled by how well they mark lower grades; those that fewer than MIN_TEXTS of the texts have, or
     that mark none, keep the weight 0. No weight is above 0: a text is held good until something speaks against
     it, so that short texts, which have few features, are not graded down.
@@ -123,30 +124,30 @@ def fit(texts: pa.Array, grades: np.ndarray, share: np.ndarray, levels: int = 3)
     n, width, rows = len(grades), len(used), np.arange(len(grades))
     share = share / share.sum()
 
-    def slopes(weights: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        steps = np.exp(cuts[1:])
-        thresholds = cuts[0] + np.concatenate([[0.0], np.cumsum(steps)])
-        score = np.bincount(owner, weights[index] * value, n)
+    def slopes(score: np.ndarray, thresholds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient of the log likelihood by score and by threshold."""
         tail = np.hstack([np.ones((n, 1)), tails(score, thresholds), np.zeros((n, 1))])
         upper, lower = tail[rows, grades], tail[rows, grades + 1]
         chance = np.maximum(upper - lower, 1e-9)
         up, low = share * upper * (1 - upper) / chance, share * lower * (1 - lower) / chance
-        theta = (np.bincount(grades + 1, low, levels + 1) - np.bincount(grades, up, levels + 1))[1:levels]
-        by_cut = np.concatenate([[theta.sum()], [s * theta[k + 1 :].sum() for k, s in enumerate(steps)]])
-        return np.bincount(index, (up - low)[owner] * value, width) - PENALTY * weights, by_cut
+        return up - low, (np.bincount(grades + 1, low, levels + 1) - np.bincount(grades, up, levels + 1))[1:levels]
 
     reach = np.bincount(owner, value, n)
     step = 1.0 / (0.5 * np.bincount(index, (share * reach)[owner] * value, width) + PENALTY)  # bounds the curvature
-    weights, cuts = np.zeros(width), np.concatenate([[-1.0], np.zeros(levels - 2)])
-    ahead_w, ahead_c = weights, cuts
+    weights, thresholds = np.zeros(width), np.linspace(-1.0, 0.0, levels - 1)
+    ahead = weights
     for k in range(ROUNDS):
-        d_weights, d_cuts = slopes(ahead_w, ahead_c)
-        new_w, new_c = np.minimum(ahead_w + step * d_weights, 0.0), ahead_c + 2.0 * d_cuts
-        ahead_w, ahead_c = new_w + k / (k + 3) * (new_w - weights), new_c + k / (k + 3) * (new_c - cuts) * 0.5
-        weights, cuts = new_w, new_c
+        score = np.bincount(owner, ahead[index] * value, n)
+        for _ in range(4):
+            apart = LEAST_GAP * np.arange(levels - 1)
+            thresholds = np.maximum.accumulate(thresholds + slopes(score, thresholds)[1] - apart) + apart
+        by_weight = np.bincount(index, slopes(score, thresholds)[0][owner] * value, width) - PENALTY * ahead
+        new = np.minimum(ahead + step * by_weight, 0.0)
+        ahead = new + k / (k + 3) * (new - weights)
+        weights = new
     whole = np.zeros(DIMENSIONS, np.float32)
     whole[used] = weights * scale
-    return whole, cuts[0] + np.concatenate([[0.0], np.cumsum(np.exp(cuts[1:]))])
+    return whole, thresholds
 
 
 def fit_ratings(

@@ -1,5 +1,7 @@
 """Streams in several batches give what the batch operators give."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +41,22 @@ def test_stream_link_equals_batch(spark, sf, parts):
     assert sorted(found.select(key).collect()) == sorted(batch.select(key).collect())
 
 
+def test_shuffled_batches_link_like_the_batch(spark, tmp_path):
+    """Rows of each file belong anywhere within the lateness; cuts split events."""
+    rng = random.Random(6)
+    schema = "video_id string, pii_type string, time_ms long, cand_ord long, confidence double, x int, y int, w int, h int, text string, last_cut_ms long"
+    rows = [("v%d" % (i % 3), "phone", 700 * i, i, 0.5, rng.randrange(300), 0, 80, 20, "t", 700 * i // 40_000 * 40_000) for i in range(100, 400)]
+    order = sorted(rows, key=lambda r: r[2] + rng.randrange(50_000)) + [("end", "phone", 10**9, 999, 0.5, 0, 0, 80, 20, "t", None)]
+    for i in range(0, len(order), 60):
+        part = spark.createDataFrame(order[i:i + 60], schema).withColumn("at", F.timestamp_millis("time_ms"))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path))
+    done = stateless.run_to_table(stateful.stream_link(opened(spark, str(tmp_path)), "at", 6000, 150, "60 seconds"))
+    cuts = spark.createDataFrame([(v, t) for v in ("v0", "v1", "v2") for t in range(40_000, 300_000, 40_000)], "video_id string, cut_ms long")
+    batch = event_summary(link_candidates(spark.createDataFrame(rows, schema).drop("last_cut_ms"), cuts, gap_ms=6000, tolerance_px=150))
+    key = ["video_id", "seed_ms", "seed_ord", "end_ms", "n_keyframes"]
+    assert sorted(done.filter("video_id <> 'end'").select(key).collect()) == sorted(batch.select(key).collect())
+
+
 def test_dedupe_across_batches(spark, parts):
     once = stateless.dedupe_stream(opened(spark, parts), "at", ["video_id", "pii_type"], "900 days")
     assert stateless.run_to_table(once).count() == spark.read.parquet(parts).select("video_id", "pii_type").distinct().count()

@@ -143,12 +143,12 @@ def stream_scene_change(spark: SparkSession, d: str) -> DataFrame:
     return sl.run_to_table(sf.stream_scene_changes(arriving, 0.40)).withColumn("distance", F.round("distance", 9))
 
 
-# An event is out once a later candidate of its kind came after the gap, or the watermark did.
+# An event is out once the watermark has passed its end by the gap: until then a late row could still belong to it.
+_CLOSED = f"end_ms + {GAP_MS} < (SELECT max(time_ms) - 600000 FROM cands)"
+
+
 @query("stream_link", sql("summary", f"""
-SELECT video_id, pii_type, seed_ms, seed_ord, start_ms, end_ms, n_keyframes, confidence FROM summary s
-WHERE end_ms + {GAP_MS} < (SELECT max(time_ms) - 600000 FROM cands)
-   OR EXISTS (SELECT 1 FROM cands c WHERE c.video_id = s.video_id AND c.pii_type = s.pii_type
-              AND c.time_ms > s.end_ms + {GAP_MS})"""))
+SELECT video_id, pii_type, seed_ms, seed_ord, start_ms, end_ms, n_keyframes, confidence FROM summary WHERE {_CLOSED}"""))
 def stream_link(spark: SparkSession, d: str) -> DataFrame:
     arriving = ad.event_cands(_stream(spark, d, "events"))
     return sl.run_to_table(sf.stream_link(arriving, "at", GAP_MS, TOLERANCE_PX))

@@ -20,6 +20,8 @@ _OPEN = (
 )
 # The open events of a key and the time its next timer is due, read and written as one value.
 _STATE = f"due bigint, events array<struct<{_OPEN}>>"
+# Arrived candidates that the watermark has not passed yet.
+_WAITING = "time_ms bigint, cand_ord bigint, cx double, cy double, confidence double, cut_ms bigint"
 
 
 def _rocks(spark) -> None:
@@ -33,8 +35,9 @@ def _rocks(spark) -> None:
 class _Linker(StatefulProcessor):
     """Open events of one video and kind, in order of opening.
 
-    Candidates of a micro-batch are taken in time order; an event is emitted once the watermark has
-    passed its last keyframe by more than the gap.
+    Arrived candidates wait until the watermark has passed them and are then taken in time order, so that rows that
+    come late, but within the lateness, are linked as if they had come in order. An event is emitted once the
+    watermark has passed its last keyframe by more than the gap.
     """
 
     def __init__(self, gap_ms: int, tolerance: float) -> None:
@@ -43,6 +46,7 @@ class _Linker(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.open = handle.getValueState("open", _STATE)
+        self.waiting = handle.getListState("waiting", _WAITING)
 
     def _emit(self, key, events: list) -> pd.DataFrame:
         return pd.DataFrame(
@@ -55,12 +59,12 @@ class _Linker(StatefulProcessor):
         if not self.open.exists():
             return None, []
         due, events = self.open.get()
-        return due, [list(e) for e in events]
+        return due, [list(e) for e in events or []]
 
-    def _store(self, due: int | None, held: list) -> None:
-        """Keep the open events; a pending timer that fires too early only sets the next one."""
-        if held and due is None:
-            due = min(e[2] for e in held) + self.gap_ms + 1
+    def _store(self, due: int | None, wanted: int | None, held: list) -> None:
+        """Keep the open events and have a timer at the wanted time; one that fires too early does no harm."""
+        if wanted is not None and (due is None or wanted < due):
+            due = wanted
             self.handle.registerTimer(due)
         if held or due is not None:
             self.open.update((due, [tuple(e) for e in held]))
@@ -69,27 +73,44 @@ class _Linker(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         due, held = self._load()
-        batch = pd.concat(list(rows)).sort_values(["time_ms", "cand_ord"])
+        first = None
+        for chunk in rows:  # a part of the micro-batch at a time
+            cuts = chunk["last_cut_ms"] if "last_cut_ms" in chunk else [None] * len(chunk)
+            self.waiting.appendList([
+                (int(t), int(o), x + w / 2, y + h / 2, float(c), None if pd.isna(cut) else int(cut))
+                for t, o, x, y, w, h, c, cut in zip(*(chunk[n] for n in ("time_ms", "cand_ord", "x", "y", "w", "h", "confidence")), cuts)
+            ])
+            low = int(chunk["time_ms"].min())
+            first = low if first is None else min(first, low)
+        self._store(due, first, held)
+        yield from ()
+
+    def _walk(self, held: list, rows: list) -> list:
+        """Link rows in order; returns the events that were closed on the way."""
         closed = []
-        for r in batch.itertuples(index=False):
-            closed += [e for e in held if r.time_ms - e[2] > self.gap_ms]
-            held = [e for e in held if r.time_ms - e[2] <= self.gap_ms]
-            cx, cy = r.x + r.w / 2, r.y + r.h / 2
+        for at, order, cx, cy, confidence, cut in rows:
+            closed += [e for e in held if at - e[2] > self.gap_ms]
+            held[:] = [e for e in held if at - e[2] <= self.gap_ms]
             for e in held:
-                if (cx - e[3]) ** 2 + (cy - e[4]) ** 2 <= self.reach:
-                    e[2:] = [int(r.time_ms), cx, cy, e[5] + 1, max(e[6], float(r.confidence))]
+                if (cut is None or cut <= e[2]) and (cx - e[3]) ** 2 + (cy - e[4]) ** 2 <= self.reach:
+                    e[2:] = [at, cx, cy, e[5] + 1, max(e[6], confidence)]
                     break
             else:
-                held.append([int(r.time_ms), int(r.cand_ord), int(r.time_ms), cx, cy, 1, float(r.confidence)])
-        self._store(due, held)
-        if closed:
-            yield self._emit(key, closed)
+                held.append([at, order, at, cx, cy, 1, confidence])
+        return closed
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         _, held = self._load()
-        done = [e for e in held if e[2] + self.gap_ms < now]
-        self._store(None, [e for e in held if e[2] + self.gap_ms >= now])
+        waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        rest = [r for r in waiting if r[0] > now]
+        if len(rest) < len(waiting):
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        done = self._walk(held, sorted((r for r in waiting if r[0] <= now), key=lambda r: r[:2]))
+        done += [e for e in held if e[2] + self.gap_ms < now]
+        held = [e for e in held if e[2] + self.gap_ms >= now]
+        wanted = min([e[2] + self.gap_ms + 1 for e in held] + [r[0] for r in rest], default=None)
+        self._store(None, wanted, held)
         if done:
             yield self._emit(key, done)
 
@@ -101,7 +122,11 @@ def stream_link(
     candidates: DataFrame, at: str, gap_ms: int = LINK_GAP_MS, tolerance_px: float = LINK_TOLERANCE_PX,
     lateness: str = "10 minutes",
 ) -> DataFrame:
-    """Link arriving candidates; late rows beyond the watermark are dropped."""
+    """Link arriving candidates as the batch does; only rows later than the lateness are dropped.
+
+    `time_ms` is the time `at` in milliseconds. With a column `last_cut_ms` (the last scene cut before the candidate, or
+    null) no candidate joins an event that ended before that cut.
+    """
     _rocks(candidates.sparkSession)
     return (
         candidates.withWatermark(at, lateness).groupBy("video_id", "pii_type")

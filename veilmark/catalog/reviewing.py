@@ -19,6 +19,7 @@ from veilmark.sources import adapters as ad
 from veilmark.sources import media, reports
 from veilmark.sources.presets import BUILTIN as PRESETS
 from veilmark.sources.presets import OVERRIDE_TYPES, builtin_presets
+from veilmark.sources.projects import list_projects
 from veilmark.sources.rules import builtin_rules, make_rule, rule_errors
 
 KEY = ["project_id", "event_id"]
@@ -641,13 +642,15 @@ SELECT c_custkey::VARCHAR project_id, c_name AS name, max(epoch_us(o_orderdate)
 FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL""")
 def projects_list(spark: SparkSession, d: str) -> DataFrame:
     orders = ad.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
-        F.max("o_orderdate").alias("updated_at"), F.count("*").alias("event_count")
+        F.max(F.col("o_orderdate").cast("timestamp")).alias("updated_at"), F.collect_list(F.struct("o_orderkey")).alias("events")
     )
-    return ad.table(spark, d, "customer").join(orders, "c_custkey", "left").select(
+    projects = ad.table(spark, d, "customer").join(orders, "c_custkey", "left").select(
         F.col("c_custkey").cast("string").alias("project_id"), F.col("c_name").alias("name"),
-        F.expr("unix_millis(CAST(updated_at AS TIMESTAMP))").alias("updated_ms"),
-        F.coalesce("event_count", F.lit(0)).alias("event_count"),
-    ).orderBy(F.desc("updated_ms"))
+        F.lit(None).cast("timestamp").alias("created_at"), "updated_at", F.lit(None).cast("string").alias("video"), "events",
+    )
+    return list_projects(projects).select(
+        "project_id", "name", F.unix_millis("updated_at").alias("updated_ms"), F.col("event_count").cast("long").alias("event_count")
+    )
 
 
 @query("export_ages", """

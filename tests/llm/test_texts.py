@@ -107,7 +107,7 @@ def test_similar_frames_equal_brute_force(spark, seed):
         rows.append((i, " ".join(text)))
     rows += [(300 + i, "Common LINE of seven words right here " + word(9999)) for i in range(30)]
     rows += [(400, "a b"), (401, "A  b"), (402, "a"), (403, None), (404, ""), (405, " \n "), (406, "a b")]
-    rows += [(1, rows[1][1]), (2, "x y z"), (None, "a b"), (500, "b" * 100_000), (501, "k " * 30_000), (502, "k " * 29_000)]
+    rows += [(1, rows[1][1]), (2, "x y z"), (3, " ".join(base)), (None, "a b"), (500, "b" * 100_000), (501, "k " * 30_000), (502, "k " * 29_000)]
     frames = spark.createDataFrame([(i, t, 1) for i, t in rows], "frame_idx long, composite string, n int")
     got = shingle_join.similar_frames(frames).collect()
     assert len(got) == len(rows)

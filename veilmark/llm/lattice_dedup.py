@@ -183,7 +183,7 @@ def near_copies(frames: DataFrame, cosine: float = COSINE, block: int = BLOCK) -
     frame_idx, n_links (other rows linked directly), component_id (the smallest frame_idx reachable), kept
     (component_id = frame_idx). A hist that is null, empty or zero, or holds null or non-finite numbers, links with nothing,
     as do vectors of different length with each other; a null frame_idx has no links and component null. Rows
-    that repeat a vector are linked. No pair below the threshold is linked; pairs above it are found if they meet
+    that repeat a vector are linked; a frame_idx that comes more than once should repeat its vector. No pair below the threshold is linked; pairs above it are found if they meet
     in one of TABLES tables, which the lattice makes likely: at cosine 0.95 of 64 components 99 in 100, above 0.98
     practically all.
     """

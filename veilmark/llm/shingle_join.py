@@ -205,7 +205,7 @@ def similar_frames(frames: DataFrame, size: int = SHINGLE_WORDS, percent: int =
     involved = settle(shared.join(shared.groupBy("shingle").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y"), "shingle").select("rep").distinct())
     texts = settle(
         bloom.keep_possible(base, "frame_idx", bloom.build(involved, "rep")).join(involved, F.col("frame_idx") == F.col("rep"), "left_semi")
-        .dropDuplicates(["frame_idx"])
+        .withColumn("h", F.xxhash64("composite")).dropDuplicates(["frame_idx", "h"]).drop("h")
     )
     first = settle(_verify(near, texts, size, percent))
     group = graph.components(first)

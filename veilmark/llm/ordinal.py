@@ -42,6 +42,10 @@ def _ends(data: np.ndarray, first: np.ndarray, size: np.ndarray, chars: int, bac
     return W.mix(out + np.uint64(chars + 100 * backward))
 
 
+# Places and values of the weights other than 0, and the thresholds.
+Model = tuple[tuple[np.ndarray, np.ndarray], np.ndarray]
+
+
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed features of each text as (index, value, bounds).
 
@@ -67,19 +71,19 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             habits = [1000 + int(20 * fresh) + 100 * min(5, (b - a).bit_length() // 2), 2000 + int(20 * again)]
             present = np.unique(np.concatenate([*[x[a:b] for x in there], W.mix(np.array(habits, np.uint64)) & top]))
             rest, times = np.unique(np.concatenate([tail[a:b], shape[a:b]]), return_counts=True)
-            index += [present, rest]
-            weight += [np.full(len(present), 1.0), 4.0 * times / (b - a)]
+            index += [present.astype(np.int32), rest.astype(np.int32)]
+            weight += [np.ones(len(present), np.float32), (4.0 * times / (b - a)).astype(np.float32)]
             ends.append(ends[-1] + len(present) + len(rest))
         else:
             ends.append(ends[-1])
     if not index:
-        return np.zeros(0, np.int64), np.zeros(0), np.array(ends)
-    return np.concatenate(index).astype(np.int64), np.concatenate(weight), np.array(ends)
+        return np.zeros(0, np.int32), np.zeros(0, np.float32), np.array(ends)
+    return np.concatenate(index), np.concatenate(weight), np.array(ends)
 
 
 def scores(column: pa.Array, weights: np.ndarray) -> np.ndarray:
     index, value, ends = features(column)
-    sums = np.concatenate([[0.0], np.cumsum(weights[index] * value)])
+    sums = np.concatenate([[0.0], np.cumsum(weights[index].astype(np.float64) * value)])
     return sums[ends[1:]] - sums[ends[:-1]]
 
 
@@ -152,7 +156,7 @@ def fit(texts: pa.Array, grades: np.ndarray, share: np.ndarray, levels: int = 3)
 
 def fit_ratings(
     findings: DataFrame, reviewed: DataFrame, per_grade: int = SAMPLE_PER_GRADE
-) -> tuple[np.ndarray, np.ndarray] | None:
+) -> Model | None:
     """Fit on reviewed findings, at most `per_grade` of each status, chosen by a hash of event_id.
 
     Of copies in the sample, told by their lowest shingle hash, one is kept. The rest is weighted back to the shares
@@ -186,7 +190,8 @@ def fit_ratings(
             w = np.array([share[x] for x in g.tolist()])
             weights, thresholds = fit(table["extracted_text"].combine_chunks(), g, w / w.mean())
             yield pa.record_batch({
-                "weights": pa.array([weights.astype("<f4").tobytes()]),
+                "places": pa.array([np.flatnonzero(weights).tolist()]),
+                "weights": pa.array([weights[np.flatnonzero(weights)].tolist()]),
                 "thresholds": pa.array([thresholds.tolist()]),
             })
 
@@ -196,12 +201,12 @@ def fit_ratings(
         ("event_id", pa.string() if isinstance(id_type, T.StringType) else pa.int64()),
         ("extracted_text", pa.string()), ("grade", pa.int32()),
     ])
-    row = sample.repartition(1).mapInArrow(train, "weights binary, thresholds array<double>").first()
-    return (np.frombuffer(row[0], "<f4"), np.array(row[1])) if row else None
+    row = sample.repartition(1).mapInArrow(train, "places array<long>, weights array<double>, thresholds array<double>").first()
+    return ((np.array(row[0], np.int64), np.array(row[1])), np.array(row[2])) if row else None
 
 
 def rate_findings(
-    findings: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, min_tail: float = MIN_TAIL
+    findings: DataFrame, model: Model | None, min_tail: float = MIN_TAIL
 ) -> DataFrame:
     """Add expected_grade, tail_probability (of the highest grade) and selected to every finding.
 
@@ -213,16 +218,20 @@ def rate_findings(
     base = findings.select(*[F.col(f"`{c}`") for c in findings.columns if c not in added])
     schema = T.StructType([*base.schema.fields, T.StructField("expected_grade", T.DoubleType()),
                            T.StructField("tail_probability", T.DoubleType()), T.StructField("selected", T.BooleanType())])
-    shared = base.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS floats: 16 MB, nearly all 0
+    shared = base.sparkSession.sparkContext.broadcast(model)  # the features that mark lower grades, some thousands
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if shared.value is not None:
+            (places, values), thresholds = shared.value
+            weights = np.zeros(DIMENSIONS, np.float32)
+            weights[places] = values
         for whole in batches:
             for batch in W.slices(whole, "extracted_text"):
                 text = batch.column("extracted_text")
                 if shared.value is None:
                     tail = np.ones((batch.num_rows, 2))
                 else:
-                    tail = tails(scores(text, shared.value[0]), shared.value[1])
+                    tail = tails(scores(text, weights), thresholds)
                 bounds = W.words(*W.utf8(text))[3]
                 tail[bounds[1:] == bounds[:-1]] = 0.0
                 yield pa.RecordBatch.from_arrays(

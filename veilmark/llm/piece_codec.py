@@ -19,26 +19,31 @@ from pyspark.sql import DataFrame
 from veilmark.llm import words as W
 
 SPACE = "▁"
-MAX_WORDS = 400_000
+MAX_WORDS = 700_000
 LONG_WORD = 48
-INDEX_CHARS = 1 << 20
+INDEX_CHARS = 600_000
 _CODECS: dict[str, "PieceCodec"] = {}
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Places of the text in the order of their first `depth` characters, by doubling the compared length."""
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    width, order = 1, None
-    while width < depth:
-        later = np.full(len(rank), -1, np.int64)
-        later[: max(0, len(rank) - width)] = rank[width:]
-        both = rank * (len(rank) + 1) + later + 1
-        order = np.argsort(both, kind="stable")
-        steps = np.concatenate([[0], (np.diff(both[order]) != 0).astype(np.int64)])
-        rank = np.empty_like(rank)
-        rank[order] = np.cumsum(steps)
+    symbols, rank = np.unique(text, return_inverse=True)
+    n, bits = len(text), max(1, int(len(symbols)).bit_length())
+    padded = np.concatenate([rank.astype(np.int64) + 1, np.zeros(64, np.int64)])
+    width = min(62 // bits, depth)
+    key = np.zeros(n, np.int64)
+    for k in range(width):  # as many characters as a number holds
+        key = (key << bits) | padded[k : k + n]
+    while True:
+        order = np.argsort(key)
+        if width >= depth:
+            return order
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.concatenate([[0], (np.diff(key[order]) != 0).astype(np.int64)]))
+        later = np.zeros(n, np.int64)
+        later[: max(0, n - width)] = rank[width:] + 1
+        key = rank * (n + 1) + later
         width *= 2
-    return np.argsort(rank, kind="stable") if order is None else order
 
 
 class PieceCodec:
@@ -81,22 +86,33 @@ class PieceCodec:
         self.n_words = self.n_ids = 0
 
     def words(self, text: str) -> list[str]:
-        """The parts of a text that no piece crosses: each begins with its space marks."""
+        """Keys of the parts of a text that no piece crosses. A key is a word, which one space mark precedes, or a
+        blank and the part as it is.
+        """
+        if self.inner:
+            return [" " + SPACE + text.replace(" ", SPACE)] if text else []
         if not text:
             return []
-        marked = SPACE + text.replace(" ", SPACE)
-        if self.inner:
-            return [marked]
+        parts = text.split(" ")
+        if SPACE not in text:
+            if "" not in parts:
+                return parts
+        else:
+            parts = text.replace(" ", SPACE).split(SPACE)
         out, lead = [], 0
-        for part in marked.split(SPACE)[1:]:
+        for part in parts:
             lead += 1
             if part:
-                out.append(SPACE * lead + part)
+                out.append(part if lead == 1 else " " + SPACE * lead + part)
                 lead = 0
         if lead:
-            out.append(SPACE * lead)
+            out.append(" " + SPACE * lead)
         return out
 
+    @staticmethod
+    def _part(key: str) -> str:
+        return key[1:] if key[:1] == " " else SPACE + key
+
     def edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Every place where a piece occurs: place and row of the piece, sorted by place, then length."""
         order = suffix_order(text, self.depth)
@@ -104,9 +120,9 @@ class PieceCodec:
         reach = np.arange(self.depth)
         low, high = self._search(padded, order, reach, False), self._search(padded, order, reach, True)
         size = high - low
-        row = np.repeat(np.arange(len(low)), size)
+        row = np.repeat(np.arange(len(low), dtype=np.int32), size)
         place = order[np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
-        sort = np.argsort(place * (self.depth + 1) + self.length[row], kind="stable")
+        sort = np.argsort(place * (self.depth + 1) + self.length[row])
         return place[sort], row[sort]
 
     def _search(self, padded: np.ndarray, order: np.ndarray, reach: np.ndarray, behind: bool) -> np.ndarray:
@@ -185,7 +201,7 @@ class PieceCodec:
             first, size, word = first[go], size[go], word[go]
         done.append((first, size, word))
         first, size, word = (np.concatenate([d[k] for d in done]) for k in range(3))
-        sort = np.argsort(first, kind="stable")
+        sort = np.argsort(first)
         return first[sort], size[sort], word[sort]
 
     def _relax_long(self, table: np.ndarray, start: int, length: int, w: int):
@@ -243,18 +259,18 @@ class PieceCodec:
                     group, held = [], 0
             if group:
                 self._keep(group)
-            number[missing] = np.fromiter((self.known[keys[i]] for i in missing.tolist()), np.int64, len(missing))
+            number = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
         count = self.count[number]
         total = np.concatenate([[0], np.cumsum(count)])
         return self.flat[np.repeat(self.first[number] - total[:-1], count) + np.arange(total[-1])], total[np.array(ends)]
 
     def _keep(self, group: list[str]) -> None:
         if len(group) == 1 and "\x00" in group[0]:  # the joining mark itself: spell it, encode around it
-            parts = [self._encode_words([p])[0] if p else np.zeros(0, np.int64) for p in group[0].split("\x00")]
+            parts = [self._encode_words([p])[0] if p else np.zeros(0, np.int64) for p in self._part(group[0]).split("\x00")]
             ids = np.concatenate([x for p in parts for x in (np.array([self.byte_id[0]]), p)][1:])
             counts = np.array([len(ids)])
         else:
-            ids, counts = self._encode_words(group)
+            ids, counts = self._encode_words([self._part(k) for k in group])
         while self.n_ids + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.n_words + len(group) > len(self.first):
@@ -279,9 +295,11 @@ def codec(model_file: str) -> PieceCodec:
     return _CODECS[model_file]
 
 
-def encode_frames(frames: DataFrame, model_file: str) -> DataFrame:
+def encode_frames(frames: DataFrame, model_file: str, decoded: bool = False) -> DataFrame:
     """Encode every whole text: frame_idx, ids (array of int), n_pieces, ids_crc32.
 
+    decoded: instead of ids, return text_crc32, the CRC-32 of the UTF-8 text that decoding the ids gives back.
+
     frames: frame_idx (long), composite; other columns are ignored. Null and empty texts give no ids. Rows are neither
     dropped nor merged. Ids are those of the library for the same model; ids_crc32 is the CRC-32 of the ids as little-endian
     unsigned 32-bit integers.
@@ -290,17 +308,22 @@ def encode_frames(frames: DataFrame, model_file: str) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(model_file)
         for whole in batches:
-            for batch in W.slices(whole, "composite", 8 << 20):
+            for batch in W.slices(whole, "composite"):
                 ids, bounds = tool.encode(batch.column("composite").to_pylist())
                 body = memoryview(ids.astype("<u4").tobytes())
+                if decoded:
+                    texts = (tool.decode(ids[a:b].tolist()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+                    shown = {"text_crc32": pa.array([zlib.crc32(text.encode()) for text in texts], pa.int64())}
+                else:
+                    shown = {"ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))}
                 yield pa.record_batch({
-                    "frame_idx": batch.column("frame_idx"), "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())),
+                    "frame_idx": batch.column("frame_idx"), **shown,
                     "n_pieces": pa.array(np.diff(bounds), pa.int64()),
                     "ids_crc32": pa.array([zlib.crc32(body[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.int64()),
                 })
 
     return frames.selectExpr("CAST(frame_idx AS LONG) AS frame_idx", "composite").mapInArrow(
-        encode, "frame_idx long, ids array<int>, n_pieces long, ids_crc32 long"
+        encode, f"frame_idx long, {'text_crc32 long' if decoded else 'ids array<int>'}, n_pieces long, ids_crc32 long"
     )
 
 

@@ -182,7 +182,5 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and a checksum of the text that decoding gives back."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    decoded = piece_codec.decode_frames(piece_codec.encode_frames(frame_texts(table(spark, sf_dir, "documents")), model), model)
-    return decoded.select(
-        F.col("frame_idx").alias("doc_id"), "n_pieces", "ids_crc32", F.crc32(F.encode("composite", "UTF-8")).alias("text_crc32")
-    )
+    encoded = piece_codec.encode_frames(frame_texts(table(spark, sf_dir, "documents")), model, decoded=True)
+    return encoded.select(F.col("frame_idx").alias("doc_id"), "n_pieces", "ids_crc32", "text_crc32")

@@ -37,9 +37,12 @@ def cut_windows(ends: np.ndarray, penalty: np.ndarray, length: int = LENGTH) ->
     size = length >> 1
     while size >= min(LEAST_POWER, length):
         place = np.searchsorted(at, at - size)
-        powers.append(np.where(at[np.minimum(place, len(at) - 1)] == at - size, place, -1).tolist())
+        powers.append(np.where(at[np.minimum(place, len(at) - 1)] == at - size, place, -1))
         size >>= 1
-    exact = list(zip(*powers)) if powers else [()] * len(at)
+    exact: dict[int, list[int]] = {}  # the few ends that lie a power of two behind another one
+    for found in powers:
+        for j in np.flatnonzero(found >= 0).tolist():
+            exact.setdefault(j, []).append(int(found[j]))
     at, penalty = at.tolist(), [0.0, *penalty.tolist()]
     cost, origin, key = [0.0] * len(at), [0] * len(at), [0.0] * len(at)
     queue: deque[int] = deque([0])
@@ -49,9 +52,10 @@ def cut_windows(ends: np.ndarray, penalty: np.ndarray, length: int = LENGTH) ->
             queue.popleft()
         i = queue[0]
         best = key[i] + length - here
-        for k in exact[j]:
-            if k >= 0 and cost[k] < best:
-                i, best = k, cost[k]
+        if j in exact:
+            for k in exact[j]:
+                if cost[k] < best:
+                    i, best = k, cost[k]
         best += penalty[j] + WINDOW_COST
         cost[j], origin[j], key[j] = best, i, best + here
         while queue and key[queue[-1]] >= best + here:

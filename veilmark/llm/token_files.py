@@ -160,7 +160,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                             "n_tokens": some.column("n_tokens"), "ids_crc32": pa.array(sums, pa.int64()),
                         })
 
-    return manifest.select("part", "file", "index").repartition("part").mapInArrow(
+    return manifest.select("part", "file", "index").repartition(max(1, len(before)), "part").mapInArrow(  # a task a file, however small the manifest
         read, "frame_idx long, start long, n_tokens long, ids_crc32 long"
     )
 

@@ -1,7 +1,7 @@
 """Token ids of whole texts by the tokenizers library, which sees each distinct chunk of a text once.
 
-A text is cut where the tokenizer never joins tokens, the chunks are encoded by the library and kept, and the ids
-of a text are put together from them. A cut is made
+A text is cut where the tokenizer never joins tokens, the chunks are encoded by the library (plain words by its
+model at once) and kept, and the ids of a text are put together from them. A cut is made
   * for word vocabularies (white space dropped before encoding) at blanks and line feeds,
   * for byte-level vocabularies (a blank belongs to the word behind it) before a blank that stands before a
     character other than white space, and around a line feed that stands between such characters.
@@ -11,13 +11,17 @@ Ids are the same as for the whole text (tested). Strings of special tokens are o
 import os
 import re
 from collections.abc import Iterable
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 
-MAX_CHUNKS = 600_000
+MAX_CHUNKS = 1_400_000
 _RUN = re.compile(r"\s\s")
 _BOUNDARY = re.compile(r" (?=\S)")
+_STOPS = frozenset(".,")
+# Byte-level vocabularies write each byte as a character: printable Latin-1 as itself, the others from U+0100 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 _TOOLS: dict[tuple, "ChunkTokenizer"] = {}
 
 
@@ -34,6 +38,9 @@ class ChunkTokenizer:
         self.end_id, self.max_chunks = end_id, max_chunks
         self.split = {"words": self._words, "bytes": self._bytes}[kind]
         self.text_of = {"words": lambda key: key, "bytes": self._text}[kind]
+        self.pretoken = {"words": self._lower_word, "bytes": self._byte_word}[kind]
+        self.lead = {"words": "", "bytes": " "}[kind]  # before the key of a chunk that has no blank in front
+        self.marks = [self.lead + mark for mark in sorted(_STOPS)]
         self._clear()
 
     def _clear(self) -> None:
@@ -63,25 +70,65 @@ class ChunkTokenizer:
             out += chunks
         return out[1:]
 
+    @staticmethod
+    def _lower_word(key: str) -> str | None:
+        """What the library's model gets for a chunk of Latin letters alone: in lower case, as byte characters."""
+        if key.isascii():
+            return key.lower() if key.isalpha() else None
+        return key.lower().encode().decode("latin-1").translate(_BYTE_CHARS) if key.isalpha() and max(key) < "\u0100" else None
+
+    @staticmethod
+    def _byte_word(key: str) -> str | None:
+        """The same with letter case, and with the mark of the blank in front."""
+        word, lead = (key[1:], "") if key[:1] == " " else (key, "Ġ")
+        if word.isascii():
+            return lead + word if word.isalpha() else None
+        return lead + word.encode().decode("latin-1").translate(_BYTE_CHARS) if word.isalpha() else None
+
     @staticmethod
     def _text(key: str) -> str:
         return key[1:] if key[:1] == " " else key if key == "\n" else " " + key
 
     def _learn(self, keys: list[str]) -> None:
-        for at in range(0, len(keys), 4096):
-            some = keys[at : at + 4096]
-            for key, got in zip(some, self.tokenizer.encode_batch_fast([self.text_of(k) for k in some], add_special_tokens=False)):
-                ids = got.ids
-                while self.n_ids + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                if self.n_chunks == len(self.first):
-                    self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-                    self.count = np.concatenate([self.count, np.zeros_like(self.count)])
-                self.ids[self.n_ids : self.n_ids + len(ids)] = ids
-                self.first[self.n_chunks], self.count[self.n_chunks] = self.n_ids, len(ids)
-                self.known[key] = self.n_chunks
-                self.n_chunks += 1
-                self.n_ids += len(ids)
+        """Encode new chunks. A letter and a stop or comma behind it are never joined: the part before is known or learned."""
+        ended = [k for k in keys if k[-1:] in _STOPS and k[-2:-1].isalpha()]
+        bare = [k for k in keys if not (k[-1:] in _STOPS and k[-2:-1].isalpha())]
+        if ended:
+            bare = list(dict.fromkeys([*bare, *[k for k in (k[:-1] for k in ended) if k not in self.known], *[k for k in self.marks if k not in self.known]]))
+        names = [self.pretoken(k) for k in bare]
+        words = [k for k, name in zip(bare, names) if name]
+        model = self.tokenizer.model
+        lists = [[t.id for t in model.tokenize(name)] for name in names if name]
+        self._add(words, np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists)))
+        rest = [k for k, name in zip(bare, names) if not name]
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
+            got = self.tokenizer.encode_batch_fast([self.text_of(k) for k in some], add_special_tokens=False)
+            lists = [g.ids for g in got]
+            self._add(some, np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists)))
+        if ended:
+            head = np.fromiter((self.known[k[:-1]] for k in ended), np.int64, len(ended))
+            mark = np.fromiter((self.known[self.lead + k[-1]] for k in ended), np.int64, len(ended))
+            numbers = np.stack([head, mark], axis=1).ravel()
+            self._add(ended, self._gather(numbers), self.count[head] + self.count[mark])
+
+    def _add(self, keys: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        while self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.n_chunks + len(keys) > len(self.first):
+            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        here = slice(self.n_chunks, self.n_chunks + len(keys))
+        self.count[here] = counts
+        self.first[here] = self.n_ids + np.concatenate([[0], np.cumsum(counts)[:-1]])
+        self.known.update(zip(keys, range(self.n_chunks, self.n_chunks + len(keys))))
+        self.n_chunks += len(keys)
+        self.n_ids += len(ids)
+
+    def _gather(self, numbers: np.ndarray) -> np.ndarray:
+        count = self.count[numbers]
+        before = np.concatenate([[0], np.cumsum(count)])
+        return self.ids[np.repeat(self.first[numbers] - before[:-1], count) + np.arange(before[-1])]
 
     def encode(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id behind it, and the bounds of each text (len(texts) + 1)."""
@@ -100,10 +147,8 @@ class ChunkTokenizer:
         if len(missing):
             self._learn(list(dict.fromkeys(keys[i] for i in missing.tolist())))
             number[missing] = np.fromiter((self.known[keys[i]] for i in missing.tolist()), np.int64, len(missing))
-        count = self.count[number]
-        total = np.concatenate([[0], np.cumsum(count)])
-        shift = np.repeat(self.first[number] - total[:-1], count)
-        return self.ids[shift + np.arange(total[-1])], total[np.array(ends)]
+        total = np.concatenate([[0], np.cumsum(self.count[number])])
+        return self._gather(number), total[np.array(ends)]
 
 
 def tool(path: str, kind: str, end_id: int) -> ChunkTokenizer:

@@ -50,6 +50,8 @@ def test_held_out_languages(spark, sf):
 
 
 def test_quality_follows_the_labels(spark, sf):
+    """On the second smallest tables: the smallest have too few labels for any word to tell."""
+    sf = sf.replace("sf0.001", "sf0.01")
     got = entry.queries()["op8_quality_classifier"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
     shares = {(r[0], r[1]): r[2] for r in got.groupBy("quality", "toxic").agg({"selected": "max", "tail_probability": "avg"}).select("quality", "toxic", "avg(tail_probability)").collect()}
     assert shares[(1, 0)] > 0.8, json.dumps({str(k): v for k, v in shares.items()})

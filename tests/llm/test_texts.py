@@ -1,9 +1,12 @@
 """URL filter, shingle join, classifier, language and archives on small tables."""
 
+import os
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from veilmark.llm import archive, bloom, graph, language, ordinal, shingle_join, url_filter
@@ -161,6 +164,35 @@ def test_odd_findings(spark):
     assert ordinal.rate_findings(odd.limit(0), none).count() == 0
 
 
+def test_length_does_not_change_the_grade():
+    """Held-out texts of one grade, joined to long ones, are rated as the texts they hold."""
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("test tables not present")
+    docs = pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "text"])
+    rows = docs.join(pq.read_table(f"{folder}/labels.parquet"), "doc_id", join_type="inner").to_pylist()
+    rows = sorted({r["text"]: r for r in rows if r["text"]}.values(), key=lambda r: r["doc_id"])
+    random.Random(4).shuffle(rows)
+    grade = [0 if r["quality"] == 0 else 1 if r["toxic"] else 2 for r in rows]
+    cut = len(rows) * 4 // 5
+    weights, thresholds = ordinal.fit(pa.array([r["text"] for r in rows[:cut]]), np.array(grade[:cut]), np.ones(cut))
+    held = [[r["text"] for r, g in zip(rows[cut:], grade[cut:]) if g == k] for k in range(3)]
+
+    def tail(*pieces):
+        """Of a text made of `size` bytes of each (grade, size) in turn."""
+        parts = []
+        for k, size in pieces:
+            while size > 0:
+                parts.append(held[k][len(parts) % len(held[k])])
+                size -= len(parts[-1].encode()) + 1
+        return float(ordinal.tails(ordinal.scores(pa.array(["\n".join(parts)]), weights), thresholds)[0, -1])
+
+    clean = [tail((2, size)) for size in (100_000, 1_000_000, 10_000_000)]
+    assert min(clean) > 0.9 and max(clean) - min(clean) < 0.05, clean
+    assert max(tail((k, size)) for k in (0, 1) for size in (100_000, 1_000_000)) < 0.3
+    assert tail((2, 400_000), (1, 200_000), (2, 400_000)) < ordinal.MIN_TAIL  # a bad passage is seen among clean ones
+
+
 # ---- language --------------------------------------------------------------------------------
 
 def spoken(lang, n, rng):

@@ -22,6 +22,8 @@ MIN_SIGMAS = 5.0
 MIN_RATIO = 1.0
 MIN_TAIL = 0.7
 LEAST_GAP = 1e-3
+WINDOW_WORDS = 256
+WORST_SHARE = 0.2
 SHINGLE_WORDS = 5
 ROUNDS = 300
 PENALTY = 1e-6
@@ -46,9 +48,10 @@ def _ends(data: np.ndarray, first: np.ndarray, size: np.ndarray, chars: int, bac
 Model = tuple[tuple[np.ndarray, np.ndarray], np.ndarray]
 
 
-def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed features of each text as (index, value, bounds).
+def _windows(column: pa.Array) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """Hashed features (index, value) of each window of each text; a text without words has no window.
 
+    A text is cut into equal windows of at most WINDOW_WORDS words, so that no feature depends on its length.
     Words and their first 4 to 6 bytes count once each where present, as do classes of the share of distinct words
     and of words that repeat the one before. Endings of three bytes, and the letter case
     at a word's ends with its length class, count by their share of the words.
@@ -63,28 +66,48 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         shape = shape * np.uint64(5) + _KINDS[data[np.clip(first + 1, 0, len(data) - 1)]]
         shape = W.mix(shape * np.uint64(8) + np.minimum(size, 31).astype(np.uint64) // np.uint64(4) + np.uint64(1 << 50)) & top
         there = [value & top, *[_ends(data, first, size, k, False) & top for k in (4, 5, 6)]]
-    index, weight, ends = [], [], [0]
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        if b > a:
+    for start, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        n, out = -(-(stop - start) // WINDOW_WORDS), []
+        cuts = [start + (stop - start) * i // n for i in range(n + 1)] if n else []
+        for a, b in zip(cuts, cuts[1:]):
             fresh = len(np.unique(value[a:b])) / (b - a)
             again = (value[a + 1 : b] == value[a : b - 1]).mean() if b - a > 1 else 0.0
             habits = [1000 + int(20 * fresh) + 100 * min(5, (b - a).bit_length() // 2), 2000 + int(20 * again)]
             present = np.unique(np.concatenate([*[x[a:b] for x in there], W.mix(np.array(habits, np.uint64)) & top]))
             rest, times = np.unique(np.concatenate([tail[a:b], shape[a:b]]), return_counts=True)
-            index += [present.astype(np.int32), rest.astype(np.int32)]
-            weight += [np.ones(len(present), np.float32), (4.0 * times / (b - a)).astype(np.float32)]
-            ends.append(ends[-1] + len(present) + len(rest))
-        else:
-            ends.append(ends[-1])
-    if not index:
-        return np.zeros(0, np.int32), np.zeros(0, np.float32), np.array(ends)
+            counts = np.concatenate([np.ones(len(present), np.float32), (4.0 * times / (b - a)).astype(np.float32)])
+            out.append((np.concatenate([present, rest]).astype(np.int32), counts))
+        yield out
+
+
+def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of each text as (index, value, bounds): the mean of its windows."""
+    index, weight, ends = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)], [0]
+    for windows in _windows(column):
+        if len(windows) > 1:
+            places, at = np.unique(np.concatenate([w[0] for w in windows]), return_inverse=True)
+            mean = np.bincount(at, np.concatenate([w[1] for w in windows])) / len(windows)
+            windows = [(places, mean.astype(np.float32))]
+        for places, mean in windows:
+            index.append(places)
+            weight.append(mean)
+        ends.append(ends[-1] + sum(len(w[0]) for w in windows))
     return np.concatenate(index), np.concatenate(weight), np.array(ends)
 
 
 def scores(column: pa.Array, weights: np.ndarray) -> np.ndarray:
-    index, value, ends = features(column)
-    sums = np.concatenate([[0.0], np.cumsum(weights[index].astype(np.float64) * value)])
-    return sums[ends[1:]] - sums[ends[:-1]]
+    """The mean score of the worst WORST_SHARE of each text's windows, of one window at least; 0 without words.
+
+    All windows are read. A mean over a share does not drift with the length, and a bad passage in a long clean
+    text is not thinned out by the rest.
+    """
+    out = np.zeros(len(column))
+    for i, windows in enumerate(_windows(column)):
+        each = np.sort([(weights[index].astype(np.float64) * value).sum() for index, value in windows])
+        if len(each):
+            reach = max(1.0, WORST_SHARE * len(each))
+            out[i] = (each * np.clip(reach - np.arange(len(each)), 0.0, 1.0)).sum() / reach
+    return out
 
 
 def tails(score: np.ndarray, thresholds: np.ndarray) -> np.ndarray:

@@ -210,6 +210,16 @@ def test_languages(spark):
     assert all(r["lang"] == r["lang_pred"] and 0 <= r["score"] <= 1 and not r["narrow"] for r in got)
 
 
+def test_margin_holds_at_every_length(spark):
+    rng = random.Random(5)
+    known = {lang: ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(4, 10))) for _ in range(2000)] for lang in ("aa", "bb", "cc")}
+    dictionaries = {lang: " ".join(rng.choices(known[lang], k=8000)).encode() for lang in known}
+    rows = [(n, " ".join(rng.choices(known[lang], k=n)), lang) for lang in known for n in (200, 20_000, 1_000_000)]
+    frames = spark.createDataFrame(rows, "frame_idx long, composite string, lang string")
+    got = language.recognise_languages(frames, dictionaries).drop("composite").collect()
+    assert len(got) == 9 and all(r["lang_pred"] == r["lang"] and not r["narrow"] for r in got), got
+
+
 def test_odd_languages(spark):
     rows = [(1, None), (2, ""), (3, "12 ½ !"), (4, "²"), (5, "Ж"), (6, "a" * 300_000), (None, "a")]
     frames = spark.createDataFrame([(i, t, 0.5) for i, t in rows], "frame_idx long, composite string, score double")

@@ -220,6 +220,18 @@ def test_margin_holds_at_every_length(spark):
     assert len(got) == 9 and all(r["lang_pred"] == r["lang"] and not r["narrow"] for r in got), got
 
 
+def test_dictionaries_hold_whole_texts_and_spread_pieces(spark):
+    opening = "boilerplate " * 60
+    few = [(i, opening + " ".join(f"w{i}x{k}" for k in range(400)), "aa") for i in range(8)]
+    many = [(100 + i, "short", "bb") for i in range(50)] + [(200, " ".join("n%06d" % k for k in range(50_000)), "bb")]
+    frames = spark.createDataFrame(few + many, "frame_idx long, composite string, lang string")
+    learned = language.learn_languages(frames, dictionary_bytes=40_000)
+    assert all(text.encode() in learned["aa"] for _, text, _ in few)
+    seen = sorted(int(x) for x in re.findall(rb"n(\d{6})", learned["bb"]))
+    assert 39_000 < len(learned["bb"]) <= 40_000
+    assert seen[0] < 100 and seen[-1] > 49_900 and max(b - a for a, b in zip(seen, seen[1:])) < 400
+
+
 def test_odd_languages(spark):
     rows = [(1, None), (2, ""), (3, "12 ½ !"), (4, "²"), (5, "Ж"), (6, "a" * 300_000), (None, "a")]
     frames = spark.createDataFrame([(i, t, 0.5) for i, t in rows], "frame_idx long, composite string, score double")

@@ -16,28 +16,61 @@ SAMPLE_FRAMES = 400
 MIN_MARGIN = 0.005
 LEVEL = 6
 BLOCK_BYTES = 16 << 10
+PIECE_CHARS = 128
+
+
+def _limit(sizes: list[int], room: int) -> int:
+    """Greatest share of a text such that all shares fit into room: what short texts leave goes to longer ones."""
+    for i, size in enumerate(sorted(sizes)):
+        if size * (len(sizes) - i) >= room:
+            return room // (len(sizes) - i)
+        room -= size
+    return max(sizes)
+
+
+def _spread(text: str, length: int) -> str:
+    """`length` characters of a text: pieces of about PIECE_CHARS at even distances from its start to its end."""
+    if length >= len(text):
+        return text
+    n = max(1, length // PIECE_CHARS)
+    length -= n - 1  # the line feeds between pieces
+    cuts = [length * i // n for i in range(n + 1)]
+    gap = len(text) - length
+    starts = [cuts[i] + (gap * i // (n - 1) if n > 1 else gap // 2) for i in range(n)]
+    return "\n".join(text[at : at + b - a] for at, a, b in zip(starts, cuts, cuts[1:]))
 
 
 def learn_languages(
     frames: DataFrame, dictionary_bytes: int = DICTIONARY_BYTES, sample_frames: int = SAMPLE_FRAMES
 ) -> dict[str, bytes]:
-    """A raw-content dictionary for each language: whole frame texts, one after another, up to a size.
+    """A raw-content dictionary for each language: frame texts, one after another, up to a size.
 
     frames: frame_idx, composite, lang. Of each language at most `sample_frames` frames are taken, by a hash of
-    frame_idx; each gives at most its share of twice the dictionary, so that one very long text does not fill it.
-    Null languages and texts are left out. The result is `dictionary_bytes` a language.
+    frame_idx. Texts that fit together are taken whole. Otherwise each gives at most an equal share, in pieces from
+    its whole length, and what short texts leave of theirs goes to longer ones, so that one very long text does not
+    fill the dictionary. Null languages and texts are left out. The result is `dictionary_bytes` a language at most.
     """
-    known = frames.where("lang IS NOT NULL AND frame_idx IS NOT NULL")
+    known = frames.where("lang IS NOT NULL AND frame_idx IS NOT NULL AND composite IS NOT NULL")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("frame_idx"), "frame_idx"))
     chosen = known.select("frame_idx", "lang").withColumn("rank", rank).where(F.col("rank") <= sample_frames)
-    limit = max(64, 2 * dictionary_bytes // sample_frames)
-    rows = (
-        known.select("frame_idx", "lang", "composite").where("composite IS NOT NULL")
-        .join(F.broadcast(chosen), ["frame_idx", "lang"])  # sample_frames rows a language at most
-        .select("lang", "rank", F.substring("composite", 1, limit).alias("piece"))
-        .collect()
-    )  # sample_frames pieces of `limit` characters a language
-    out: dict[str, bytes] = {}
+    sample = known.select("frame_idx", "lang", "composite").join(
+        F.broadcast(chosen), ["frame_idx", "lang"]  # sample_frames rows a language at most
+    )
+    sizes: dict[str, list[int]] = {}
+    for row in sample.select("lang", (F.octet_length("composite") + 1).alias("size")).collect():  # a number a chosen frame
+        sizes.setdefault(row["lang"], []).append(row["size"])
+    limits = {lang: _limit(each, dictionary_bytes) for lang, each in sizes.items()}
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = []
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("composite").to_pylist()):
+                size = len(text.encode()) + 1
+                cut.append(_spread(text, len(text) * min(size, limits[lang]) // size))
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("rank"), pa.array(cut, pa.string())], names=["lang", "rank", "piece"])
+
+    rows = sample.select("lang", "rank", "composite").mapInArrow(pieces, "lang string, rank int, piece string").collect()
+    out: dict[str, bytes] = {}  # the pieces make about dictionary_bytes a language
     for row in sorted(rows, key=lambda r: (r["lang"], -r["rank"], r["piece"])):
         out[row["lang"]] = out.get(row["lang"], b"") + row["piece"].lower().encode() + b"\n"
     return {lang: body[-dictionary_bytes:] for lang, body in out.items()}

@@ -203,6 +203,23 @@ def test_blended_reference_with_limited_depth(spark):
             ref = [a * 0.6 + b * 0.4 for a, b in zip(ref, h)]
 
 
+def test_slowly_blended_reference_keeps_old_blends(spark):
+    """With a small alpha far more blends than for the default still show."""
+    rng = random.Random(6)
+    hists = [[1000.0, 0.0, 0.0, 0.0]] + [[rng.random() for _ in range(4)] for _ in range(130)]
+    frame = spark.createDataFrame(
+        [("v", i, h) for i, h in enumerate(hists)], "video_id string, frame_idx int, hist array<double>"
+    )
+    tracked = tk.with_blended_drift(frame, ["video_id"], "frame_idx", every=1, alpha=0.05)
+    found = {r.frame_idx: r.drift for r in tracked.collect()}
+    ref = hists[0]
+    for i, h in enumerate(hists):
+        shared = sum((a * b) ** 0.5 for a, b in zip(ref, h)) / (sum(ref) * sum(h)) ** 0.5
+        assert found[i] == pytest.approx(max(0.0, 1 - shared) ** 0.5, abs=1e-6)
+        if i > 0:
+            ref = [a * 0.95 + b * 0.05 for a, b in zip(ref, h)]
+
+
 # ---- sampling --------------------------------------------------------------------------------
 
 def sample_model(hists, interval, scene, motion):

@@ -3,6 +3,8 @@
 A track has one row per frame in order; `keys` name the track and `order` is its frame column.
 """
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from veilmark.plans.ordered import chunk_by, latest_before, running
 from veilmark.schemas import BLEND_ALPHA, BLEND_EVERY, DRIFT_FRAMES, DRIFT_THRESHOLD, HOLD_FRAMES
 
 CHUNK_FRAMES = 4096
+FADED = 2.0**-60
 
 
 def _streak(
@@ -48,14 +51,16 @@ def with_reference_drift(tracks: DataFrame, keys: list[str], order: str) -> Data
 
 def with_blended_drift(
     tracks: DataFrame, keys: list[str], order: str, every: int = BLEND_EVERY, alpha: float = BLEND_ALPHA,
-    depth: int = 80,
+    depth: int | None = None,
 ) -> DataFrame:
     """Distance to a reference that is blended with the current histogram every few frames.
 
-    A blend fades by (1 - alpha) with each later one, so after `depth` blends (1e-17 for the defaults)
-    it no longer shows in a double, and a bounded window over the blend frames gives the reference.
+    A blend fades by (1 - alpha) with each later one. `depth` follows from alpha: after so many blends an older one
+    weighs less than FADED and no longer shows in a double, so a window over the blend frames gives the reference.
     `order` counts frames; the blend takes effect after its own frame.
     """
+    if depth is None:
+        depth = math.ceil(math.log(FADED) / math.log1p(-alpha)) if 0 < alpha < 1 else 1
     first = tracks.groupBy(*keys).agg(
         F.min(order).alias("_start"), F.min_by("hist", order).alias("_first")
     )

@@ -1,4 +1,4 @@
-"""The ten registered queries: they map the given tables to the operators' records and the results back."""
+"""The registered queries: they map the given tables to the operators' records and the results back."""
 
 from collections.abc import Callable
 
@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm import archive, language, lattice_dedup, ordinal, packing, piece_codec, pivot_search, shingle_join, token_files, url_filter
+from veilmark.llm import (
+    archive, filter_audit, language, lattice_dedup, ordinal, packing, piece_codec, pivot_search, ranked_search, shingle_join, token_counts,
+    token_files, url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -184,3 +187,62 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     encoded = piece_codec.encode_frames(frame_texts(table(spark, sf_dir, "documents")), model, decoded=True)
     return encoded.select(F.col("frame_idx").alias("doc_id"), "n_pieces", "ids_crc32", "text_crc32")
+
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """Documents as frames of the video that their source names."""
+    return docs.select(F.col("source").alias("video_id"), F.col("doc_id").alias("frame_idx"), F.col("text").alias("composite"))
+
+
+@query("op11_token_counts")
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = keyed_texts(table(spark, sf_dir, "documents"))
+    counted = token_counts.frame_token_counts(frames, public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select(F.col("frame_idx").alias("doc_id"), "n_bytes", "n_tokens", "over_limit")
+
+
+@query("op12_filter_audit", r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(source, '') part, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws FROM documents),
+f AS (SELECT w.doc_id, part, (len(ws) < 50)::INT a, (100 * len(list_distinct(ws)) < 65 * len(ws))::INT b,
+        (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT c, regexp_matches(t, '[#$%&*|]')::INT d,
+        coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false)::INT e FROM w),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false))::INT q, bool_or(coalesce(toxic = 1, false))::INT x FROM labels GROUP BY 1),
+g AS (SELECT part, a, b, c, d, e, count(*) n, sum(coalesce(q, 0)) q, sum(coalesce(x, 0)) x FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+o(filter_order) AS (SELECT '' UNION ALL SELECT filter_order || z FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(z) WHERE NOT contains(filter_order, z)),
+s AS (SELECT filter_order, step, substring(filter_order, step, 1) z, substring(filter_order, 1, step - 1) prior
+        FROM o, range(1, 6) r(step) WHERE length(filter_order) = 5),
+h AS (SELECT part, n, q, x, concat(repeat('A', a), repeat('B', b), repeat('C', c), repeat('D', d), repeat('E', e)) failed FROM g),
+m AS (SELECT part, filter_order, step::INT step, z, n, q, x, failed, contains(failed, z) own,
+        len(list_intersect(string_split(failed, ''), string_split(prior, ''))) > 0 AND failed <> '' AND prior <> '' earlier FROM h, s),
+k AS (SELECT part, filter_order, step, z, sum(n) FILTER (NOT own AND NOT earlier) kept, sum(n) FILTER (own AND NOT earlier) removed,
+        sum(n) FILTER (own AND earlier) redundant, sum(n) FILTER (failed = z) unique_fails,
+        sum(q) FILTER (own AND NOT earlier) good_lost, sum(x) FILTER (own AND NOT earlier) toxic_lost FROM m GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT kept, coalesce(removed, 0)::BIGINT removed, coalesce(redundant, 0)::BIGINT redundant,
+       coalesce(unique_fails, 0)::BIGINT unique_fails, coalesce(good_lost, 0)::BIGINT good_lost, coalesce(toxic_lost, 0)::BIGINT toxic_lost,
+       sum(coalesce(removed, 0)) OVER (PARTITION BY part, z)::BIGINT shapley FROM k""")
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    findings = docs.select(F.col("doc_id").alias("event_id"), F.col("source").alias("project_id"), F.col("text").alias("extracted_text"))
+    said = F.array(F.when(F.col("quality") == 1, "accepted"), F.when(F.col("toxic") == 1, "rejected"))
+    reviewed = labels.select(F.col("doc_id").alias("event_id"), F.explode(said).alias("status")).where("status IS NOT NULL")
+    return filter_audit.audit_filters(findings, reviewed).withColumnsRenamed(
+        {"project_id": "part", "accepted_lost": "good_lost", "rejected_lost": "toxic_lost"}
+    )
+
+
+@query("op13_ranked_search", r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') ws FROM documents),
+c AS (SELECT count(*) FILTER (len(ws) > 0) nn, sum(len(ws))::BIGINT ll FROM t),
+f AS (SELECT doc_id, n, w, count(*) tf FROM (SELECT doc_id, len(ws) n, unnest(ws) w FROM t) GROUP BY ALL),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) w FROM benchmark),
+d AS (SELECT w, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT weight FROM f, c GROUP BY w, nn),
+s AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll))))::BIGINT score
+    FROM q JOIN f USING (w) JOIN d USING (w), c GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT "rank", doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10""")
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    findings = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("event_id"), F.col("text").alias("extracted_text"))
+    found = ranked_search.rank_frames(findings, keyed_texts(table(spark, sf_dir, "documents")))
+    return found.select(F.col("event_id").alias("item_id"), "rank", F.col("frame_idx").alias("doc_id"), "score")

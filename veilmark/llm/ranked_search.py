@@ -23,7 +23,7 @@ FRAME = ["video_id", "frame_idx"]
 TOP = 10
 BLOCK_POSTINGS = 200_000
 BLOCK_FINDINGS = 10_000
-BLOCK_CELLS = 1 << 21
+BLOCK_CELLS = 1 << 20
 TEXT_BYTES = 1 << 20
 SALTS = 64
 # ---- fixed values: the score's weights --------------------------------------------------------
@@ -140,6 +140,27 @@ def _place(video, frame) -> tuple:
     return (frame is None, 0 if frame is None else frame, video is None, "" if video is None else video)
 
 
+def _blocks(whole: pa.RecordBatch, starts: np.ndarray, width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[int], list[tuple]]]:
+    """Rows of a batch in blocks of about BLOCK_CELLS scores and postings, with the order of their keys.
+
+    Yields the block, the place of each row in the order, the row at each place, and the keys.
+    """
+    lists = whole.column("terms")
+    spread = np.concatenate([[0], np.cumsum((starts[1:] - starts[:-1])[lists.flatten().to_numpy()])])
+    bounds = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).to_numpy())])
+    load = np.maximum(spread[bounds], width * np.arange(whole.num_rows + 1))
+    at = 0
+    while at < whole.num_rows:
+        end = max(at + 1, int(np.searchsorted(load, load[at] + BLOCK_CELLS, "right")) - 1)
+        batch = whole.slice(at, end - at)
+        keys = list(zip(batch.column("video_id").to_pylist(), batch.column("frame_idx").to_pylist()))
+        order = sorted(range(len(keys)), key=lambda i: _place(*keys[i]))
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.arange(len(keys))
+        yield batch, place, order, keys
+        at = end
+
+
 def _heaps(counted: DataFrame, index: Broadcast, weights: Broadcast, n_frames: int, n_terms: int, top: int) -> DataFrame:
     """The best frames of each finding within each task: finding (its number), video_id, frame_idx, score."""
     fields = T.StructType([T.StructField("finding", T.IntegerType()), *counted.select(*FRAME).schema.fields, T.StructField("score", T.LongType())])
@@ -149,15 +170,10 @@ def _heaps(counted: DataFrame, index: Broadcast, weights: Broadcast, n_frames: i
         width, weight = len(ids), weights.value
         heaps: dict[int, list[tuple]] = {}
         least = np.ones(width)  # a score must reach it
-        step, kinds = max(1, BLOCK_CELLS // max(1, width)), None
+        kinds = None
         for whole in batches:
             kinds = [whole.column(c).type for c in FRAME]
-            for at in range(0, whole.num_rows, step):
-                batch = whole.slice(at, step)
-                keys = list(zip(batch.column("video_id").to_pylist(), batch.column("frame_idx").to_pylist()))
-                order = sorted(range(len(keys)), key=lambda i: _place(*keys[i]))
-                place = np.empty(len(keys), np.int64)
-                place[order] = np.arange(len(keys))
+            for batch, place, order, keys in _blocks(whole, starts, width):
                 length = np.array([100 - LENGTH_SHARE + LENGTH_SHARE * n * n_frames // n_terms for n in batch.column("n_terms").to_pylist()], np.int64)
                 terms, counts = batch.column("terms"), batch.column("counts")
                 owner = np.repeat(np.arange(len(keys)), pa.compute.list_value_length(terms).to_numpy())

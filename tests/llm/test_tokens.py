@@ -11,7 +11,9 @@ P = pytest.importorskip("public_tokenizers")
 from veilmark.llm import packing, piece_codec, token_files, tokens  # noqa: E402
 
 TRICKY = ["", " ", "a  b", "a   b", " x", "x ", "x \ny", "x\n y", "x\n\ny", "x\n\n\ny", "a\tb c", " \n ", "it's don't 'S\n", "é́ a b", "a\x1cb \x1cc",
-          "<|endoftext|> a", "x \n", "x\n", "\n", "日本 語 12345 ½", "A　 B", "ǅ İ ΣΑΣ", "a ́b", "w, w. w", "é. É,", "ª.", "b" * 5000]
+          "<|endoftext|> a", "x \n", "x\n", "\n", "日本 語 12345 ½", "A　 B", "ǅ İ ΣΑΣ", "a ́b", "w, w. w", "é. É,", "ª.", "b" * 5000,
+          "\u0130, i", "\u0958, \u095f.", "\ufb2e. \ufb2e,", "\u01c5, \u0149.", "a<|endoftext|>b, <|endoftext|>, <|startoftext|><|endoftext|>\n", "<|ENDOFTEXT|> <|endoftext", " <|endoftext|> .",
+          "<|endoftext|>\n\n<|startoftext|>  x"]
 
 
 def texts(n):
@@ -19,17 +21,35 @@ def texts(n):
     return TRICKY + ["".join(rng.choice("ab .,\n\t'1éB!") for _ in range(rng.randrange(1, 30))) for _ in range(n)]
 
 
+def all_planes(n):
+    """Texts of characters from everywhere, with stops, special strings and blanks between them."""
+    rng = random.Random(n)
+    ends = [0x80, 0x250, 0x600, 0xA00, 0x3100, 0x10000, 0x110000]
+    sign = lambda: chr(next(c for c in iter(lambda: rng.randrange(rng.choice(ends)), None) if not 0xD800 <= c < 0xE000))
+    odd = [",", ".", " ", " ", "\n", "<|endoftext|>", "<|startoftext|>", "\u0301", "e", "'s"]
+    return ["".join(rng.choice(odd) if rng.random() < 0.5 else sign() for _ in range(rng.randrange(1, 40))) for _ in range(n)]
+
+
 @pytest.mark.parametrize("name, kind", [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "bytes")])
 def test_chunks_give_the_ids_of_the_whole_text(name, kind):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(P.path(name))
-    whole.encode_special_tokens = True
     tool = tokens.ChunkTokenizer(P.path(name), kind, 7, max_chunks=500)
-    for part in (texts(800), texts(801)):
+    for part in (texts(800), texts(801), all_planes(1500)):
         ids, bounds = tool.encode([*part, None])
+        counts = tool.counts([*part, None])
         for i, text in enumerate([*part, ""]):
-            assert ids[bounds[i]:bounds[i + 1]].tolist() == whole.encode(text, add_special_tokens=False).ids + [7], text
+            want = whole.encode(text, add_special_tokens=False).ids
+            assert ids[bounds[i]:bounds[i + 1]].tolist() == want + [7], text
+            assert counts[i] == len(want)
+
+
+def test_kept_chunks_are_bounded_in_characters():
+    tool = tokens.ChunkTokenizer(P.path("byte_bpe_50k.json"), "bytes", 0, max_chars=1000)
+    for i in range(50):
+        tool.encode([f"{i}" * 100])
+        assert tool.n_chars < 1400
 
 
 def frames(spark, rows):

@@ -5,7 +5,8 @@ model at once) and kept, and the ids of a text are put together from them. A cut
   * for word vocabularies (white space dropped before encoding) at blanks and line feeds,
   * for byte-level vocabularies (a blank belongs to the word behind it) before a blank that stands before a
     character other than white space, and around a line feed that stands between such characters.
-Ids are the same as for the whole text (tested). Strings of special tokens are ordinary text.
+Strings of special tokens are cut out first, as the library does, and are their tokens. Ids are the same as for the
+whole text by the library's defaults (tested).
 """
 
 import os
@@ -16,9 +17,12 @@ from itertools import chain, repeat
 import numpy as np
 
 MAX_CHUNKS = 1_400_000
+MAX_KEY_CHARS = 24_000_000
 _RUN = re.compile(r"\s\s")
 _BOUNDARY = re.compile(r" (?=\S)")
 _STOPS = frozenset(".,")
+# Letters that no normaliser turns into more than a letter, and that all Unicode versions know as letters.
+_LETTERS = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1)
 # Byte-level vocabularies write each byte as a character: printable Latin-1 as itself, the others from U+0100 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
@@ -26,16 +30,22 @@ _TOOLS: dict[tuple, "ChunkTokenizer"] = {}
 
 
 class ChunkTokenizer:
-    """kind: words or bytes. At most about `max_chunks` chunks are kept; then it starts afresh."""
+    """kind: words or bytes. About `max_chunks` chunks of `max_chars` characters are kept at most; then it starts afresh."""
 
-    def __init__(self, path: str, kind: str, end_id: int, max_chunks: int = MAX_CHUNKS):
+    def __init__(self, path: str, kind: str, end_id: int, max_chunks: int = MAX_CHUNKS, max_chars: int = MAX_KEY_CHARS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
-        self.end_id, self.max_chunks = end_id, max_chunks
+        self.end_id, self.max_chunks, self.max_chars = end_id, max_chunks, max_chars
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("added tokens that depend on their surroundings are not supported")
+        self.special_ids = {t.content: k for k, t in added.items()}
+        longest_first = sorted(self.special_ids, key=len, reverse=True)
+        self.special = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if added else None
+        self.openers = {t[:2] for t in longest_first}  # a cheap look before the search
         self.split = {"words": self._words, "bytes": self._bytes}[kind]
         self.text_of = {"words": lambda key: key, "bytes": self._text}[kind]
         self.pretoken = {"words": self._lower_word, "bytes": self._byte_word}[kind]
@@ -49,7 +59,20 @@ class ChunkTokenizer:
         self.first = np.zeros(1 << 15, np.int64)
         self.count = np.zeros(1 << 15, np.int64)
         self.ids[0], self.count[0] = self.end_id, 1  # number 0 is the end of a text
-        self.n_chunks, self.n_ids = 1, 1
+        self.n_chunks, self.n_ids, self.n_chars = 1, 1, 0
+        self._add(list(self.special_ids), np.array(list(self.special_ids.values()), np.uint32), np.ones(len(self.special_ids), np.int64))
+
+    def _keys(self, text: str) -> list[str]:
+        """The chunks of a text; special strings are chunks, and what stands between them is cut as texts are."""
+        if not any(o in text for o in self.openers) or not self.special.search(text):
+            return self.split(text)
+        out: list[str] = []
+        for i, part in enumerate(self.special.split(text)):
+            if i % 2:
+                out.append(part)
+            elif part:
+                out += self.split(part)
+        return out
 
     @staticmethod
     def _words(text: str) -> list[str]:
@@ -91,8 +114,8 @@ class ChunkTokenizer:
 
     def _learn(self, keys: list[str]) -> None:
         """Encode new chunks. A letter and a stop or comma behind it are never joined: the part before is known or learned."""
-        ended = [k for k in keys if k[-1:] in _STOPS and k[-2:-1].isalpha()]
-        bare = [k for k in keys if not (k[-1:] in _STOPS and k[-2:-1].isalpha())]
+        ended = [k for k in keys if k[-1:] in _STOPS and k[-2:-1] in _LETTERS]
+        bare = [k for k in keys if not (k[-1:] in _STOPS and k[-2:-1] in _LETTERS)]
         if ended:
             bare = list(dict.fromkeys([*bare, *[k for k in (k[:-1] for k in ended) if k not in self.known], *[k for k in self.marks if k not in self.known]]))
         names = [self.pretoken(k) for k in bare]
@@ -124,21 +147,22 @@ class ChunkTokenizer:
         self.known.update(zip(keys, range(self.n_chunks, self.n_chunks + len(keys))))
         self.n_chunks += len(keys)
         self.n_ids += len(ids)
+        self.n_chars += sum(map(len, keys))
 
     def _gather(self, numbers: np.ndarray) -> np.ndarray:
         count = self.count[numbers]
         before = np.concatenate([[0], np.cumsum(count)])
         return self.ids[np.repeat(self.first[numbers] - before[:-1], count) + np.arange(before[-1])]
 
-    def encode(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each with the end id behind it, and the bounds of each text (len(texts) + 1)."""
-        if self.n_chunks > self.max_chunks:
+    def _numbers(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the chunks of all texts, 0 behind each text, and the bounds of each text."""
+        if self.n_chunks > self.max_chunks or self.n_chars > self.max_chars:
             self._clear()
         keys: list[str | None] = []
         ends = [0]
         for text in texts:
             if text:
-                keys += self.split(text)
+                keys += self._keys(text)
             keys.append(None)
             ends.append(len(keys))
         number = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
@@ -147,8 +171,19 @@ class ChunkTokenizer:
         if len(missing):
             self._learn(list(dict.fromkeys(keys[i] for i in missing.tolist())))
             number[missing] = np.fromiter((self.known[keys[i]] for i in missing.tolist()), np.int64, len(missing))
+        return number, np.array(ends)
+
+    def encode(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with the end id behind it, and the bounds of each text (len(texts) + 1)."""
+        number, ends = self._numbers(texts)
+        total = np.concatenate([[0], np.cumsum(self.count[number])])
+        return self._gather(number), total[ends]
+
+    def counts(self, texts: Iterable[str | None]) -> np.ndarray:
+        """The number of ids of each text, without the end id."""
+        number, ends = self._numbers(texts)
         total = np.concatenate([[0], np.cumsum(self.count[number])])
-        return self._gather(number), total[np.array(ends)]
+        return np.diff(total[ends]) - 1
 
 
 def tool(path: str, kind: str, end_id: int) -> ChunkTokenizer:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilmark.llm import tokens
 from veilmark.llm import words as W
 from veilmark.plans.session import settle
 
@@ -45,7 +46,12 @@ class Counter:
         self.cuttable = bool(plain) and self.tokenizer.normalizer is None and not any(t.lstrip or t.rstrip or t.single_word for t in added)
         self.margin = MARGIN + max([0, *(len(t.content) for t in added)])
 
+        self.chunks = tokens.ChunkTokenizer(path, "bytes", 0) if self.cuttable else None
+
     def counts(self, texts: list[str]) -> list[int]:
+        """Tokens of whole texts; of byte-level vocabularies each distinct chunk is encoded once."""
+        if self.chunks:
+            return self.chunks.counts(texts).tolist()
         return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def word_starts(self, text: str) -> tuple[list[tuple[int, int]], int]:

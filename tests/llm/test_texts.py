@@ -97,7 +97,17 @@ def brute_components(rows):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+def test_frames_of_several_texts(spark):
+    """In every order of the rows a frame with a like and an unlike text is one frame."""
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(3, "nothing like it at all " * 9), (3, base + " x"), (9, base), (2, "one two three four five six"), (3, ""), (11, "other five words stand here"), (5, "one two three four five six"), (5, "other five words stand here")]
+    for seed in range(4):
+        random.Random(seed).shuffle(rows)
+        got = shingle_join.similar_frames(spark.createDataFrame(rows, "frame_idx long, composite string").repartition(1 + seed)).collect()
+        assert sorted((r["frame_idx"], r["component_id"]) for r in got) == [(2, 2), (3, 3), (3, 3), (3, 3), (5, 2), (5, 2), (9, 3), (11, 2)]
+
+
+@pytest.mark.parametrize("seed", range(1, 11))
 def test_similar_frames_equal_brute_force(spark, seed):
     rng = random.Random(seed)
     word = lambda n=400: "w%d" % rng.randrange(n)
@@ -110,7 +120,9 @@ def test_similar_frames_equal_brute_force(spark, seed):
         rows.append((i, " ".join(text)))
     rows += [(300 + i, "Common LINE of seven words right here " + word(9999)) for i in range(30)]
     rows += [(400, "a b"), (401, "A  b"), (402, "a"), (403, None), (404, ""), (405, " \n "), (406, "a b")]
-    rows += [(1, rows[1][1]), (2, "x y z"), (3, " ".join(base)), (None, "a b"), (500, "b" * 100_000), (501, "k " * 30_000), (502, "k " * 29_000)]
+    rows += [(1, "a b c d e f"), (2, "x y z"), (3, " ".join(base)), (None, "a b"), (500, "b" * 100_000), (501, "k " * 30_000), (502, "k " * 29_000)]
+    rows += [(rng.choice([3, 150, 160, 600]), rows[rng.randrange(100)][1]) for _ in range(seed)]
+    rng.shuffle(rows)
     frames = spark.createDataFrame([(i, t, 1) for i, t in rows], "frame_idx long, composite string, n int")
     got = shingle_join.similar_frames(frames).collect()
     assert len(got) == len(rows)

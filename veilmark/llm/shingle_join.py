@@ -21,8 +21,17 @@ SEEN_SETS = 1 << 19
 PIVOTS = 32
 
 
+def _set_id(one: np.ndarray) -> bytes:
+    return hashlib.blake2b(one.tobytes(), digest_size=16).digest()
+
+
+def _mark(one: np.ndarray) -> int:
+    """A short hash that tells the few sets of one frame apart."""
+    return int((one.sum(dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33))
+
+
 def _scan(frames: DataFrame, size: int) -> DataFrame:
-    """One pass over the texts: a row per frame (n_shingles, set_id), and per task a count sketch of shingles.
+    """One pass over the texts: a row per frame (text_hash, n_shingles, set_id, mark), and per task a count sketch of shingles.
 
     The sketch has two rows of 2^SKETCH_BITS counters, in SKETCH_PARTS parts, whatever the number of texts.
     """
@@ -38,20 +47,21 @@ def _scan(frames: DataFrame, size: int) -> DataFrame:
                     sketch[row] += np.bincount(slot, minlength=width)
                 n = len(sets)
                 yield pa.record_batch({
-                    "frame_idx": batch.column("frame_idx"),
+                    "frame_idx": batch.column("frame_idx"), "text_hash": batch.column("text_hash"),
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                    "set_id": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                    "set_id": pa.array([_set_id(s) if len(s) else None for s in sets], pa.binary()),
+                    "mark": pa.array([_mark(s) if len(s) else None for s in sets], pa.int32()),
                     "part": pa.array([None] * n, pa.int32()), "counts": pa.array([None] * n, pa.binary()),
                 })
         if sketch.any():
             parts = [p.astype(np.min_scalar_type(int(p.max()))) for p in np.split(sketch.ravel(), SKETCH_PARTS)]
             yield pa.record_batch({
-                "frame_idx": pa.array([None] * SKETCH_PARTS, pa.int64()), "n_shingles": pa.array([None] * SKETCH_PARTS, pa.int64()),
-                "set_id": pa.array([None] * SKETCH_PARTS, pa.binary()), "part": pa.array(range(SKETCH_PARTS), pa.int32()),
+                "frame_idx": pa.array([None] * SKETCH_PARTS, pa.int64()), "text_hash": pa.array([None] * SKETCH_PARTS, pa.int64()), "n_shingles": pa.array([None] * SKETCH_PARTS, pa.int64()),
+                "set_id": pa.array([None] * SKETCH_PARTS, pa.binary()), "mark": pa.array([None] * SKETCH_PARTS, pa.int32()), "part": pa.array(range(SKETCH_PARTS), pa.int32()),
                 "counts": pa.array([p.tobytes() for p in parts], pa.binary()),
             })
 
-    return frames.mapInArrow(scan, "frame_idx long, n_shingles long, set_id binary, part int, counts binary")
+    return frames.mapInArrow(scan, "frame_idx long, text_hash long, n_shingles long, set_id binary, mark int, part int, counts binary")
 
 
 def _slots(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +94,7 @@ def _sketch(scanned: DataFrame) -> np.ndarray:
 
 
 def _prefixes(frames: DataFrame, size: int, percent: int, sketch: Broadcast) -> DataFrame:
-    """The rarest shingles of each set, as many as any partner must share one of: shingle, frame_idx, n, pos.
+    """The rarest shingles of each set, as many as any partner must share one of: shingle, frame_idx, mark, n, pos.
 
     Rarity is the sketch count, ties go by hash, so all sets have one order. Copies within a task give one set.
     """
@@ -94,31 +104,33 @@ def _prefixes(frames: DataFrame, size: int, percent: int, sketch: Broadcast) ->
         for whole in batches:
             for batch in W.slices(whole, "composite"):
                 ids = batch.column("frame_idx").to_pylist()
-                key, owner, length, place = [], [], [], []
+                key, owner, label, length, place = [], [], [], [], []
                 for ident, one in zip(ids, W.shingle_sets(batch.column("composite"), size)):
                     n = len(one)
                     if not n or ident is None:
                         continue
-                    mark = hashlib.blake2b(one.tobytes(), digest_size=16).digest()
-                    if mark in seen:
+                    name = _set_id(one)
+                    if name in seen:
                         continue
                     if len(seen) >= SEEN_SETS:
                         seen.clear()
-                    seen.add(mark)
+                    seen.add(name)
                     first, second = _slots(one)
                     width = n - -(-percent * n // 100) + 1
                     rank = np.lexsort((one, np.minimum(counts[0][first], counts[1][second])))[:width]
                     key.append(one[rank])
                     owner.append(np.full(width, ident, np.int64))
+                    label.append(np.full(width, _mark(one), np.int32))
                     length.append(np.full(width, n, np.int32))
                     place.append(np.arange(width, dtype=np.int32))
                 if key:
                     yield pa.record_batch({
                         "shingle": pa.array(np.concatenate(key).view(np.int64)), "frame_idx": pa.array(np.concatenate(owner)),
+                        "mark": pa.array(np.concatenate(label)),
                         "n": pa.array(np.concatenate(length)), "pos": pa.array(np.concatenate(place)),
                     })
 
-    return frames.mapInArrow(cut, "shingle long, frame_idx long, n int, pos int")
+    return frames.mapInArrow(cut, "shingle long, frame_idx long, mark int, n int, pos int")
 
 
 def _bound(percent: int, first: bool = False) -> str:
@@ -135,13 +147,13 @@ def _bound(percent: int, first: bool = False) -> str:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts reach the similarity, each looked at once.
+    """The pairs (a, b) of nodes whose texts reach the similarity, each looked at once.
 
-    The text of a travels to b; rows of one b are neighbours after the join, so its set is made once. The suffix
-    filter compares how many shingles fall between PIVOTS pivots on both sides and skips the full look.
+    texts: node, composite, one row a node. The text of a travels to b; rows of one b are neighbours after the join, so its set is
+    made once. The suffix filter compares how many shingles fall between PIVOTS pivots on both sides and skips the full look.
     """
-    left = pairs.join(texts.select(F.col("frame_idx").alias("a"), F.col("composite").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("frame_idx").alias("b"), F.col("composite").alias("text_b")), "b")
+    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("composite").alias("text_a")), "a")
+    both = left.join(texts.select(F.col("node").alias("b"), F.col("composite").alias("text_b")), "b")
     pivots = np.arange(1, PIVOTS + 1, dtype=np.uint64) * np.uint64((1 << 64) // (PIVOTS + 1))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,58 +182,85 @@ def similar_frames(frames: DataFrame, size: int = SHINGLE_WORDS, percent: int =
 
     frames: frame_idx (long), composite. Words are runs without blank or U+0009 to U+000D, A-Z as a-z. A frame's
     set holds its distinct shingles of `size` words; fewer words count as one shingle, no words as none. Two frames
-    link if 100 * shared >= percent * united. Returns a row per frame: frame_idx, n_shingles, component_id (the
-    smallest frame_idx reachable by links, itself included). Frames with an empty set or a null text link with
-    nothing; rows without frame_idx get component null; rows that repeat a frame_idx are one frame in the links.
-    Shingles are compared by 64-bit hashes, sets of copies by 128-bit ones. Other columns are ignored.
+    link if 100 * shared >= percent * united. Returns a row per row of frames: frame_idx, n_shingles (of that row), component_id
+    (the smallest frame_idx reachable by links, itself included). Frames with an empty set or a null text link with
+    nothing; rows without frame_idx get component null. Rows that repeat a frame_idx are one frame with several texts: it
+    links by any of them, and they get one component. Shingles are compared by 64-bit hashes, sets by 128-bit ones. Other columns are ignored; frame_idx must be over -2^62.
 
-    1. One pass counts shingles in a bounded sketch and names each set; frames with equal sets form one class.
+    1. One pass counts shingles in a bounded sketch and names each set; copies share a set, and sets are what is joined.
     2. The rare-first prefixes meet by shingle; shingles that only one set has in its prefix drop out.
-    3. Each class is compared with the smallest class at each shared shingle, which links a family of copies by a
+    3. Each set is compared with that of the smallest frame at each shared shingle, which links a family of near copies by a
        number of pairs that grows with the family, not with its square.
     4. What step 3 left apart is joined pair by pair at the shingles where more than one component meets.
     """
-    base = frames.select(F.col("frame_idx").cast("long").alias("frame_idx"), "composite")
+    base = frames.select(F.col("frame_idx").cast("long").alias("frame_idx"), "composite", F.xxhash64("composite").alias("text_hash"))
     scanned = settle(_scan(base, size))
-    meta = scanned.where("part IS NULL").select("frame_idx", "n_shingles", "set_id")
-    classes = (
-        meta.where("set_id IS NOT NULL AND frame_idx IS NOT NULL").groupBy("set_id").agg(F.min("frame_idx").alias("rep"), F.max("frame_idx").alias("last"))
-    )
-    copies = settle(
-        meta.where("frame_idx IS NOT NULL").join(classes.where("last > rep"), "set_id").where("frame_idx > rep")
-        .select("frame_idx", "rep").distinct()
-    )
+    meta = scanned.where("part IS NULL").select("frame_idx", "text_hash", "n_shingles", "set_id", "mark")
+    known = meta.where("set_id IS NOT NULL AND frame_idx IS NOT NULL")
+    nodes = _nodes(known)
+    moved = nodes.where("node <> frame_idx OR last > frame_idx").select("set_id", "node")
+    copies = settle(known.join(moved, "set_id").where("frame_idx <> node").select("frame_idx", "mark", "node").distinct())
     sketch = base.sparkSession.sparkContext.broadcast(_sketch(scanned))  # 2^SKETCH_BITS counters, two rows: 4 MB
     met = F.count("*").over(Window.partitionBy("shingle"))
-    shared = _prefixes(base, size, percent, sketch).withColumn("met", met).where("met > 1").drop("met")
+    shared = settle(_prefixes(base, size, percent, sketch).withColumn("met", met).where("met > 1").drop("met"))
     shared = settle(
-        settle(shared).join(copies, "frame_idx", "left").select("shingle", F.coalesce("rep", "frame_idx").alias("rep"), "n", "pos").distinct()
+        shared.join(copies, ["frame_idx", "mark"], "left").select("shingle", F.coalesce("node", "frame_idx").alias("node"), "n", "pos").distinct()
     )
-    lead = shared.groupBy("shingle").agg(F.min(F.struct("rep", "n", "pos")).alias("b"))
+    lead = shared.groupBy("shingle").agg(F.min(F.struct("node", "n", "pos")).alias("b"))
     near = settle(
-        shared.select("shingle", F.struct("rep", "n", "pos").alias("a")).join(lead, "shingle")
-        .where("a.rep <> b.rep").where(_bound(percent)).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
+        shared.select("shingle", F.struct("node", "n", "pos").alias("a")).join(lead, "shingle")
+        .where("a.node <> b.node").where(_bound(percent)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
     )
-    involved = settle(shared.join(shared.groupBy("shingle").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y"), "shingle").select("rep").distinct())
+    several = shared.groupBy("shingle").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y")
+    involved = settle(shared.join(several, "shingle").select("node").distinct().join(nodes, "node").select("node", "frame_idx", "text_hash"))
     texts = settle(
-        bloom.keep_possible(base, "frame_idx", bloom.build(involved, "rep")).join(involved, F.col("frame_idx") == F.col("rep"), "left_semi")
-        .withColumn("h", F.xxhash64("composite")).dropDuplicates(["frame_idx", "h"]).drop("h")
+        bloom.keep_possible(base, "frame_idx", bloom.build(involved, "frame_idx")).join(involved, ["frame_idx", "text_hash"])
+        .select("node", "composite").dropDuplicates(["node"])
     )
     first = settle(_verify(near, texts, size, percent))
     group = graph.components(first)
-    placed = shared.join(group.withColumnRenamed("node", "rep"), "rep", "left").select("shingle", "rep", "n", "pos", F.coalesce("component", "rep").alias("c"))
-    placed = settle(placed)
+    placed = settle(
+        shared.join(group, "node", "left").select("shingle", "node", "n", "pos", F.coalesce("component", "node").alias("c"))
+    )
     apart = placed.groupBy("shingle").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("shingle")
     rest = placed.join(apart, "shingle", "left_semi")
     crossing = (
         rest.alias("a").join(rest.alias("b"), "shingle").where("a.c < b.c").where(_bound(percent, first=True))
-        .select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
+        .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
     )
     crossing = settle(crossing.join(near.union(near.select("b", "a")), ["a", "b"], "left_anti"))
     second = settle(_verify(crossing, texts, size, percent))
-    found = graph.components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second))
-    of_class = copies.select(F.col("frame_idx").alias("node"), "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    of_frame = of_class.select("node", F.coalesce("component", "rep").alias("component")).union(found.join(copies.select(F.col("frame_idx").alias("node")), "node", "left_anti").select("node", "component"))
-    return meta.join(of_frame.withColumnRenamed("node", "frame_idx"), "frame_idx", "left").select(
-        "frame_idx", "n_shingles", F.coalesce("component", "frame_idx").alias("component_id")
+    return meta.join(_frame_components(known, nodes, group, second), "frame_idx", "left").select(
+        "frame_idx", "n_shingles", F.coalesce("component_id", "frame_idx").alias("component_id")
     )
+
+
+def _nodes(known: DataFrame) -> DataFrame:
+    """A row a set: set_id, node (a number of its own), frame_idx and text_hash of one text of it, last (its largest frame_idx).
+
+    The node is the smallest frame_idx with the set. Of several sets with the same smallest frame all but one get
+    numbers below all frames.
+    """
+    first = F.min(F.struct("frame_idx", "text_hash"))
+    classes = settle(known.groupBy("set_id").agg(first.alias("first"), F.max("frame_idx").alias("last")).select("set_id", "first.*", "last"))
+    crowded = classes.groupBy("frame_idx").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).where("x < y").select("frame_idx", "x")
+    others = settle(classes.join(crowded, "frame_idx").where("set_id <> x").select("set_id", (F.monotonically_increasing_id() + F.lit(-(1 << 63))).alias("low")))
+    return settle(classes.join(others, "set_id", "left").select("set_id", F.coalesce("low", "frame_idx").alias("node"), "frame_idx", "text_hash", "last"))
+
+
+def _frame_components(known: DataFrame, nodes: DataFrame, group: DataFrame, links: DataFrame) -> DataFrame:
+    """frame_idx, component_id of the frames whose sets have copies, links or company, out of the components of nodes.
+
+    The sets of a frame with several texts are united first.
+    """
+    crowded = known.groupBy("frame_idx").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).where("x < y").select("frame_idx")
+    of_crowd = settle(known.join(crowded, "frame_idx").select("frame_idx", "set_id").distinct().join(nodes.select("set_id", "node"), "set_id"))
+    least = of_crowd.groupBy("frame_idx").agg(F.min("node").alias("b"))
+    united = of_crowd.join(least, "frame_idx").select(F.col("node").alias("a"), "b")
+    of_node = settle(graph.components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links).union(united)))
+    member = of_node.union(of_node.select("component", "component").distinct())
+    placed = nodes.join(member, "node", "left").where("component IS NOT NULL OR last > frame_idx")
+    placed = settle(placed.select("set_id", "frame_idx", F.coalesce("component", "node").alias("component")))
+    smallest = placed.groupBy("component").agg(F.min("frame_idx").alias("component_id"))
+    ends = settle(placed.select("set_id", "component").join(smallest, "component").select("set_id", "component_id"))
+    return known.join(ends, "set_id").groupBy("frame_idx").agg(F.min("component_id").alias("component_id"))

@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilmark.llm import words as W
+from veilmark.plans.session import settle
 
 # ---- fixed values: grades of the review statuses ---------------------------------------------
 GRADES = {"rejected": 0, "pending": 1, "accepted": 2}
@@ -115,40 +116,50 @@ def tails(score: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(score[:, None] - thresholds[None, :], -60, 60)))
 
 
-def _contrast(place: np.ndarray, owner: np.ndarray, grades: np.ndarray, times: np.ndarray, levels: int) -> np.ndarray:
+def contrast(times: np.ndarray, totals: np.ndarray) -> np.ndarray:
     """How much more frequent each feature is below some threshold than above: its largest log ratio of shares.
 
-    0 where no difference reaches MIN_SIGMAS, so that words of single texts or of all texts play no part.
+    times: texts with the feature, by feature and grade; totals: texts by grade. 0 where no difference reaches
+    MIN_SIGMAS or fewer than MIN_TEXTS texts have the feature, so that words of single texts or of all texts play no part.
     """
-    n, out = len(grades), np.zeros(len(times))
-    for k in range(1, levels):
-        above = int((grades >= k).sum())
+    n, out, all_times = totals.sum(), np.zeros(len(times)), times.sum(axis=1)
+    for k in range(1, len(totals)):
+        above = totals[k:].sum()
         if 0 < above < n:
-            high = np.bincount(place, (grades >= k)[owner].astype(float), len(times))
-            low, below = times - high, n - above
-            spread = np.sqrt(np.maximum(times * (1 - times / n) / n, 1e-12) * (1 / above + 1 / below))
+            high = times[:, k:].sum(axis=1)
+            low, below = all_times - high, n - above
+            spread = np.sqrt(np.maximum(all_times * (1 - all_times / n) / n, 1e-12) * (1 / above + 1 / below))
             ratio = np.log((low + 0.5) / (below + 1)) - np.log((high + 0.5) / (above + 1))
             out = np.maximum(out, np.where(low / below - high / above >= MIN_SIGMAS * spread, ratio, 0.0))
-    return out
+    return np.where(all_times >= MIN_TEXTS, out, 0.0)
 
 
 def fit(texts: pa.Array, grades: np.ndarray, share: np.ndarray, levels: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of all features and thresholds, for texts that lie in memory. share: the weight of each row."""
+    index, value, ends = features(texts)
+    owner = np.repeat(np.arange(len(grades)), np.diff(ends))
+    used, place = np.unique(index, return_inverse=True)
+    times = np.bincount(place * levels + grades[owner], minlength=len(used) * levels).reshape(-1, levels)
+    scale = contrast(times, np.bincount(grades, minlength=levels))
+    telling = scale >= MIN_RATIO
+    kept = telling[place]
+    weights, thresholds = fit_rows((np.cumsum(telling) - 1)[place[kept]], value[kept], owner[kept], grades, share, scale[telling], levels)
+    whole = np.zeros(DIMENSIONS, np.float32)
+    whole[used[telling]] = weights
+    return whole, thresholds
+
+
+def fit_rows(
+    index: np.ndarray, value: np.ndarray, owner: np.ndarray, grades: np.ndarray, share: np.ndarray, scale: np.ndarray, levels: int = 3
+) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds by accelerated gradient steps on the penalised cumulative-link likelihood.
 
-    share: the weight of each row. Thresholds are kept in order and LEAST_GAP apart.
-    Features are scaled by how well they mark lower grades; those that fewer than MIN_TEXTS of the texts have, or
-    that mark none, keep the weight 0. No weight is above 0: a text is held good until something speaks against
-    it, so that short texts, which have few features, are not graded down.
+    index, value, owner: the telling features of all rows, numbered from 0, and the row of each; scale: how well each
+    feature marks lower grades; grades and share: grade and weight of each row. Thresholds are kept in order and LEAST_GAP apart. No weight is above 0: a text is
+    held good until something speaks against it, so that short texts, which have few features, are not graded down.
     """
-    index, value, ends = features(texts)
-    owner = np.repeat(np.arange(len(grades)), np.diff(ends))
-    used, place, times = np.unique(index, return_inverse=True, return_counts=True)
-    scale = np.where(times >= MIN_TEXTS, _contrast(place, owner, grades, times, levels), 0.0)
-    common = scale >= MIN_RATIO
-    kept, used, scale = common[place], used[common], scale[common]
-    index, owner = (np.cumsum(common) - 1)[place[kept]], owner[kept]
-    value = value[kept] * scale[index]
-    n, width, rows = len(grades), len(used), np.arange(len(grades))
+    value = value * scale[index]
+    n, width, rows = len(grades), len(scale), np.arange(len(grades))
     share = share / share.sum()
 
     def slopes(score: np.ndarray, thresholds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,9 +183,62 @@ def fit(texts: pa.Array, grades: np.ndarray, share: np.ndarray, levels: int = 3)
         new = np.minimum(ahead + step * by_weight, 0.0)
         ahead = new + k / (k + 3) * (new - weights)
         weights = new
-    whole = np.zeros(DIMENSIONS, np.float32)
-    whole[used] = weights * scale
-    return whole, thresholds
+    return weights * scale, thresholds
+
+
+def _chosen(reviewed: DataFrame, per_grade: int) -> tuple[DataFrame, dict[int, int]]:
+    """At most `per_grade` reviewed events of each grade by a hash of event_id, and how many each grade has.
+
+    A threshold of the hash leaves little more than wanted of each grade before the rest is ranked.
+    """
+    grade = F.create_map(*[F.lit(x) for pair in GRADES.items() for x in pair])[F.col("status")]
+    rated = (
+        reviewed.where(F.col("status").isin(*GRADES) & F.col("event_id").isNotNull())
+        .groupBy("event_id").agg(F.min(grade).alias("grade")).withColumn("h", F.xxhash64("event_id"))
+    )
+    totals = {r["grade"]: r["n"] for r in rated.groupBy("grade").agg(F.count("*").alias("n")).collect()}  # 3 rows
+    wanted = F.lit(False)
+    for g, n in totals.items():
+        reach = min(1.0, (1.1 * per_grade + 200) / n)
+        wanted = wanted | ((F.col("grade") == g) & (F.col("h") <= min((1 << 63) - 1, int(reach * (1 << 64)) - (1 << 63))))
+    rank = F.row_number().over(Window.partitionBy("grade").orderBy("h", "event_id"))
+    return rated.where(wanted).withColumn("rank", rank).where(F.col("rank") <= per_grade).select("event_id", "grade"), totals
+
+
+def _sampled_features(sample: DataFrame) -> DataFrame:
+    """Features of the sampled texts, and their lowest shingle hash, by which copies are told."""
+    schema = T.StructType([sample.schema["event_id"], *[T.StructField(n, t) for n, t in (
+        ("grade", T.IntegerType()), ("h", T.LongType()), ("lowest", T.LongType()), ("index", T.ArrayType(T.IntegerType())), ("value", T.ArrayType(T.FloatType())))]])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in W.slices(whole, "extracted_text", 1 << 20):
+                text = batch.column("extracted_text")
+                index, value, ends = features(text)
+                lowest = [int(x[0].astype(np.int64)) if len(x) else 0 for x in W.shingle_sets(text, SHINGLE_WORDS)]
+                bounds = pa.array(ends, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("event_id"), batch.column("grade"), batch.column("h"), pa.array(lowest, pa.int64()),
+                     pa.ListArray.from_arrays(bounds, pa.array(index, pa.int32())), pa.ListArray.from_arrays(bounds, pa.array(value, pa.float32()))],
+                    names=schema.names,
+                )
+
+    return sample.mapInArrow(read, schema)
+
+
+def _telling(rows: DataFrame, totals: np.ndarray) -> dict[int, float]:
+    """Scale of each feature that marks lower grades, out of counts that Spark sums; some thousands."""
+    levels = len(totals)
+    times = [F.sum((F.col("grade") == g).cast("long")).alias(f"g{g}") for g in range(levels)]
+    counts = rows.select("grade", F.explode("index").alias("feature")).groupBy("feature").agg(*times)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scale = contrast(np.stack([batch.column(f"g{g}").to_numpy() for g in range(levels)], axis=1), totals)
+            good = np.flatnonzero(scale >= MIN_RATIO)
+            yield pa.record_batch({"feature": batch.column("feature").take(pa.array(good)), "scale": pa.array(scale[good])})
+
+    return dict(map(tuple, counts.where(" + ".join(f"g{g}" for g in range(levels)) + f" >= {MIN_TEXTS}").mapInArrow(keep, "feature int, scale double").collect()))
 
 
 def fit_ratings(
@@ -184,48 +248,58 @@ def fit_ratings(
 
     Of copies in the sample, told by their lowest shingle hash, one is kept. The rest is weighted back to the shares
     that the statuses have in all reviews. Several reviews of a finding
-    count as the lowest one. None if there is no usable review. One task fits the bounded sample.
+    count as the lowest one. None if there is no usable review. Spark reads the sampled texts, counts their features and finds the telling
+    ones; one task gets those features of each sampled text, as pairs of small numbers, and never a text.
     """
-    grade = F.create_map(*[F.lit(x) for pair in GRADES.items() for x in pair])[F.col("status")]
-    rated = (
-        reviewed.where(F.col("status").isin(*GRADES) & F.col("event_id").isNotNull())
-        .groupBy("event_id").agg(F.min(grade).alias("grade"))
-    )
-    totals = {r["grade"]: r["n"] for r in rated.groupBy("grade").agg(F.count("*").alias("n")).collect()}  # 3 rows
+    chosen, totals = _chosen(reviewed, per_grade)
     if not totals:
         return None
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("grade").orderBy(F.xxhash64("event_id"), "event_id"))
-    chosen = rated.withColumn("rank", rank).where(F.col("rank") <= per_grade)
     sample = findings.select("event_id", "extracted_text").join(
         F.broadcast(chosen), "event_id"  # per_grade rows a status at most
-    )
+    ).select("event_id", "grade", F.xxhash64("extracted_text").alias("h"), "extracted_text")
+    read = settle(_sampled_features(sample))
+    place = F.struct("event_id", "h", "grade")
+    one = read.groupBy("lowest").agg(F.min(place).alias("k")).select("lowest", "k.*")
+    rows = settle(read.join(one, ["lowest", "event_id", "h", "grade"], "left_semi").dropDuplicates(["lowest"]))
+    seen = dict(rows.groupBy("grade").count().collect())  # 3 rows
+    if not seen:
+        return None
+    levels = len(GRADES)
+    scale = _telling(rows, np.array([seen.get(g, 0) for g in range(levels)]))
+    places = np.array(sorted(scale), np.int64)
+    scales = np.array([scale[k] for k in places.tolist()])
+    shared = findings.sparkSession.sparkContext.broadcast(places)  # some thousands
     share = {g: n / min(n, per_grade) for g, n in totals.items()}
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), schema=sample_schema)
-        if table.num_rows:
-            table = table.sort_by([("event_id", "ascending"), ("extracted_text", "ascending")]).combine_chunks()
-            lowest = [int(x[0]) if len(x) else 0 for x in W.shingle_sets(table["extracted_text"].combine_chunks(), SHINGLE_WORDS)]
-            table = table.take(np.unique(np.array(lowest, np.uint64), return_index=True)[1])  # a copied text counts once
-            g = table["grade"].to_numpy().astype(np.int64)
-            w = np.array([share[x] for x in g.tolist()])
-            weights, thresholds = fit(table["extracted_text"].combine_chunks(), g, w / w.mean())
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            lists = batch.column("index")
+            index, value = lists.flatten().to_numpy(), batch.column("value").flatten().to_numpy()
+            owner = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(lists).to_numpy())
+            at = np.minimum(np.searchsorted(known, index), max(0, len(known) - 1))
+            good = known[at] == index if len(known) else np.zeros(len(index), bool)
+            bounds = pa.array(np.searchsorted(owner[good], np.arange(batch.num_rows + 1)), pa.int32())
             yield pa.record_batch({
-                "places": pa.array([np.flatnonzero(weights).tolist()]),
-                "weights": pa.array([weights[np.flatnonzero(weights)].tolist()]),
-                "thresholds": pa.array([thresholds.tolist()]),
+                "lowest": batch.column("lowest"), "grade": batch.column("grade"),
+                "index": pa.ListArray.from_arrays(bounds, pa.array(at[good], pa.int32())),
+                "value": pa.ListArray.from_arrays(bounds, pa.array(value[good], pa.float32())),
             })
 
-    sample = sample.select("event_id", "extracted_text", "grade")
-    id_type = sample.schema["event_id"].dataType
-    sample_schema = pa.schema([
-        ("event_id", pa.string() if isinstance(id_type, T.StringType) else pa.int64()),
-        ("extracted_text", pa.string()), ("grade", pa.int32()),
-    ])
-    row = sample.repartition(1).mapInArrow(train, "places array<long>, weights array<double>, thresholds array<double>").first()
-    return ((np.array(row[0], np.int64), np.array(row[1])), np.array(row[2])) if row else None
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))  # telling features of the sample
+        table = table.sort_by("lowest").combine_chunks()
+        lists, grades = table["index"].combine_chunks(), table["grade"].to_numpy().astype(np.int64)
+        owner = np.repeat(np.arange(len(grades)), pa.compute.list_value_length(lists).to_numpy())
+        w = np.array([share[g] for g in grades.tolist()])
+        weights, thresholds = fit_rows(lists.flatten().to_numpy(), table["value"].combine_chunks().flatten().to_numpy(), owner, grades, w / w.mean(), scales)
+        yield pa.record_batch({"weights": pa.array([weights.tolist()], pa.list_(pa.float64())), "thresholds": pa.array([thresholds.tolist()])})
+
+    narrowed = rows.select("lowest", "grade", "index", "value").mapInArrow(narrow, "lowest long, grade int, index array<int>, value array<float>")
+    row = narrowed.repartition(1).mapInArrow(train, "weights array<double>, thresholds array<double>").first()
+    weights = np.array(row[0])
+    some = np.flatnonzero(weights)
+    return (places[some], weights[some]), np.array(row[1])
 
 
 def rate_findings(
@@ -249,7 +323,7 @@ def rate_findings(
             weights = np.zeros(DIMENSIONS, np.float32)
             weights[places] = values
         for whole in batches:
-            for batch in W.slices(whole, "extracted_text"):
+            for batch in W.slices(whole, "extracted_text", 1 << 20):
                 text = batch.column("extracted_text")
                 if shared.value is None:
                     tail = np.ones((batch.num_rows, 2))

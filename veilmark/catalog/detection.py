@@ -9,6 +9,7 @@ from veilmark.functions.numeric import frame_to_ms, ms_to_frame, usable_fps
 from veilmark.operators import boxes as ob
 from veilmark.operators import classify as oc
 from veilmark.operators import sampling as os_
+from veilmark.operators import terms
 from veilmark.schemas import DEFAULT_OVERRIDES, DEFAULT_THRESHOLD
 from veilmark.sources import adapters as ad
 from veilmark.sources.rules import BUILTIN, builtin_rules, make_rule
@@ -561,6 +562,52 @@ def deny_list(spark: SparkSession, d: str) -> DataFrame:
     return oc.deny_list(ad.boxes(spark, d), _deny_rules()).select(*BOX, "rule_id")
 
 
+# Phrases of three words as a list of terms that is a table.
+_PHRASES = """
+SELECT 'item_' || item_id || '_' || k rule_id, array_to_string(ws[k + 1:k + 3], ' ') pattern FROM (
+  SELECT item_id, string_split(text, ' ') ws FROM benchmark) JOIN range(0, 1000) r(k) ON k <= len(ws) - 3"""
+
+
+def phrase_rules(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    words = F.split("text", " ")
+    phrases = F.transform(
+        F.sequence(F.lit(0), F.size(words) - 3), lambda k: F.struct(k.alias("k"), F.array_join(F.slice(words, k + 1, 3), " ").alias("pattern"))
+    )
+    return ad.table(spark, d, "benchmark").where(F.size(words) >= 3).select("item_id", F.explode(phrases).alias("p")).select(
+        (F.col("item_id") * 1000 + F.col("p.k")).alias("rule_ord"), F.concat(F.lit("item_"), "item_id", F.lit("_"), "p.k").alias("rule_id"),
+        F.lit(kind).alias("type"), F.lit(True).alias("enabled"), "p.pattern", F.lit("custom").alias("label"), F.lit(0.9).alias("confidence"),
+    )
+
+
+@query("deny_list_table", sql("boxes", """
+SELECT video_id, frame_idx, box_ord, rule_id, 'custom' pii_type FROM boxes JOIN phrases ON contains(lower(text), lower(pattern))""", {"phrases": _PHRASES}))
+def deny_list_table(spark: SparkSession, d: str) -> DataFrame:
+    return terms.deny_list_table(ad.boxes(spark, d), phrase_rules(spark, d, "denylist")).select(*BOX, "rule_id", "pii_type")
+
+
+@query("deny_table_counts", sql("boxes", """
+SELECT rule_id, count(b.video_id) boxes, count(DISTINCT b.video_id) videos FROM phrases
+LEFT JOIN boxes b ON contains(lower(text), lower(pattern)) GROUP BY rule_id""", {"phrases": _PHRASES}))
+def deny_table_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Where each listed phrase stands, those that stand nowhere too."""
+    rules = phrase_rules(spark, d, "denylist")
+    found = terms.deny_list_table(ad.boxes(spark, d), rules).groupBy("rule_id").agg(
+        F.count("*").alias("boxes"), F.count_distinct("video_id").alias("videos")
+    )
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return rules.select("rule_id").distinct().join(found, "rule_id", "left").select("rule_id", none("boxes"), none("videos"))
+
+
+@query("allow_list_table", sql("boxes", """
+SELECT h.video_id, h.frame_idx, h.rule_id, h.text FROM hits h WHERE lower(h.text) NOT IN
+  (SELECT lower(text) FROM hits GROUP BY lower(text) HAVING count(*) > 1)""", _HITS))
+def allow_list_table(spark: SparkSession, d: str) -> DataFrame:
+    """Hits but those whose text is found more than once, by a table of those texts."""
+    hits = document_hits(spark, d)
+    often = hits.groupBy(F.lower("text").alias("pattern")).count().where("count > 1")
+    return terms.spared_by_table(hits, often.selectExpr("pattern", "'allowlist' AS type", "true AS enabled")).select(*oc.FRAME, "rule_id", "text")
+
+
 def _deny_rules() -> list[dict]:
     return [make_rule(f"deny_{w}", w, "custom", type="denylist", rule_ord=i, priority=1) for i, w in enumerate(DENIED)]
 

@@ -9,7 +9,7 @@ from veilmark.functions import geometry as geo
 from veilmark.operators import link as ol
 from veilmark.operators import regions as rg
 from veilmark.operators import tracks as tk
-from veilmark.plans.ordered import chunk_by, latest_before, running
+from veilmark.plans.ordered import chunk_by, latest_before, ranked, running
 from veilmark.sources import adapters as ad
 from veilmark.sources.rules import builtin_rules
 
@@ -260,12 +260,7 @@ def frames_in_range_lists(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("merge_regions", sql("linked", """
-SELECT video_id, frame_idx, e.ev event_id, e.c confidence, e.m members, e.x1 x, e.y1 y, e.x2 - e.x1 w, e.y2 - e.y1 h
-FROM (SELECT video_id, frame_idx, unnest(st) e FROM (
-  SELECT video_id, frame_idx, arg_max(st, step) st FROM mg GROUP BY ALL))""", {
-    **_FRAMES,
-    "mg": """
+_MERGING = """
 SELECT video_id, frame_idx, 0 step, list({'x1': x, 'y1': y, 'x2': x + w, 'y2': y + h, 'c': confidence,
   'o': seed_ord, 'ev': event_id, 'm': 1::BIGINT} ORDER BY seed_ord) st FROM regions GROUP BY ALL
 UNION ALL
@@ -281,7 +276,15 @@ FROM (SELECT *, st[i].c > st[j].c OR (st[i].c = st[j].c AND st[i].o < st[j].o) b
         lambda b: a * 1000 + b))), lambda q:
       st[q // 1000].x2 + 15 >= st[q % 1000].x1 AND st[q % 1000].x2 + 15 >= st[q // 1000].x1 AND
       st[q // 1000].y2 + 15 >= st[q % 1000].y1 AND st[q % 1000].y2 + 15 >= st[q // 1000].y1) pr FROM mg)
-  WHERE len(pr) > 0))""",
+  WHERE len(pr) > 0))"""
+
+
+@query("merge_regions", sql("linked", """
+SELECT video_id, frame_idx, e.ev event_id, e.c confidence, e.m members, e.x1 x, e.y1 y, e.x2 - e.x1 w, e.y2 - e.y1 h
+FROM (SELECT video_id, frame_idx, unnest(st) e FROM (
+  SELECT video_id, frame_idx, arg_max(st, step) st FROM mg GROUP BY ALL))""", {
+    **_FRAMES,
+    "mg": _MERGING,
 }))
 def merge_regions(spark: SparkSession, d: str) -> DataFrame:
     kfs = linked(spark, d)
@@ -291,6 +294,28 @@ def merge_regions(spark: SparkSession, d: str) -> DataFrame:
     return rg.merge_regions(ranked)
 
 
+@query("merge_with_polygons", sql("linked", """
+SELECT video_id, frame_idx, event_id, 1::BIGINT members, x, y, w, h, true shaped FROM told WHERE shaped
+UNION ALL
+SELECT video_id, frame_idx, e.ev event_id, e.m members, e.x1 x, e.y1 y, e.x2 - e.x1 w, e.y2 - e.y1 h, false
+FROM (SELECT video_id, frame_idx, unnest(st) e FROM (
+  SELECT video_id, frame_idx, arg_max(st, step) st FROM mg GROUP BY ALL))""", {
+    **_FRAMES,
+    "told": "SELECT *, seed_ord % 3 = 0 shaped FROM regions",
+    "mg": _MERGING.replace("FROM regions", "FROM told WHERE NOT shaped"),
+}))
+def merge_with_polygons(spark: SparkSession, d: str) -> DataFrame:
+    """Regions of every third event are polygons, which stay as they are."""
+    kfs = linked(spark, d)
+    ranked_regions = covered_frames(spark, d, kfs).join(
+        ol.event_summary(kfs).select("event_id", F.col("seed_ord").alias("event_ord")), "event_id"
+    )
+    right, low = F.col("x") + F.col("w"), F.col("y") + F.col("h")
+    polygon = F.when(F.col("event_ord") % 3 == 0, F.array(F.array("x", "y"), F.array(right, F.col("y")), F.array(right, low)))
+    merged = rg.merge_regions(ranked_regions.withColumn("polygon", polygon))
+    return merged.select("video_id", "frame_idx", "event_id", "members", *"xywh", F.col("polygon").isNotNull().alias("shaped"))
+
+
 @query("coverage", sql("linked", """
 SELECT v.video_id, 2600 total_frames, coalesce(n, 0) covered_frames, coalesce(n, 0) / 2600::DOUBLE coverage
 FROM (SELECT DISTINCT video_id FROM cands) v
@@ -584,6 +609,24 @@ def drift_blend(spark: SparkSession, d: str) -> DataFrame:
     return done.select("video_id", "frame_idx", drift.alias("drift"))
 
 
+@query("drift_blend_long", sql("hists", """
+SELECT f::INT frame_idx, round(drift, 9) drift FROM bl""", {
+    "dn": """SELECT row_number() OVER (ORDER BY frame_idx, video_id) - 1 f, hist FROM hists""",
+    "bl": f"""
+SELECT f, hist ref, 0::DOUBLE drift FROM dn WHERE f = 0
+UNION ALL
+SELECT n.f, list_transform(range(1, 65), lambda i: b.ref[i] * (1 - 0.02::DOUBLE) + n.hist[i] * 0.02::DOUBLE),
+  {_DIST.format(a='b.ref', b='n.hist')}
+FROM bl b JOIN dn n ON n.f = b.f + 1"""}))
+def drift_blend_long(spark: SparkSession, d: str) -> DataFrame:
+    """One track of all histograms, blended at every frame, with chunks much shorter than the track."""
+    hists = ad.hists(spark, d).select(F.lit("all").alias("track"), "frame_idx", "video_id", "hist")
+    placed = ranked(hists, ["track"], ["frame_idx", "video_id"], "rn", chunk_by("frame_idx", 512)).withColumn("n", (F.col("rn") - 1).cast("int"))
+    done = tk.with_blended_drift(placed.select("track", "n", "hist"), ["track"], "n", every=1, alpha=0.02, chunk_marks=100)
+    drift = F.when(F.col("n") == 0, F.lit(0.0)).otherwise(F.round("drift", 9))
+    return done.select(F.col("n").alias("frame_idx"), drift.alias("drift"))
+
+
 @query("hold_last", sql("cands", """
 SELECT video_id, cand_ord, hx x, hy y FROM hs JOIN
   (SELECT video_id, coalesce(min(cand_ord) FILTER (streak > 8), 100000000000) stop_at FROM hs GROUP BY ALL) USING (video_id)

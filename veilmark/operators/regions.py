@@ -190,109 +190,137 @@ def rects_close(a: Column, b: Column, gap: int = MERGE_GAP_PX) -> Column:
     )
 
 
-_PIECE = ["x1", "y1", "x2", "y2", "confidence", "rank", "members"]
-
-
-def _unite(rows: dict[str, np.ndarray], gap: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Unite near rectangles until none are near: (kept row, members, x1, y1, x2, y2) of each result."""
-    x1, y1, x2, y2 = (rows[c].copy() for c in ("x1", "y1", "x2", "y2"))
-    members, keep = rows["members"].copy(), np.arange(len(x1))
-    alive = np.ones(len(x1), dtype=bool)
-    for i in range(len(x1)):
-        while alive[i]:
-            near = alive & (x1 <= x2[i] + gap) & (x2 + gap >= x1[i]) & (y1 <= y2[i] + gap) & (y2 + gap >= y1[i])
-            near[i] = False
-            if not near.any():
-                break
-            group = np.append(np.flatnonzero(near), i)
-            keep[i] = max(keep[group], key=lambda j: (rows["confidence"][j], -rows["rank"][j]))
-            members[i] = members[group].sum()
-            x1[i], y1[i], x2[i], y2[i] = x1[group].min(), y1[group].min(), x2[group].max(), y2[group].max()
-            alive[near] = False
-    left = np.flatnonzero(alive)
-    return [(int(keep[i]), int(members[i]), int(x1[i]), int(y1[i]), int(x2[i]), int(y2[i])) for i in left]
-
-
-def _unite_frames(gap: int):
-    """Unite the rectangles of each patch of a frame; patches arrive whole and one after the other."""
+_SIDES = ["x1", "y1", "x2", "y2"]
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def done(table: pa.Table, bounds: list[int]) -> pa.RecordBatch:
-            columns = {c: table.column(c).to_numpy() for c in _PIECE}
-            found, take = [], []
-            for lo, hi in zip(bounds, bounds[1:]):
-                for row in _unite({c: v[lo:hi] for c, v in columns.items()}, gap):
-                    take.append(lo + row[0])
-                    found.append(row[1:])
-            kept = table.take(pa.array(take, pa.int64()))
-            members, ax, ay, bx, by = (list(v) for v in zip(*found))
-            sides = [ax, ay, [b - a for a, b in zip(ax, bx)], [b - a for a, b in zip(ay, by)]]
-            return pa.RecordBatch.from_arrays(
-                [kept.column(c).combine_chunks() for c in ("video_id", "frame_idx", "event_id", "confidence")]
-                + [pa.array(members, pa.int64())] + [pa.array(v, pa.int32()) for v in sides],
-                names=["video_id", "frame_idx", "event_id", "confidence", "members", "x", "y", "w", "h"],
-            )
 
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            frames = list(zip(*[held.column(c).to_pylist() for c in ("video_id", "frame_idx", "_rx", "_ry")]))
-            bounds = [0] + [i for i in range(1, len(frames)) if frames[i] != frames[i - 1]]
-            # The last patch may go on in the next batch.
-            if len(bounds) > 1:
-                yield done(held, bounds)
-                held = held.slice(bounds[-1])
-        if held is not None and held.num_rows:
-            yield done(held, [0, held.num_rows])
+def _close_pairs(frame: np.ndarray, box: dict[str, np.ndarray], gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Near rectangles of a frame, by one plane sweep over all frames at once.
 
-    return step
+    Rows are sorted by frame and left side. Each is compared with the next one, then the one after it, and so on, as long as
+    that one still starts within reach.
+    """
+    here, step, pairs = np.arange(len(frame)), 1, [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    while len(here):
+        here = here[here + step < len(frame)]
+        other = here + step
+        reach = (frame[other] == frame[here]) & (box["x1"][other] <= box["x2"][here] + gap)
+        here, other = here[reach], other[reach]
+        near = (box["y1"][other] <= box["y2"][here] + gap) & (box["y1"][here] <= box["y2"][other] + gap)
+        pairs.append((here[near], other[near]))
+        step += 1
+    return np.concatenate([a for a, _ in pairs]), np.concatenate([b for _, b in pairs])
+
+
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest row that each row is joined to by pairs (a, b)."""
+    top = np.arange(n)
+    while True:
+        low = np.minimum(top[a], top[b])
+        before = top.copy()
+        np.minimum.at(top, top[a], low)
+        np.minimum.at(top, top[b], low)
+        top = top[top]
+        if (top == before).all():
+            return top
+
+
+def _unite(frame: np.ndarray, box: dict[str, np.ndarray], confidence: np.ndarray, rank: np.ndarray, members: np.ndarray, gap: int) -> tuple:
+    """Unite near rectangles of each frame until none are near: (kept row, members, sides) of each result."""
+    row = np.arange(len(frame))
+    while True:
+        order = np.lexsort((box["x1"], frame))
+        frame, row, members = frame[order], row[order], members[order]
+        box = {c: v[order] for c, v in box.items()}
+        a, b = _close_pairs(frame, box, gap)
+        if not len(a):
+            return row, members, box
+        top = _joined(len(frame), a, b)
+        first = np.lexsort((rank[row], -confidence[row], top))
+        heads = first[np.flatnonzero(np.diff(top[first], prepend=-1))]  # the surest row of each group
+        group = np.cumsum(np.diff(top[first], prepend=-1) != 0) - 1
+        starts = np.flatnonzero(np.diff(group, prepend=-1))
+        box = {c: (np.minimum if c.endswith("1") else np.maximum).reduceat(v[first], starts) for c, v in box.items()}
+        frame, row, members = frame[heads], row[heads], np.add.reduceat(members[first], starts)
+
+
+def _unite_frames(gap: int, names: list[str]):
+    """Unite the rectangles of whole frames, which arrive one after the other; rows with `solo` stay as they are."""
+
+    def done(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        video = table["video_id"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        number = table["frame_idx"].to_numpy()
+        change = (np.diff(video, prepend=-2) != 0) | (np.diff(number, prepend=number[:1] - 1) != 0)
+        frame = np.cumsum(change)
+        solo = table["solo"].is_valid().to_numpy()
+        box = {c: table[c].to_numpy().astype(np.int64) for c in _SIDES}
+        free = np.flatnonzero(~solo)
+        row, members, sides = _unite(
+            frame[free], {c: v[free] for c, v in box.items()}, table["confidence"].to_numpy()[free], table["rank"].to_numpy()[free],
+            table["members"].to_numpy()[free], gap,
+        )
+        alone = np.flatnonzero(solo)
+        kept = table.take(pa.array(np.concatenate([free[row], alone])))
+        x1, y1, x2, y2 = (np.concatenate([sides[c], box[c][alone]]) for c in _SIDES)
+        out = {"members": pa.array(np.concatenate([members, np.ones(len(alone), np.int64)]))}
+        out |= {c: pa.array(v, pa.int32()) for c, v in zip("xywh", (x1, y1, x2 - x1, y2 - y1))}
+        return pa.RecordBatch.from_arrays([out[c] if c in out else kept[c].combine_chunks() for c in names], names=names)
 
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = lambda some, i: (some.column("video_id")[i].as_py(), some.column("frame_idx")[i].as_py())
+            last = key(batch, batch.num_rows - 1)
+            if held and key(held[-1], 0) == last:  # still the same frame
+                held.append(batch)
+                continue
+            # The last frame may go on in the next batch.
+            low, high = 0, batch.num_rows - 1
+            while low < high:
+                middle = (low + high) // 2
+                low, high = (low, middle) if key(batch, middle) == last else (middle + 1, high)
+            if held or low:
+                yield done(pa.Table.from_batches([*held, batch.slice(0, low)]))
+            held = [batch.slice(low)]
+        if held:
+            yield done(pa.Table.from_batches(held))
 
-def _strips(df: DataFrame, keys: list[str], low: str, high: str, name: str, gap: int) -> DataFrame:
-    """Number the runs of rectangles along one axis that no empty strip wider than the gap divides."""
-    order = Window.partitionBy(*keys).orderBy(low)
-    reached = F.max(high).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opened = df.withColumn("_new", F.coalesce(F.col(low) > reached + gap, F.lit(False)).cast("int"))
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return opened.withColumn(name, F.sum("_new").over(upto)).drop("_new")
+    return step
 
 
 def merge_regions(regions: DataFrame, gap: int = MERGE_GAP_PX, rank: str = "event_ord") -> DataFrame:
     """Unite the rectangles of each frame that overlap or nearly touch; the surest event is kept.
 
+    regions: video_id, frame_idx, event_id, confidence, x, y, w, h and the `rank` column; where a column `polygon` is
+    there, rows with a polygon are neither united nor do they draw others together, and the result has the column too.
+
     Rectangles whose corners share a grid cell of the gap's size are near for certain, so they are
     united by a plain aggregation first. After that a frame holds at most one rectangle per cell,
-    which bounds a frame by its area whatever the number of regions. Empty strips wider than the gap
-    then cut the frame into patches that cannot reach each other. Patches of one rectangle are
-    finished; only the others go through Python, in whole Arrow batches. Ties in confidence go to the
-    lower `rank`.
+    which bounds a frame by its area whatever the number of regions. One pass over whole frames then sweeps each
+    and unites what is near, again and again until nothing is. Ties in confidence go to the lower `rank`.
     """
+    shaped = "polygon" in regions.columns
+    polygon = F.when(F.size("polygon") > 0, F.col("polygon")) if shaped else F.lit(None).cast("array<array<int>>")
+    # polygons are groups of one row
+    told = regions.withColumn("_polygon", polygon).withColumn("solo", F.when(F.col("_polygon").isNotNull(), F.monotonically_increasing_id()))
     best = F.max(F.struct("confidence", (-F.col(rank)).alias("r"), "event_id"))
-    united = regions.groupBy(
-        "video_id", "frame_idx", F.floor(F.col("x") / gap).alias("gx"), F.floor(F.col("y") / gap).alias("gy")
+    united = told.groupBy(
+        "video_id", "frame_idx", F.floor(F.col("x") / gap).alias("gx"), F.floor(F.col("y") / gap).alias("gy"), "solo"
     ).agg(
         F.min("x").alias("x1"), F.min("y").alias("y1"), F.max(F.col("x") + F.col("w")).alias("x2"),
         F.max(F.col("y") + F.col("h")).alias("y2"), best.alias("b"), F.count("*").alias("members"),
-    ).select(
-        "video_id", "frame_idx", "x1", "y1", "x2", "y2", "b.confidence", (-F.col("b.r")).alias("rank"),
-        "b.event_id", "members",
-    )
-    frame = ["video_id", "frame_idx"]
-    apart = _strips(_strips(united, frame, "x1", "x2", "_rx", gap), [*frame, "_rx"], "y1", "y2", "_ry", gap)
-    counted = apart.withColumn("_n", F.count("*").over(Window.partitionBy(*frame, "_rx", "_ry")))
-    alone = counted.filter("_n = 1").selectExpr(
-        *frame, "event_id", "confidence", "members", "x1 x", "y1 y", "x2 - x1 w", "y2 - y1 h"
+        *([F.any_value("_polygon").alias("polygon")] if shaped else []),
     )
-    several = counted.filter("_n > 1").select(
-        *frame, "_rx", "_ry", "event_id", *_PIECE
-    ).sortWithinPartitions(*frame, "_rx", "_ry")
-    return alone.unionByName(several.mapInArrow(
-        _unite_frames(gap),
-        "video_id string, frame_idx int, event_id string, confidence double, members long,"
-        "x int, y int, w int, h int",
-    ))
+    names = ["video_id", "frame_idx", "event_id", "confidence", "members", *"xywh", *(["polygon"] if shaped else [])]
+    ready = united.selectExpr(
+        "CAST(video_id AS STRING) video_id", "CAST(frame_idx AS LONG) frame_idx", "CAST(b.event_id AS STRING) event_id", "b.confidence", "members", "x1", "y1", "x2",
+        "y2", "-b.r AS rank", "solo", *(["polygon"] if shaped else []),
+    ).repartition("video_id", "frame_idx").sortWithinPartitions("video_id", "frame_idx")
+    kinds = dict(regions.dtypes)
+    schema = "video_id string, frame_idx long, event_id string, confidence double, members long, x int, y int, w int, h int" + (", polygon array<array<int>>" if shaped else "")
+    return ready.mapInArrow(_unite_frames(gap, names), schema).withColumn("frame_idx", F.col("frame_idx").cast(kinds["frame_idx"]))
 
 
 # ---- overlay and hit tests -------------------------------------------------------------------

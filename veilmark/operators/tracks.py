@@ -3,17 +3,21 @@
 A track has one row per frame in order; `keys` name the track and `order` is its frame column.
 """
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from veilmark.functions.histogram import bhattacharyya, blend
+from veilmark.functions.histogram import bhattacharyya
 from veilmark.plans.ordered import chunk_by, latest_before, running
+from veilmark.plans.session import settle
 from veilmark.schemas import BLEND_ALPHA, BLEND_EVERY, DRIFT_FRAMES, DRIFT_THRESHOLD, HOLD_FRAMES
 
 CHUNK_FRAMES = 4096
-FADED = 2.0**-60
+CHUNK_MARKS = 512
 
 
 def _streak(
@@ -49,35 +53,85 @@ def with_reference_drift(tracks: DataFrame, keys: list[str], order: str) -> Data
     return tracks.join(first, keys).withColumn("drift", bhattacharyya(F.col("_ref"), F.col("hist"))).drop("_ref")
 
 
+def _local_blends(marks: DataFrame, keys: list[str], alpha: float) -> DataFrame:
+    """What each mark's blends amount to since the start of its chunk: part (a weighted sum) and faded (the weight
+    that the reference before the chunk still has). One vector is held at a time."""
+    names = [*keys, "_chunk", "_at"]
+    schema = T.StructType([*marks.select(*names).schema.fields, T.StructField("part", T.ArrayType(T.DoubleType())), T.StructField("faded", T.DoubleType())])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, faded = None, None, 1.0
+        for batch in batches:
+            places = list(zip(*[batch.column(c).to_pylist() for c in names[:-1]]))
+            parts, weights = [], []
+            for place, hist in zip(places, batch.column("hist")):
+                value = np.array(hist.values.to_numpy(zero_copy_only=False), np.float64)
+                if place != here:
+                    here, held, faded = place, np.zeros(len(value)), 1.0
+                held, faded = held * (1 - alpha) + value * alpha, faded * (1 - alpha)
+                parts.append(held)
+                weights.append(faded)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(parts, pa.list_(pa.float64())), pa.array(weights, pa.float64())], names=schema.names)
+
+    dealt = marks.select(*names, "hist").repartition(*keys, "_chunk").sortWithinPartitions(*names)
+    return dealt.mapInArrow(walk, schema)
+
+
+def _carried_blends(ends: DataFrame, keys: list[str]) -> DataFrame:
+    """The reference before each chunk of a track: the pairs (faded, part) of its chunks' ends, chained from the first frame's."""
+    names = [*keys, "_chunk"]
+    schema = T.StructType([*ends.select(*names).schema.fields, T.StructField("_before", T.ArrayType(T.DoubleType()))])
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, reference = None, None
+        for batch in batches:
+            places = list(zip(*[batch.column(c).to_pylist() for c in keys]))
+            out = []
+            for place, first, part, faded in zip(places, batch.column("_first"), batch.column("part"), batch.column("faded").to_pylist()):
+                if place != here:
+                    here, reference = place, np.array(first.values.to_numpy(zero_copy_only=False), np.float64)
+                out.append(reference)
+                reference = reference * faded + part.values.to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(out, pa.list_(pa.float64()))], names=schema.names)
+
+    dealt = ends.select(*names, "_first", "part", "faded").repartition(*keys).sortWithinPartitions(*names)
+    return dealt.mapInArrow(chain, schema)
+
+
 def with_blended_drift(
     tracks: DataFrame, keys: list[str], order: str, every: int = BLEND_EVERY, alpha: float = BLEND_ALPHA,
-    depth: int | None = None,
+    chunk_marks: int = CHUNK_MARKS,
 ) -> DataFrame:
     """Distance to a reference that is blended with the current histogram every few frames.
 
-    A blend fades by (1 - alpha) with each later one. `depth` follows from alpha: after so many blends an older one
-    weighs less than FADED and no longer shows in a double, so a window over the blend frames gives the reference.
-    `order` counts frames; the blend takes effect after its own frame.
+    A blend replaces the reference by (1 - alpha) of it and alpha of the current histogram. Blends in a row are such a step as well:
+    a weight for the reference before them and a weighted sum. So each (track, chunk of `chunk_marks` blends) is walked on its own, the chunks'
+    steps are chained along the track, and every blend frame gets its reference from both, for any alpha and any length.
+
+    `order` counts frames; the blend takes effect after its own frame. A frame without a histogram, or with one of another
+    size than the track's first, is no blend; the result has the rows and columns of tracks and `drift`.
     """
-    if depth is None:
-        depth = math.ceil(math.log(FADED) / math.log1p(-alpha)) if 0 < alpha < 1 else 1
     first = tracks.groupBy(*keys).agg(
         F.min(order).alias("_start"), F.min_by("hist", order).alias("_first")
     )
     placed = tracks.join(first, keys).withColumn("_since", F.col(order) - F.col("_start")).withColumn(
         "_step", F.floor((F.col("_since") - 1) / every)
     )
-    marks = placed.filter((F.col("_since") > 0) & (F.col("_since") % every == 0) & F.col("hist").isNotNull())
-    recent = Window.partitionBy(*keys).orderBy("_at").rowsBetween(-(depth - 1), Window.currentRow)
-    blends = marks.select(
-        *keys, F.floor(F.col("_since") / every).alias("_at"), "hist", "_first"
-    ).withColumn("_list", F.collect_list("hist").over(recent)).select(
+    at = F.floor(F.col("_since") / every)
+    marks = placed.where((F.col("_since") > 0) & (F.col("_since") % every == 0) & (F.size("hist") == F.size("_first"))).select(
+        *keys, at.alias("_at"), F.floor(at / chunk_marks).alias("_chunk"), F.col("hist").cast("array<double>").alias("hist")
+    )
+    local = settle(_local_blends(marks, keys, alpha))
+    ends = local.groupBy(*keys, "_chunk").agg(F.max_by(F.struct("part", "faded"), "_at").alias("end")).select(*keys, "_chunk", "end.*")
+    starts = first.select(*keys, F.col("_first").cast("array<double>").alias("_first"))
+    carried = _carried_blends(ends.join(starts, keys), keys)
+    blends = local.join(carried, [*keys, "_chunk"]).select(
         *keys, F.col("_at").alias("_mark"),
-        F.aggregate("_list", F.col("_first"), lambda ref, h: blend(ref, h, alpha)).alias("_ref"),
+        F.zip_with("_before", "part", lambda r, p: r * F.col("faded") + p).alias("_ref"),
     )
     # Which blend is the latest before each row: the mark itself when no frame is missing.
     stacked = placed.select(*keys, order, "_step", F.lit(1).alias("_k")).unionByName(
-        blends.select(*keys, F.col("_mark").alias("_step"), F.lit(0).alias("_k")), allowMissingColumns=True
+        local.select(*keys, F.col("_at").alias("_step"), F.lit(0).alias("_k")), allowMissingColumns=True
     )
     found = running(
         stacked, keys, ["_step", "_k"], chunk_by("_step", CHUNK_FRAMES),

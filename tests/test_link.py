@@ -76,6 +76,23 @@ def test_against_model(spark, make_cands, seed, chunk, warm):
     assert found == model(rows, cuts, 4000, 80)
 
 
+def test_repair_writes_the_redone_chunks_only(spark, make_cands, monkeypatch, tmp_path):
+    """Chunks that guessed right are written once, whatever the number of rounds."""
+    from veilmark.operators import link
+
+    monkeypatch.setattr(link, "shared_folder", lambda s: str(tmp_path / "walk"))
+    # One stretch where guesses go wrong, and a long quiet one after it.
+    rng = random.Random(3)
+    rows = [(rng.randrange(0, 24_000, 250), rng.randrange(0, 300), rng.randrange(0, 200)) for _ in range(240)]
+    rows += [(t, 100, 100) for t in range(30_000, 430_000, 200)]
+    linked = link_candidates(make_cands(rows), chunk_ms=4000, warm_ms=4000)
+    assert {r.cand_ord: r.seed_ord for r in linked.collect()} == model([(*r, "phone") for r in rows], [], 4000, 80)
+    walked = spark.read.parquet(str(tmp_path / "walk")).where("_state = 0")
+    sizes = {r["_version"]: r["count"] for r in walked.groupBy("_version").count().collect()}
+    assert sizes[0] == len(rows) and len(sizes) > 1
+    assert all(n <= 240 for version, n in sizes.items() if version > 0)
+
+
 def test_invariants(spark, make_cands):
     rng = random.Random(7)
     rows = [(rng.randrange(0, 200_000), rng.randrange(0, 900), rng.randrange(0, 600)) for _ in range(800)]

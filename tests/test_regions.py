@@ -278,3 +278,20 @@ def test_scene_cut_lies_between_samples(spark):
     change = spark.createDataFrame([("v", 30, 60)], "video_id string, prev_frame int, frame_idx int")
     assert sm.scene_cut_times(change, F.lit(30.0)).first().cut_ms == 1500
     assert sm.scene_cut_times(change, F.lit(30.0), strict=True).first().cut_ms == 1000
+
+
+def test_a_long_event_is_filled_by_many_tasks(spark):
+    """Ten hours of one event: its gaps are dealt by event and hour, with the head sent along."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        keys = spark.range(0, 36_000, 10).selectExpr(
+            "'v' AS video_id", "'e' AS event_id", "CAST(id * 1000 AS INT) AS time_ms", "id AS cand_ord", "0.5D AS confidence",
+            "CAST(id % 900 AS INT) AS x", "10 AS y", "80 AS w", "20 AS h")
+        frames = rg.event_frames(keys, 2.0, ["time_ms", "cand_ord"])
+        assert frames.select("frame_idx").distinct().count() == frames.count() >= 71_980
+        used = frames.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+        assert len(used) >= 4 and max(r["count"] for r in used) < 36_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -73,6 +73,25 @@ def test_scene_state_across_batches(spark, sf, tmp_path):
     assert sorted(found.select(key).collect()) == sorted(batch.select(key).collect())
 
 
+def test_shuffled_frames_give_the_scenes_of_the_batch(spark, sf, tmp_path):
+    """Frames come anywhere within the lateness; an idle video is forgotten."""
+    rng = random.Random(2)
+    hists = ad.hists(spark, sf)
+    rows = [(r.video_id, r.frame_idx, r.hist) for r in hists.collect()]
+    schema = "video_id string, frame_idx int, hist array<double>"
+    end = max(r[1] for r in rows)
+    order = sorted(rows, key=lambda r: r[1] + rng.randrange(25)) + [("zz", end + 5000, [1.0]), ("zz", end + 9000, [1.0])]
+    for i in range(0, len(order), len(order) // 4 + 1):
+        part = spark.createDataFrame(order[i:i + len(order) // 4 + 1], schema).withColumn("at", F.timestamp_millis(F.col("frame_idx").cast("long") * 1000))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path))
+    key = ["video_id", "prev_frame", "frame_idx"]
+    found = stateless.run_to_table(stateful.stream_timed_scene_changes(opened(spark, str(tmp_path)), "at", 0.4, "30 seconds", 1 << 40))
+    assert sorted(found.select(key).collect()) == sorted(scene_changes(hists, 0.4).select(key).collect())
+    idle = stateless.run_to_table(stateful.stream_timed_scene_changes(opened(spark, str(tmp_path)), "at", 0.4, "30 seconds", 2000))
+    near = [r for r in scene_changes(hists, 0.4).select(key).collect() if r.frame_idx - r.prev_frame <= 2]
+    assert sorted(idle.select(key).collect()) == sorted(near)
+
+
 def test_progress_fold(spark):
     schema = "scan_id string, seq long, stage string, progress_pct int, findings int, message string"
     rows = [

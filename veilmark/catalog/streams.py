@@ -143,6 +143,17 @@ def stream_scene_change(spark: SparkSession, d: str) -> DataFrame:
     return sl.run_to_table(sf.stream_scene_changes(arriving, 0.40)).withColumn("distance", F.round("distance", 9))
 
 
+@query("stream_timed_scenes", sql("hists", f"""
+SELECT video_id, prev_frame, frame_idx, round(dist, 9) distance FROM (
+  SELECT *, {_DIST.format(a='prev', b='hist')} dist FROM ({_PAIRS}) WHERE prev IS NOT NULL)
+WHERE dist > 0.4 AND frame_idx * 1000 <= (SELECT max(frame_idx) * 1000 - 20000 FROM hists)"""))
+def stream_timed_scenes(spark: SparkSession, d: str) -> DataFrame:
+    """By event time: a frame is judged once the watermark has passed it, 20 seconds behind the newest frame."""
+    arriving = ad.embedding_hists(_stream(spark, d, "embeddings")).withColumn("at", F.timestamp_millis(F.col("frame_idx").cast("long") * 1000))
+    found = sl.run_to_table(sf.stream_timed_scene_changes(arriving, "at", 0.40, "20 seconds", 1 << 40))
+    return found.withColumn("distance", F.round("distance", 9))
+
+
 # An event is out once the watermark has passed its end by the gap: until then a late row could still belong to it.
 _CLOSED = f"end_ms + {GAP_MS} < (SELECT max(time_ms) - 600000 FROM cands)"
 

@@ -13,15 +13,16 @@ still spread over as many tasks as it has chunks.
 """
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilmark.functions.geometry import center_of
 from veilmark.plans.ordered import chunk_by, latest_before, running
-from veilmark.plans.session import settle
+from veilmark.plans.session import settle, shared_folder
 from veilmark.schemas import LINK_GAP_MS, LINK_TOLERANCE_PX
 
 KIND = ["video_id", "pii_type"]
@@ -221,6 +222,43 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+class _Versions:
+    """Walked chunks in one folder: a first version of all, and for each round of repair the chunks walked anew.
+
+    States lie apart from rows, so that checking and stitching read the states only. A row of a chunk
+    counts in its latest version.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.count, self.redone, self.schema = spark, shared_folder(spark), 0, [], None
+
+    def add(self, walked: DataFrame, chunks: DataFrame | None = None) -> None:
+        """A further version, of the given chunks (of all at first)."""
+        parts = walked.withColumns({"_version": F.lit(self.count), "_state": (F.col("_role") != _OWN).cast("int")})
+        parts.write.partitionBy("_version", "_state").mode("append").parquet(self.folder)
+        if chunks is not None:
+            self.redone.append(chunks.withColumn("_version", F.lit(self.count)))
+        self.schema = parts.schema
+        self.count += 1
+
+    def _latest(self, part: DataFrame) -> DataFrame:
+        if not self.redone:
+            return part
+        place = [*KIND, "_chunk"]
+        newest = reduce(DataFrame.unionByName, self.redone).groupBy(*place).agg(F.max("_version").alias("_newest"))
+        return part.join(newest, place, "left").where(F.col("_version") == F.coalesce("_newest", F.lit(0))).drop("_newest")
+
+    def _read(self, state: int) -> DataFrame:
+        table = self.spark.read.schema(self.schema).parquet(self.folder).where(F.col("_state") == state)
+        return self._latest(table).drop("_state", "_version")
+
+    def own(self) -> DataFrame:
+        return self._read(0)
+
+    def states(self) -> DataFrame:
+        return self._read(1)
+
+
 # Stitching tables up to this many rows are broadcast; larger ones are joined by shuffle.
 _BROADCAST_ROWS = 200_000
 
@@ -233,7 +271,7 @@ def link_candidates(
 
     One row per keyframe; the events themselves come from `event_summary`. `chunk_ms` must be at
     least the gap. The walk is written to the shared folder once, since its check and its rows are
-    both read from it.
+    both read from it; a round of repair writes the chunks that it walks again and no others.
     """
     chunk_ms = max(chunk_ms or 900 * gap_ms, gap_ms)
     warm_ms = max(warm_ms or 4 * gap_ms, gap_ms)
@@ -256,22 +294,21 @@ def link_candidates(
         .drop("_at")
     )
     inner = rows.columns
-    walked = settle(_walked(rows, gap_ms, float(tolerance_px), chunk_ms))
+    versions = _Versions(rows.sparkSession)
+    versions.add(_walked(rows, gap_ms, float(tolerance_px), chunk_ms))
     place = [*KIND, "_chunk"]
     while True:
-        checked, true_in = _checked_chunks(walked)
+        checked, true_in = _checked_chunks(versions.states())
         n_states, n_wrong = checked.agg(F.count("*"), F.count_if("wrong")).first()
         if n_wrong == 0:
             break
         bad = settle(checked.filter("wrong").select(*place).distinct())
         entries = true_in.join(bad, place, "left_semi").withColumn("_role", F.lit(_ENTRY))
-        again = walked.filter(F.col("_role") == _OWN).join(bad, place, "left_semi")
-        redone = _walked(
-            entries.select(inner).unionByName(again.select(inner)), gap_ms, float(tolerance_px), chunk_ms
-        )
-        walked = settle(walked.join(bad, place, "left_anti").unionByName(redone))
+        again = versions.own().join(bad, place, "left_semi")
+        redone = _walked(entries.select(inner).unionByName(again.select(inner)), gap_ms, float(tolerance_px), chunk_ms)
+        versions.add(redone, bad)
 
-    own = walked.filter(F.col("_role") == _OWN)
+    own, walked = versions.own(), versions.states()
     if n_states == 0:
         # No event was open at any chunk border.
         return own.select(*columns, "seed_ms", "seed_ord").withColumn(

@@ -92,7 +92,10 @@ def event_frames(
     hx, hy = geo.center(F.col("p"))
     held = held.select(*EVENT, "confidence", "env_w", "env_h", "frame_idx", hx.alias("cx"), hy.alias("cy"))
 
-    gaps = keyframe_pairs(keyframes, rate, order, chunk_ms).join(head, EVENT)
+    # The head of an event goes to each of its chunks, so that a long event's gaps are filled by as many tasks.
+    piece = chunk_by("time_ms", chunk_ms).alias("_piece")
+    heads = keyframes.select(*EVENT, piece).distinct().join(head, EVENT)
+    gaps = keyframe_pairs(keyframes, rate, order, chunk_ms).withColumn("_piece", chunk_by(F.col("b.time_ms"), chunk_ms)).join(heads, [*EVENT, "_piece"])
     moving = gaps.withColumn("frame_idx", F.explode(_frames_between(
         F.greatest(F.lit(0), F.col("start_frame") - 1), F.col("end_frame") + 1
     ))).filter(

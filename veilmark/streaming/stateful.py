@@ -166,6 +166,80 @@ class _SceneWatch(StatefulProcessor):
         pass
 
 
+class _TimedSceneWatch(StatefulProcessor):
+    """Scene changes in order of time, however late frames arrive within the lateness.
+
+    Frames wait in a map by time and number until the watermark has passed them. A timer at each waiting time releases
+    what is due; the map is read by its small keys, and only the histograms that are due are fetched. A video without a
+    frame for `idle_ms` of event time is forgotten.
+    """
+
+    def __init__(self, threshold: float, idle_ms: int) -> None:
+        self.threshold, self.idle_ms = threshold, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "time_ms bigint, frame_idx int, hist array<double>")
+        self.waiting = handle.getMapState("waiting", "time_ms bigint, frame_idx int", "hist array<double>")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        due = set()
+        for chunk in rows:  # a part of the micro-batch at a time
+            for at, frame, hist in zip(chunk["time_ms"], chunk["frame_idx"], chunk["hist"]):
+                if hist is not None:
+                    self.waiting.updateValue((int(at), int(frame)), ([float(v) for v in hist],))
+                    due.add(max(int(at), now))
+        for at in due:
+            self.handle.registerTimer(at)
+        yield from ()
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        before = tuple(self.last.get()) if self.last.exists() else None
+        ready = sorted(tuple(k) for k in self.waiting.keys() if k[0] <= now) if self.waiting.exists() else []
+        out = []
+        for place in ready:
+            hist = np.asarray(self.waiting.getValue(place)[0], dtype=float)
+            self.waiting.removeKey(place)
+            if before is not None and place[0] - before[0] > self.idle_ms:
+                before = None
+            if before is not None:
+                then = np.asarray(before[2], dtype=float)
+                shared, mass = np.sqrt(then * hist).sum(), np.sqrt(then.sum() * hist.sum())
+                far = float(np.sqrt(max(0.0, 1 - (shared / mass if mass > 0 else shared))))
+                if far > self.threshold:
+                    out.append((key[0], int(before[1]), int(place[1]), far))
+            before = (place[0], place[1], hist)
+        if before is not None and before[0] + self.idle_ms < now:
+            self.last.clear()
+        elif ready:
+            self.last.update((before[0], before[1], [float(v) for v in before[2]]))
+            self.handle.registerTimer(before[0] + self.idle_ms + 1)
+        if out:
+            yield pd.DataFrame(out, columns=["video_id", "prev_frame", "frame_idx", "distance"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_timed_scene_changes(
+    hists: DataFrame, at: str, threshold: float = SCENE_THRESHOLD, lateness: str = "10 minutes", idle_ms: int = 3_600_000,
+) -> DataFrame:
+    """Scene changes of frames (video_id, frame_idx, hist) by their event time `at`, equal to those of the batch.
+
+    Frames may arrive in any order within the lateness; later ones are dropped. Frames of equal time go by frame_idx, of
+    frames that repeat both one counts, and one without a histogram or a time is passed over. After `idle_ms` without a frame a video is
+    forgotten: its next frame is a first one.
+    """
+    _rocks(hists.sparkSession)
+    timed = hists.select("video_id", F.col("frame_idx").cast("int").alias("frame_idx"), "hist", F.col(at).alias("_at"), F.unix_millis(at).alias("time_ms"))
+    return timed.where("_at IS NOT NULL").withWatermark("_at", lateness).groupBy("video_id").transformWithStateInPandas(
+        _TimedSceneWatch(threshold, idle_ms), "video_id string, prev_frame int, frame_idx int, distance double",
+        outputMode="append", timeMode="eventTime",
+    )
+
+
 def stream_scene_changes(hists: DataFrame, threshold: float = SCENE_THRESHOLD) -> DataFrame:
     """Scene changes of arriving frames; frames of a video arrive in order."""
     _rocks(hists.sparkSession)

@@ -42,9 +42,10 @@ def repeated_findings(findings: DataFrame, marked: DataFrame) -> DataFrame:
     one event_id alone has are left out first, so that only texts which may repeat travel. Of those each distinct text
     keeps its smallest event_id, and a finding is marked where such a row with equal hash, equal text and a smaller event_id exists.
     """
-    several = marked.where("event_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("event_id").alias("a"), F.max("event_id").alias("b")).where("a < b")
+    # tables of their own, so that Spark may split a hash or text that many findings share
+    several = settle(marked.where("event_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("event_id").alias("a"), F.max("event_id").alias("b")).where("a < b").select("h1", "h2"))
     maybe = settle(findings.where("event_id IS NOT NULL").join(several, ["h1", "h2"], "left_semi"))
-    earliest = maybe.groupBy("h1", "h2", "text").agg(F.min("event_id").alias("first_id"))
+    earliest = settle(maybe.groupBy("h1", "h2", "text").agg(F.min("event_id").alias("first_id")))
     x, y = maybe.alias("x"), earliest.alias("y")
     same = (F.col("x.h1") == F.col("y.h1")) & (F.col("x.h2") == F.col("y.h2")) & (F.col("x.text") == F.col("y.text"))
     return x.join(y, same & (F.col("y.first_id") < F.col("x.event_id")), "left_semi").select("event_id", "h1", "h2", "project_id").distinct()

@@ -12,7 +12,7 @@ whole text by the library's defaults (tested).
 import os
 import re
 from collections.abc import Iterable
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 
@@ -29,6 +29,19 @@ _BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b
 _TOOLS: dict[tuple, "ChunkTokenizer"] = {}
 
 
+class _Numbered(dict):
+    """Numbers of keys in the order in which they are first asked for; `new` lists those whose ids are still to be found."""
+
+    def __init__(self) -> None:
+        self[None] = 0  # the end of a text
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        number = self[key] = len(self)
+        self.new.append(key)
+        return number
+
+
 class ChunkTokenizer:
     """kind: words or bytes. About `max_chunks` chunks of `max_chars` characters are kept at most; then it starts afresh."""
 
@@ -50,17 +63,17 @@ class ChunkTokenizer:
         self.text_of = {"words": lambda key: key, "bytes": self._text}[kind]
         self.pretoken = {"words": self._lower_word, "bytes": self._byte_word}[kind]
         self.lead = {"words": "", "bytes": " "}[kind]  # before the key of a chunk that has no blank in front
-        self.marks = [self.lead + mark for mark in sorted(_STOPS)]
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbered()
         self.ids = np.zeros(1 << 16, np.uint32)
         self.first = np.zeros(1 << 15, np.int64)
         self.count = np.zeros(1 << 15, np.int64)
-        self.ids[0], self.count[0] = self.end_id, 1  # number 0 is the end of a text
-        self.n_chunks, self.n_ids, self.n_chars = 1, 1, 0
-        self._add(list(self.special_ids), np.array(list(self.special_ids.values()), np.uint32), np.ones(len(self.special_ids), np.int64))
+        self.n_ids, self.n_chars = 0, 0
+        numbers = [0, *(self.known[t] for t in self.special_ids)]
+        self._put(numbers, np.array([self.end_id, *self.special_ids.values()], np.uint32), np.ones(len(numbers), np.int64))
+        self.known.new.clear()
 
     def _keys(self, text: str) -> list[str]:
         """The chunks of a text; special strings are chunks, and what stands between them is cut as texts are."""
@@ -112,42 +125,45 @@ class ChunkTokenizer:
     def _text(key: str) -> str:
         return key[1:] if key[:1] == " " else key if key == "\n" else " " + key
 
-    def _learn(self, keys: list[str]) -> None:
-        """Encode new chunks. A letter and a stop or comma behind it are never joined: the part before is known or learned."""
-        ended = [k for k in keys if k[-1:] in _STOPS and k[-2:-1] in _LETTERS]
-        bare = [k for k in keys if not (k[-1:] in _STOPS and k[-2:-1] in _LETTERS)]
-        if ended:
-            bare = list(dict.fromkeys([*bare, *[k for k in (k[:-1] for k in ended) if k not in self.known], *[k for k in self.marks if k not in self.known]]))
+    def _learn(self) -> None:
+        """Encode new chunks. A letter and a stop or comma behind it are never joined: such a chunk is its two parts."""
+        known, new = self.known, self.known.new
+        first = len(known) - len(new)
+        bare, numbers, ended, parts = [], [], [], []
+        for k in new:  # the parts of chunks are appended on the way
+            if k[-1:] in _STOPS and k[-2:-1] in _LETTERS:
+                ended.append(first)
+                parts += (known[k[:-1]], known[self.lead + k[-1]])
+            else:
+                bare.append(k)
+                numbers.append(first)
+            first += 1
+        self.n_chars += sum(map(len, new))
+        new.clear()
         names = [self.pretoken(k) for k in bare]
-        words = [k for k, name in zip(bare, names) if name]
-        model = self.tokenizer.model
-        lists = [[t.id for t in model.tokenize(name)] for name in names if name]
-        self._add(words, np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists)))
-        rest = [k for k, name in zip(bare, names) if not name]
+        tokenize = self.tokenizer.model.tokenize
+        lists = [[t.id for t in tokenize(name)] for name in names if name]
+        self._put([n for n, name in zip(numbers, names) if name], np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists)))
+        rest = [(n, k) for n, k, name in zip(numbers, bare, names) if not name]
         for at in range(0, len(rest), 4096):
             some = rest[at : at + 4096]
-            got = self.tokenizer.encode_batch_fast([self.text_of(k) for k in some], add_special_tokens=False)
-            lists = [g.ids for g in got]
-            self._add(some, np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists)))
+            lists = [g.ids for g in self.tokenizer.encode_batch_fast([self.text_of(k) for _, k in some], add_special_tokens=False)]
+            self._put([n for n, _ in some], np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists)))
         if ended:
-            head = np.fromiter((self.known[k[:-1]] for k in ended), np.int64, len(ended))
-            mark = np.fromiter((self.known[self.lead + k[-1]] for k in ended), np.int64, len(ended))
-            numbers = np.stack([head, mark], axis=1).ravel()
-            self._add(ended, self._gather(numbers), self.count[head] + self.count[mark])
+            both = np.array(parts, np.int64)
+            self._put(ended, self._gather(both), self.count[both].reshape(-1, 2).sum(axis=1))
 
-    def _add(self, keys: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+    def _put(self, numbers: list[int], ids: np.ndarray, counts: np.ndarray) -> None:
+        """Keep the ids of the chunks with these numbers."""
         while self.n_ids + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.n_chunks + len(keys) > len(self.first):
+        while len(self.known) > len(self.first):
             self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
         self.ids[self.n_ids : self.n_ids + len(ids)] = ids
-        here = slice(self.n_chunks, self.n_chunks + len(keys))
+        here = np.array(numbers, np.int64)
         self.count[here] = counts
-        self.first[here] = self.n_ids + np.concatenate([[0], np.cumsum(counts)[:-1]])
-        self.known.update(zip(keys, range(self.n_chunks, self.n_chunks + len(keys))))
-        self.n_chunks += len(keys)
+        self.first[here] = self.n_ids + np.cumsum(counts) - counts
         self.n_ids += len(ids)
-        self.n_chars += sum(map(len, keys))
 
     def _gather(self, numbers: np.ndarray) -> np.ndarray:
         count = self.count[numbers]
@@ -156,7 +172,7 @@ class ChunkTokenizer:
 
     def _numbers(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the chunks of all texts, 0 behind each text, and the bounds of each text."""
-        if self.n_chunks > self.max_chunks or self.n_chars > self.max_chars:
+        if len(self.known) > self.max_chunks or self.n_chars > self.max_chars:
             self._clear()
         keys: list[str | None] = []
         ends = [0]
@@ -165,12 +181,9 @@ class ChunkTokenizer:
                 keys += self._keys(text)
             keys.append(None)
             ends.append(len(keys))
-        number = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
-        number[np.array(ends[1:], np.int64) - 1] = 0
-        missing = np.flatnonzero(number < 0)
-        if len(missing):
-            self._learn(list(dict.fromkeys(keys[i] for i in missing.tolist())))
-            number[missing] = np.fromiter((self.known[keys[i]] for i in missing.tolist()), np.int64, len(missing))
+        number = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        if self.known.new:
+            self._learn()
         return number, np.array(ends)
 
     def encode(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:

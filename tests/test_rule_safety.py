@@ -86,3 +86,28 @@ def test_two_patches_make_one_row(spark):
 def test_control_characters_are_no_blanks(spark):
     df = spark.createDataFrame([("a\x01b",)], "text string")
     assert redact_text(df, "text", [make_rule("r", r"a\sb", "custom")]).first()["n_spans"] == 0
+
+
+def test_one_bad_file_leaves_the_others(spark, tmp_path):
+    from veilmark.sources.rules import rule_file_errors
+
+    good = '[{"rule_id": "g", "name": "G", "type": "regex", "pattern": "x"}]'
+    (tmp_path / "a.json").write_text(good)
+    (tmp_path / "b.json").write_text('[{"rule_id": "h", "name": "H", "type": "regex", "pattern": "y"}, {"rule_id": "i", "name": "I", "type": "odd"}]')
+    (tmp_path / "c.json").write_text("{ not json")
+    (tmp_path / "d.json").write_text(good.replace('"g"', '"k"'))
+    rows = read_rules(spark, str(tmp_path)).orderBy("rule_ord").collect()
+    assert [(r["rule_id"], r["rule_ord"]) for r in rows[14:]] == [("g", 14), ("k", 15)]
+    found = {r["file"][-6:]: r["problem"] for r in rule_file_errors(spark, str(tmp_path)).collect()}
+    assert found == {"b.json": "unknown type", "c.json": "not JSON of a rule"}
+
+
+def test_presets_of_several_files_are_numbered(spark, tmp_path):
+    from veilmark.sources.presets import BUILTIN, read_presets
+
+    for name in "ab":
+        (tmp_path / f"{name}.json").write_text(f'[{{"preset_id": "{name}1", "name": "x"}}, {{"preset_id": "{name}2", "name": "x"}}]')
+    rows = read_presets(spark, custom_path=str(tmp_path)).where("NOT builtin").orderBy("preset_ord").collect()
+    assert [(r["preset_id"], r["preset_ord"] - len(BUILTIN)) for r in rows] == [("a1", 0), ("a2", 1), ("b1", 2), ("b2", 3)]
+    built = read_presets(spark, [str(tmp_path / "b.json"), str(tmp_path / "a.json")]).orderBy("preset_ord").collect()
+    assert [r["preset_id"] for r in built] == ["a1", "a2", "b1", "b2"]

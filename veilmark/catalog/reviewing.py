@@ -641,14 +641,14 @@ def file_names(spark: SparkSession, d: str) -> DataFrame:
 SELECT c_custkey::VARCHAR project_id, c_name AS name, max(epoch_us(o_orderdate) // 1000) updated_ms, count(o_orderkey) event_count
 FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL""")
 def projects_list(spark: SparkSession, d: str) -> DataFrame:
-    orders = ad.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
-        F.max(F.col("o_orderdate").cast("timestamp")).alias("updated_at"), F.collect_list(F.struct("o_orderkey")).alias("events")
-    )
-    projects = ad.table(spark, d, "customer").join(orders, "c_custkey", "left").select(
+    orders = ad.table(spark, d, "orders")
+    events = orders.select(F.col("o_custkey").cast("string").alias("project_id"), F.col("o_orderkey").alias("event_id"))
+    latest = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max(F.col("o_orderdate").cast("timestamp")).alias("updated_at"))
+    projects = ad.table(spark, d, "customer").join(latest, "c_custkey", "left").select(
         F.col("c_custkey").cast("string").alias("project_id"), F.col("c_name").alias("name"),
-        F.lit(None).cast("timestamp").alias("created_at"), "updated_at", F.lit(None).cast("string").alias("video"), "events",
+        F.lit(None).cast("timestamp").alias("created_at"), "updated_at", F.lit(None).cast("string").alias("video"),
     )
-    return list_projects(projects).select(
+    return list_projects(projects, events).select(
         "project_id", "name", F.unix_millis("updated_at").alias("updated_ms"), F.col("event_count").cast("long").alias("event_count")
     )
 

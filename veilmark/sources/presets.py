@@ -2,7 +2,7 @@
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,13 @@ def builtin_presets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def _numbered(presets: DataFrame, builtin: bool, start: int) -> DataFrame:
+    """Presets numbered by file and place in it; preset files are small, one task numbers them."""
+    placed = presets.withColumns({"_file": F.input_file_name(), "_row": F.monotonically_increasing_id()})
+    number = F.row_number().over(Window.orderBy("_file", "_row")) + (start - 1)
+    return placed.withColumns({"builtin": F.lit(builtin), "preset_ord": number}).drop("_file", "_row")
+
+
 def read_presets(spark: SparkSession, paths: Iterable[str] = (), custom_path: str | None = None) -> DataFrame:
     """Built-in presets sorted by file name, then custom ones; `paths` replaces the built-in set.
 
@@ -42,20 +49,12 @@ def read_presets(spark: SparkSession, paths: Iterable[str] = (), custom_path: st
     paths = list(paths)
     if paths:
         built = spark.read.schema(PRESET).option("multiLine", True).json(paths)
-        built = built.filter("preset_id IS NOT NULL").orderBy(F.input_file_name()).withColumns({
-            "builtin": F.lit(True), "preset_ord": F.monotonically_increasing_id().cast("int"),
-        })
+        built = _numbered(built.filter("preset_id IS NOT NULL"), True, 0)
     else:
         built = builtin_presets(spark)
     if custom_path is None:
         return built
-    custom = (
-        spark.read.schema(PRESET).option("multiLine", True).option("mode", "PERMISSIVE").json(custom_path)
-        .filter("preset_id IS NOT NULL")
-        .withColumns({
-            "builtin": F.lit(False),
-            "preset_ord": (F.monotonically_increasing_id() + len(BUILTIN)).cast("int"),
-        })
-    )
+    custom = spark.read.schema(PRESET).option("multiLine", True).option("mode", "PERMISSIVE").json(custom_path)
+    custom = _numbered(custom.filter("preset_id IS NOT NULL"), False, len(BUILTIN))
     return built.unionByName(custom)
 

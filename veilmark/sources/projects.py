@@ -37,11 +37,19 @@ def write_projects(projects: DataFrame, path: str) -> None:
     projects.withColumn("updated_at", F.current_timestamp()).write.mode("overwrite").json(path)
 
 
-def list_projects(projects: DataFrame) -> DataFrame:
-    """Summaries, most recently updated first."""
-    return projects.select(
+def list_projects(projects: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """Summaries, most recently updated first.
+
+    Events are counted where they are: in the project documents, or as rows of a table `events` with a project_id, which
+    Spark counts before it moves them.
+    """
+    if events is None:
+        counted = projects.withColumn("_n", F.size("events"))
+    else:
+        counted = projects.join(events.groupBy("project_id").agg(F.count("*").cast("int").alias("_n")), "project_id", "left")
+    return counted.select(
         "project_id", "name", "created_at", "updated_at",
-        F.col("video").isNotNull().alias("has_video"), F.coalesce(F.size("events"), F.lit(0)).alias("event_count"),
+        F.col("video").isNotNull().alias("has_video"), F.greatest(F.coalesce("_n", F.lit(0)), F.lit(0)).alias("event_count"),
     ).orderBy(F.desc("updated_at"))
 
 

@@ -10,9 +10,9 @@ import __spark_entry__ as entry  # noqa: E402
 import corpus_pipeline  # noqa: E402
 
 
-def test_all_ten_are_registered():
+def test_all_thirteen_are_registered():
     names = entry.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
 
 
 def save(spark, folder, docs, labels):

@@ -620,7 +620,7 @@ SELECT n.f, list_transform(range(1, 65), lambda i: b.ref[i] * (1 - 0.02::DOUBLE)
 FROM bl b JOIN dn n ON n.f = b.f + 1"""}))
 def drift_blend_long(spark: SparkSession, d: str) -> DataFrame:
     """One track of all histograms, blended at every frame, with chunks much shorter than the track."""
-    hists = ad.hists(spark, d).select(F.lit("all").alias("track"), "frame_idx", "video_id", "hist")
+    hists = ad.hists(spark, d).select(F.when(F.size("hist") == 64, "all").alias("track"), "frame_idx", "video_id", "hist")
     placed = ranked(hists, ["track"], ["frame_idx", "video_id"], "rn", chunk_by("frame_idx", 512)).withColumn("n", (F.col("rn") - 1).cast("int"))
     done = tk.with_blended_drift(placed.select("track", "n", "hist"), ["track"], "n", every=1, alpha=0.02, chunk_marks=100)
     drift = F.when(F.col("n") == 0, F.lit(0.0)).otherwise(F.round("drift", 9))

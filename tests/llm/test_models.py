@@ -1,4 +1,4 @@
-"""The classifier and the language operator against brute force, and the pipeline's stages against their operators."""
+"""The classifier and the language operator against brute force."""
 
 import random
 import re

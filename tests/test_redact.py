@@ -1,6 +1,8 @@
 """Text redaction."""
 
 import hashlib
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,3 +83,35 @@ def test_clock_and_escape(spark):
         tx.escape_html(F.lit("<a href='x'>&\"")), tx.percent(F.lit(0.125)), tx.percent(F.lit(0.875)),
     ).first()
     assert list(row) == ["1:01", "1:01:01", "01:01", "&lt;a href=&#x27;x&#x27;&gt;&amp;&quot;", "12%", "88%"]
+
+
+def brute_redacted(text, spans):
+    hidden = [any(a <= i < b for a, b in spans) for i in range(len(text))]
+    return "".join(MASK if h else c for c, h in zip(text, hidden))
+
+
+@pytest.mark.parametrize("size", [tx.BLOCK_CHARS - 1, tx.BLOCK_CHARS, tx.BLOCK_CHARS + 1, 5 * tx.BLOCK_CHARS + 7])
+def test_texts_of_several_blocks_equal_brute_force(spark, size):
+    text = ("é😀 12 ab345\n" * (size // 12 + 1))[:size]
+    rules = [make_rule("d", r"\d+"), make_rule("w", r"b34"), make_rule("n", r"12 a")]
+    spans = [m.span() for r in rules for m in re.finditer(r["pattern"], text)]
+    assert redacted(redact_text(texts(spark, text), "t", rules)) == [brute_redacted(text, spans)]
+
+
+def test_a_hit_longer_than_blocks_is_hidden_whole(spark):
+    text = "<" + "7" * (3 * tx.BLOCK_CHARS) + ">" + "x" * tx.BLOCK_CHARS
+    assert redacted(redact_text(texts(spark, text), "t", [make_rule("d", r"7+")])) == [text.replace("7", MASK)]
+
+
+def test_null_text_stays_null(spark):
+    row = redact_text(texts(spark, None, "a1"), "t", [make_rule("d", r"\d")]).orderBy("i").collect()[0]
+    assert row.redacted is None
+
+
+def test_very_many_hits_in_a_huge_text_take_seconds(spark):
+    hits = 20_000
+    df = spark.range(1).select(F.repeat(F.lit("lorem ipsum " * 16 + "4711 "), hits).alias("t"))
+    started = time.monotonic()
+    row = redact_text(df, "t", [make_rule("d", r"\d+")]).select("redacted", "n_spans").first()
+    assert time.monotonic() - started < 40
+    assert row.n_spans == hits and row.redacted == ("lorem ipsum " * 16 + MASK * 4 + " ") * hits

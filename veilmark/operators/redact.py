@@ -13,7 +13,7 @@ from veilmark.functions import text as tx
 from veilmark.sources.rules import active_rules, collect_rules, guard_of, need_of, to_java
 
 MASK = "█"
-SPANS = "array<struct<start:int,end:int>>"
+SPANS = f"array<{tx.SPAN}>"
 
 
 def rule_spans(text: Column, rules: DataFrame | Iterable[dict]) -> Column:
@@ -30,26 +30,36 @@ def rule_spans(text: Column, rules: DataFrame | Iterable[dict]) -> Column:
         parts.append(spans if need is None else F.when(text.rlike(need), spans).otherwise(none))
     if not parts:
         return none
-    found = F.array_sort(F.flatten(F.array(*parts)))
+    found = F.sort_array(F.flatten(F.array(*parts)))
     guard = guard_of(usable)
     return found if guard is None else F.when(text.rlike(guard), found).otherwise(none)
 
 
 def united_spans(spans: Column) -> Column:
-    """Unite sorted spans that overlap or touch."""
-    return F.aggregate(
-        spans, F.array().cast(SPANS),
-        lambda done, s: F.when(
-            (F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end"] >= s["start"]),
-            F.concat(
-                F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))),
-                F.array(F.struct(
-                    F.get(done, F.size(done) - 1)["start"].alias("start"),
-                    F.greatest(F.get(done, F.size(done) - 1)["end"], s["end"]).alias("end"),
-                )),
-            ),
-        ).otherwise(F.concat(done, F.array(s))),
-    )
+    """Unite sorted spans that overlap or touch; further fields are those of the earliest one.
+
+    A span opens a united one if no earlier span reaches it.
+    """
+    def united(spans: Column, reached: Column) -> Column:
+        def ranges(heads: Column) -> Column:
+            def one(h: Column, k: Column) -> Column:
+                after = F.get(heads, k + 1)
+                end = F.when(after.isNull(), F.array_max(F.transform(spans, lambda s: s["end"]))).otherwise(
+                    F.get(reached, after)
+                )
+                return F.get(spans, h).withField("end", end)
+
+            return F.transform(heads, one)
+
+        places = F.transform(spans, lambda s, i: F.when(F.get(reached, i) < s["start"], i))
+        return tx.let(F.filter(places, lambda i: i.isNotNull()), ranges)
+
+    def swept(spans: Column) -> Column:
+        ends = F.transform(spans, lambda s: s["end"])
+        reached = tx.let(ends, lambda v: tx.before_each(v, lambda a, e: F.greatest(a, e), -1))
+        return F.when(F.size(spans) < 2, spans).otherwise(tx.let(reached, lambda r: united(spans, r)))
+
+    return tx.let(spans, swept)
 
 
 def solid(piece: Column) -> Column:
@@ -73,36 +83,31 @@ def token(piece: Column, salt: str, size: int = 12) -> Column:
 
 
 def replace_spans(text: Column, spans: Column, style) -> Column:
-    """Rebuild the text with every span of an ordered, disjoint list replaced by `style(piece)`."""
-    def put(acc: Column, s: Column) -> Column:
-        return F.struct(
-            s["end"].alias("at"),
-            F.concat(
-                acc["out"],
-                F.substring(text, acc["at"] + 1, s["start"] - acc["at"]),
-                style(F.substring(text, s["start"] + 1, s["end"] - s["start"])),
-            ).alias("out"),
-        )
-
-    return _rebuilt(text, spans, put)
-
-
-def _rebuilt(text: Column, spans: Column, put) -> Column:
-    """Fold the spans over the text and append what is left after the last one."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(
-        spans, start, put, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    )
-    return F.when(F.size(spans) == 0, text).otherwise(done)
+    """Rebuild the text with every span of an ordered, disjoint list replaced by `style(piece, span)`.
+
+    Each span brings the text before it and its own replacement, and the pieces are joined once. Pieces are cut
+    from blocks of the text, so the work is linear in text and spans.
+    """
+    def rebuilt(parts: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            before = F.when(i == 0, 0).otherwise(F.get(spans, i - 1)["end"])
+            return F.concat(
+                tx.cut(parts, before, s["start"]), style(tx.cut(parts, s["start"], s["end"]), s)
+            )
+
+        rest = tx.cut(parts, F.get(spans, F.size(spans) - 1)["end"], F.length(text))
+        return F.concat(F.array_join(F.transform(spans, piece), ""), rest)
+
+    return F.when(F.size(spans) == 0, text).otherwise(tx.let(tx.blocks(text), rebuilt))
 
 
 def style_of(kind: str, strength: int = 15, salt: str = ""):
     """The piece function of a named style."""
     if kind == "pixelate":
-        return lambda piece: pixelate(piece, strength)
+        return lambda piece, span: pixelate(piece, strength)
     if kind == "blur":
-        return lambda piece: token(piece, salt)
-    return solid
+        return lambda piece, span: token(piece, salt)
+    return lambda piece, span: solid(piece)
 
 
 def redact_text(
@@ -130,38 +135,14 @@ def redact_by_events(
     accepted = events.filter("status = 'accepted'").groupBy(*keys, "start", "end").agg(
         F.min_by("style", "event_ord").alias("style")
     )
-    gathered = accepted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end", "style"))).alias("_s"))
-    styled = "array<struct<start:int,end:int,style:struct<type:string,strength:int,color:string>>>"
-
-    def last(done: Column) -> Column:
-        return F.get(done, F.size(done) - 1)
-
-    united = F.aggregate(
-        F.col("_s").cast(styled), F.array().cast(styled),
-        lambda done, s: F.when(
-            (F.size(done) > 0) & (last(done)["end"] >= s["start"]),
-            F.concat(
-                F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))),
-                F.array(F.struct(
-                    last(done)["start"].alias("start"), F.greatest(last(done)["end"], s["end"]).alias("end"),
-                    last(done)["style"].alias("style"),
-                )),
-            ),
-        ).otherwise(F.concat(done, F.array(s))),
+    gathered = accepted.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start", "end", "style"))).alias("_s"))
+    styled = "struct<start:int,end:int,style:struct<type:string,strength:int,color:string>>"
+    united = united_spans(F.col("_s").cast(f"array<{styled}>"))
+    joined = documents.join(gathered, keys, "left").withColumn(
+        "_u", F.coalesce(united, F.array().cast(f"array<{styled}>"))
     )
-    body = F.col(text)
-    joined = documents.join(gathered, keys, "left").withColumn("_u", F.coalesce(united, F.array().cast(styled)))
-
-    def put(acc: Column, s: Column) -> Column:
-        return F.struct(
-            s["end"].alias("at"),
-            F.concat(
-                acc["out"], F.substring(body, acc["at"] + 1, s["start"] - acc["at"]),
-                _styled(F.substring(body, s["start"] + 1, s["end"] - s["start"]), s["style"], salt),
-            ).alias("out"),
-        )
-
-    return joined.withColumn(out, _rebuilt(body, F.col("_u"), put)).withColumn("n_spans", F.size("_u")).drop("_s", "_u")
+    redone = replace_spans(F.col(text), F.col("_u"), lambda piece, s: _styled(piece, s["style"], salt))
+    return joined.withColumn(out, redone).withColumn("n_spans", F.size("_u")).drop("_s", "_u")
 
 
 def _styled(piece: Column, style: Column, salt: str) -> Column:

@@ -103,15 +103,18 @@ def detections_to_pixels(spark: SparkSession, d: str) -> DataFrame:
                 "video_id", "frame_idx", "confidence")
 
 
+def faces(spark: SparkSession, d: str) -> DataFrame:
+    found = ob.detections_to_pixels(
+        _detections(spark, d), F.lit(1920), F.lit(1080), F.lit(ob.face_threshold(None, DEFAULT_THRESHOLD))
+    ).withColumn("face_ord", F.lit(0))
+    return ob.face_candidates(ob.with_frame_time(found, F.lit(None).cast("double")))
+
+
 @query("face_candidates", sql("hists", f"""
 SELECT video_id, frame_idx, trunc(frame_idx / 30::DOUBLE * 1000)::INT time_ms, 'face' pii_type, '[face]' text,
        confidence, x, y, w, h FROM ({_PIXELS}) WHERE confidence >= 0.35::DOUBLE AND w >= 10 AND h >= 10"""))
 def face_candidates(spark: SparkSession, d: str) -> DataFrame:
-    faces = ob.detections_to_pixels(
-        _detections(spark, d), F.lit(1920), F.lit(1080), F.lit(ob.face_threshold(None, DEFAULT_THRESHOLD))
-    ).withColumn("face_ord", F.lit(0))
-    timed = ob.with_frame_time(faces, F.lit(None).cast("double"))
-    return flat(ob.face_candidates(timed), "video_id", "frame_idx", "time_ms", "pii_type", "text", "confidence")
+    return flat(faces(spark, d), "video_id", "frame_idx", "time_ms", "pii_type", "text", "confidence")
 
 
 @query("frame_times", sql("boxes", """
@@ -458,6 +461,50 @@ def label_rule_right(spark: SparkSession, d: str) -> DataFrame:
     return _label_rows(oc.label_candidates(ad.words(spark, d), [the_rule()]))
 
 
+# The given texts hold no captions, so some words are read as such: fixed values of the queries.
+CAPTIONS = [("Une ", "Name: "), ("Der ", "Phone: "), ("And ", "Bank: "), ("Les ", "SSN: "), ("Por ", "E-mail: ")]
+LABEL_RULES = [(i, r) for i, r in enumerate(BUILTIN) if r[2] == "field_label"]
+
+
+def captioned(boxes: DataFrame) -> DataFrame:
+    text = F.col("text")
+    for word, caption in CAPTIONS:
+        text = F.replace(text, F.lit(word), F.lit(caption))
+    return boxes.withColumn("text", text)
+
+
+def oracle_captioned(table: str) -> str:
+    text = "text"
+    for word, caption in CAPTIONS:
+        text = f"replace({text}, '{word}', '{caption}')"
+    return f"SELECT * REPLACE ({text} AS text) FROM {table}"
+
+
+def oracle_builtin_labels(table: str) -> str:
+    """One value per rectangle for the built-in label rules: the first rule, label and value box."""
+    parts = []
+    for i, r in LABEL_RULES:
+        words = r[3].removeprefix(r"(?i)\b").removesuffix(r"\b")
+        parts.append(oracle_labels(table, words, r[7]).replace(
+            "min((l.box_ord, v.box_ord, v.text)) pick", f"min(({i}, l.box_ord, v.box_ord, v.time_ms, v.text)) pick"
+        ))
+    kind = " ".join(f"WHEN {i} THEN '{r[4]}'" for i, r in LABEL_RULES)
+    sure = " ".join(f"WHEN {i} THEN {r[6]}::DOUBLE" for i, r in LABEL_RULES)
+    return rf"""
+SELECT video_id, frame_idx, x, y, w, h, p[1] rule_ord, p[2] label_ord, p[3] box_ord, p[4] time_ms, CASE p[1] {kind} END pii_type,
+  CASE p[1] {sure} END confidence, regexp_replace(p[5], '^\s+|\s+$', '', 'g') text
+FROM (SELECT video_id, frame_idx, x, y, w, h, min(pick) p FROM ({" UNION ALL ".join(parts)}) GROUP BY ALL)"""
+
+
+@query("label_rules_builtin", sql("boxes", """
+SELECT video_id, frame_idx, x, y, w, h, rule_ord, label_ord, box_ord, time_ms, pii_type, confidence, text FROM labelled""", {
+    "seen": oracle_captioned("boxes"), "labelled": oracle_builtin_labels("seen")}))
+def label_rules_builtin(spark: SparkSession, d: str) -> DataFrame:
+    found = oc.label_candidates(captioned(ad.boxes(spark, d)), builtin_rules(), None, DEFAULT_THRESHOLD, DEFAULT_OVERRIDES)
+    return flat(found, *oc.FRAME, "rule_ord", "first_ord", "second_ord", "time_ms", "pii_type", "confidence", "text"
+                ).withColumnsRenamed({"first_ord": "label_ord", "second_ord": "box_ord"})
+
+
 @query("classify_all", sql("boxes analyzer", """
 SELECT video_id, frame_idx, row_number() OVER (PARTITION BY video_id, frame_idx
          ORDER BY src, rule_ord, o1, o2)::INT place, source, pii_type, text, x, y, w, h

@@ -4,7 +4,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmark.catalog.base import GAP_MS, LINKED, SUMMARY, TABLES, TOLERANCE_PX, link_tables, query, sql
-from veilmark.catalog.detection import _DIST, dense_hists, oracle_candidates
+from veilmark.catalog.detection import (
+    _DIST, _PIXELS, captioned, dense_hists, faces, oracle_builtin_labels, oracle_candidates, oracle_captioned,
+)
 from veilmark.functions import geometry as geo
 from veilmark.operators import link as ol
 from veilmark.operators import regions as rg
@@ -155,6 +157,66 @@ def full_scan(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def oracle_all_candidates(table: str) -> dict[str, str]:
+    """Regex hits, values of the built-in label rules and faces over captioned boxes, numbered within the frame; `found`."""
+    return {
+        "captions": oracle_captioned(table),
+        "seen": "SELECT * FROM captions WHERE confidence >= 0.25 AND length(text) > 0",
+        "hits": oracle_candidates("seen"), "labelled": oracle_builtin_labels("seen"),
+        "found": f"""
+SELECT video_id, pii_type, time_ms, confidence, x, y, w, h, text, frame_idx::BIGINT * 16777216
+  + row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY src, rule_ord, o1, o2) cand_ord FROM (
+  SELECT 1 src, video_id, frame_idx, time_ms, pii_type, confidence, text, x, y, w, h, rule_ord, box_ord o1, hit_no o2 FROM hits
+  UNION ALL SELECT 2, video_id, frame_idx, time_ms, pii_type, confidence, text, x, y, w, h, rule_ord, label_ord, box_ord
+  FROM labelled l ANTI JOIN hits k USING (video_id, frame_idx, x, y, w, h)
+  UNION ALL SELECT 3, video_id, frame_idx, trunc(frame_idx / 30::DOUBLE * 1000)::INT, 'face', confidence, '[face]', x, y, w, h, 0, 0, 0
+  FROM ({_PIXELS}) WHERE confidence >= 0.35::DOUBLE AND w >= 10 AND h >= 10)""",
+    }
+
+
+_ODD_CUTS = {"cuts": "SELECT source video_id, doc_id * 500 + 250 cut_ms FROM documents WHERE doc_id % 7 = 3"}
+
+
+def odd_cuts(spark: SparkSession, d: str) -> DataFrame:
+    """Every seventh document is followed by a cut."""
+    return ad.table(spark, d, "documents").filter("doc_id % 7 = 3").select(
+        F.col("source").alias("video_id"), (F.col("doc_id") * 500 + 250).alias("cut_ms")
+    )
+
+
+@query("full_scan_all", sql("boxes hists", """
+SELECT video_id, pii_type, min(time_ms) start_ms, max(time_ms) end_ms, max(confidence) confidence, count(*) n_keyframes,
+  arg_min(text, (time_ms, cand_ord)) extracted_text, max(w) env_w FROM linked GROUP BY video_id, pii_type, event_id""", {
+    **oracle_all_candidates("boxes"), **_ODD_CUTS, **link_tables("found", True, gap=20_000, reach=80)}))
+def full_scan_all(spark: SparkSession, d: str) -> DataFrame:
+    """All built-in rules, faces and cuts in one plan."""
+    from veilmark.plans.scan import full_scan as plan
+
+    boxes = captioned(ad.boxes(spark, d))
+    done = plan(boxes, builtin_rules(), None, faces(spark, d), odd_cuts(spark, d), gap_ms=20_000, chunk_ms=100_000)
+    return done.select(*ol.KIND, "start_ms", "end_ms", "confidence", "n_keyframes", "extracted_text", "env_w")
+
+
+@query("batch_scan_events", sql("boxes hists", """
+SELECT v.video_id, CASE WHEN v.video_id = 'src3' THEN 'error' ELSE 'done' END status,
+  CASE WHEN v.video_id = 'src3' THEN 'file not found' END error,
+  CASE WHEN v.video_id = 'src3' THEN 0 ELSE coalesce(n, 0) END events_found
+FROM (SELECT DISTINCT source video_id FROM documents) v
+LEFT JOIN (SELECT video_id, count(DISTINCT event_id) n FROM linked GROUP BY ALL) USING (video_id)""", {
+    **oracle_all_candidates("boxes"), **_ODD_CUTS, **link_tables("found", True, gap=20_000, reach=80)}))
+def batch_scan_events(spark: SparkSession, d: str) -> DataFrame:
+    """A batch whose items count linked events; one video cannot be opened."""
+    from veilmark.operators.jobs import batch_scan
+    from veilmark.plans.scan import full_scan as plan
+
+    videos = ad.table(spark, d, "documents").select(F.col("source").alias("video_id")).distinct()
+    problem = F.when(F.col("video_id") == "src3", F.lit("file not found"))
+    cuts = odd_cuts(spark, d)
+    return batch_scan(videos, captioned(ad.boxes(spark, d)), problem, lambda b: plan(
+        b, builtin_rules(), cuts=cuts, gap_ms=20_000, chunk_ms=100_000
+    ))[1]
+
+
 # ---- boundary frames -------------------------------------------------------------------------
 
 @query("boundary_frames", sql("summary", f"""

@@ -534,6 +534,22 @@ def rule_sample_test(spark: SparkSession, d: str) -> DataFrame:
     return tested.select("item_id", "match_count", F.array_join("matches", "|").alias("matches"))
 
 
+_GROUPED = "([A-Z])([a-z]+)(,)?"
+
+
+@query("rule_test_groups", f"""
+SELECT doc_id, CASE WHEN length(text) > 10000 THEN 'text longer than 10000 characters' END error,
+  CASE WHEN length(text) <= 10000 THEN len(a)::INT END match_count,
+  CASE WHEN length(text) <= 10000 THEN md5(array_to_string(list_transform(range(1, len(a) + 1),
+    lambda i: concat(a[i], '/', b[i], '/', coalesce(c[i], ''))), '|')) END matches
+FROM (SELECT doc_id, text, regexp_extract_all(text, '{_GROUPED}', 1) a, regexp_extract_all(text, '{_GROUPED}', 2) b,
+        regexp_extract_all(text, '{_GROUPED}', 3) c FROM documents)""")
+def rule_test_groups(spark: SparkSession, d: str) -> DataFrame:
+    tested = oc.rule_sample_test(ad.table(spark, d, "documents").select("doc_id", "text"), "text", _GROUPED)
+    lines = F.transform("matches", lambda m: F.array_join(m, "/"))
+    return tested.select("doc_id", "error", "match_count", F.md5(F.array_join(lines, "|")).alias("matches"))
+
+
 @query("scan_diagnostics", sql("span_texts entity_map limits", """
 SELECT video_id, frame_idx, span_ord, entity_type, text, score confidence, m.pii_type mapped_pii_type,
   CASE WHEN m.pii_type IS NULL THEN concat('entity type ''', entity_type, ''' not in type map')

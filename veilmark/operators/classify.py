@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from veilmark.functions import text as tx
 from veilmark.schemas import (
-    CONTEXT_CONFIDENCE, CONTEXT_PX, DEFAULT_THRESHOLD, PERSON_MIN_CHARS, PII_TYPES, REGEX_CONFIDENCE,
+    CONTEXT_CONFIDENCE, CONTEXT_PX, DEFAULT_THRESHOLD, MAX_SAMPLE_CHARS, PERSON_MIN_CHARS, PII_TYPES, REGEX_CONFIDENCE,
 )
 from veilmark.sources.rules import active_rules, collect_rules, guard_of, need_of, to_java
 
@@ -507,7 +507,8 @@ def pii_density(candidates: DataFrame, containers: DataFrame, keys: list[str]) -
 def rule_sample_test(texts: DataFrame, text: str, pattern: str) -> DataFrame:
     """All matches of one pattern in each text, case-sensitive, with their count.
 
-    With one capture group the group is listed, else the whole match.
+    `matches` lists the whole matches, with one capture group that group, with several an array of the groups a
+    match ('' for a group that takes no part). A text over MAX_SAMPLE_CHARS is refused: it has an `error` and nulls.
     """
     import re
 
@@ -516,6 +517,14 @@ def rule_sample_test(texts: DataFrame, text: str, pattern: str) -> DataFrame:
     problem = pattern_problem(pattern)
     if problem:
         raise ValueError(problem)
-    group = 1 if re.compile(pattern).groups == 1 else 0
-    matches = tx.hits(F.col(text), tx.UNICODE_FLAGS + to_java(pattern), group)
-    return texts.withColumn("matches", matches).withColumn("match_count", F.size("matches"))
+    regex, groups = tx.UNICODE_FLAGS + to_java(pattern), re.compile(pattern).groups
+    if groups < 2:
+        matches = tx.hits(F.col(text), regex, groups)
+    else:
+        matches = F.transform(tx.hits(F.col(text), regex, 1), lambda g: F.array(g))
+        for group in range(2, groups + 1):
+            matches = F.zip_with(matches, tx.hits(F.col(text), regex, group), F.array_append)
+    too_long = F.length(text) > MAX_SAMPLE_CHARS
+    return texts.withColumn("matches", F.when(~too_long, matches)).withColumn("match_count", F.size("matches")).withColumn(
+        "error", F.when(too_long, F.lit(f"text longer than {MAX_SAMPLE_CHARS} characters"))
+    )

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilmark.operators.link import (
-    append_events, event_summary, finished_events, link_candidates, replace_events,
+    LinkRun, append_events, event_summary, finished_events, link_candidates, replace_events,
 )
 
 
@@ -140,3 +140,38 @@ def test_hot_key_spreads_over_tasks(spark):
     )
     linked = link_candidates(rows, chunk_ms=100_000)
     assert [r.n_keyframes for r in event_summary(linked).orderBy("seed_ord").collect()] == [13_334, 13_333, 13_333]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_extended_run_equals_one_run_over_all(spark, seed):
+    """New candidates open, bridge and reorder events over chunk borders, also in chunks that were empty."""
+    rng = random.Random(seed)
+    schema = "video_id string, pii_type string, time_ms long, cand_ord long, confidence double, x int, y int, w int, h int, text string"
+    rows = [(f"v{rng.randrange(2)}", rng.choice(["phone", "email"]), rng.randrange(60_000), i, 0.5, rng.randrange(200), 0, 80, 20, "t") for i in range(400)]
+    rows = [r for r in rows if not 20_000 <= r[2] < 26_000] + [("v0", "phone", 20_500 + 700 * i, 1000 + i, 0.5, 9, 0, 80, 20, "t") for i in range(8)]
+    late = [r for r in rows if r[3] >= 1000 or r[3] % 9 == 0]
+    early = [r for r in rows if r not in late]
+    cuts = spark.createDataFrame([("v0", 15_000), ("v1", 44_000)], "video_id string, cut_ms long")
+    options = {"cuts": cuts, "gap_ms": 900, "tolerance_px": 30, "chunk_ms": 2000}
+    run = LinkRun(spark.createDataFrame(early, schema), **options)
+    before = {tuple(r) for r in run.linked().collect()}
+    run.extend(spark.createDataFrame(late[:20], schema))
+    run.extend(spark.createDataFrame(late[20:], schema))
+    assert {tuple(r) for r in run.linked().collect()} == {tuple(r) for r in link_candidates(spark.createDataFrame(rows, schema), **options).collect()}
+    assert before == {tuple(r) for r in link_candidates(spark.createDataFrame(early, schema), **options).collect()}
+
+
+def test_extension_walks_touched_chunks_only(spark, make_cands):
+    """One new candidate in one of a hundred chunks writes that chunk, and no row of the others."""
+    run = LinkRun(make_cands([(1000 * i, 100, 100) for i in range(500)]), gap_ms=400, chunk_ms=5000)
+    extra = make_cands([(7100, 100, 100)]).withColumn("cand_ord", F.lit(9999).cast("long"))
+    run.extend(extra)
+    written = spark.read.parquet(run.versions.folder).where("_version > 0 AND _state = 0")
+    assert {r._chunk for r in written.select("_chunk").distinct().collect()} == {1}
+    assert run.linked().count() == 501
+
+
+def test_extension_by_nothing_changes_nothing(spark, make_cands):
+    run = LinkRun(make_cands([(0, 100, 100), (100, 100, 100)]))
+    run.extend(make_cands([(0, 0, 0)]).limit(0))
+    assert event_summary(run.linked()).first().n_keyframes == 2

@@ -1,5 +1,7 @@
 """Queries on linking, keyframes, regions and tracks."""
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -197,6 +199,51 @@ def full_scan_all(spark: SparkSession, d: str) -> DataFrame:
     return done.select(*ol.KIND, "start_ms", "end_ms", "confidence", "n_keyframes", "extracted_text", "env_w")
 
 
+_REGEX_FOUND = """SELECT video_id, pii_type, time_ms, confidence, x, y, w, h, text, frame_idx, frame_idx::BIGINT * 16777216
+  + row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY rule_ord, box_ord, hit_no) cand_ord FROM hits"""
+
+
+def _first_pass() -> dict[str, str]:
+    """Linked candidates of the first pass of a refined scan, its tables named apart from those of the second."""
+    tables = link_tables("found1", True, gap=20_000, reach=80)
+    own = re.compile(r"\b(" + "|".join(tables) + r")\b")
+    return {f"{name}1": own.sub(r"\g<1>1", body) for name, body in tables.items()}
+
+
+@query("refined_scan", sql("boxes", """
+SELECT video_id, pii_type, min(time_ms) start_ms, max(time_ms) end_ms, max(confidence) confidence, count(*) n_keyframes,
+  arg_min(text, (time_ms, cand_ord)) extracted_text, max(w) env_w FROM linked GROUP BY video_id, pii_type, event_id""", {
+    "hits": oracle_candidates("(SELECT * FROM boxes WHERE confidence >= 0.25 AND length(text) > 0)"),
+    "all_found": _REGEX_FOUND, **_ODD_CUTS,
+    "looked": "SELECT source video_id, doc_id::INT frame_idx FROM documents WHERE doc_id % 3 = 0",
+    "found1": "SELECT * FROM all_found SEMI JOIN looked USING (video_id, frame_idx)",
+    **_first_pass(),
+    "ends": "SELECT video_id, min(time_ms) start_ms, max(time_ms) end_ms FROM linked1 GROUP BY video_id, pii_type, event_id",
+    "around": """
+SELECT DISTINCT video_id, f::INT frame_idx FROM (
+  SELECT video_id, trunc(start_ms / 1000::DOUBLE * 2)::INT - k f FROM ends, range(1, 31) r(k)
+  UNION ALL SELECT video_id, trunc(end_ms / 1000::DOUBLE * 2)::INT + k FROM ends, range(1, 31) r(k))
+WHERE f >= 0 AND (video_id, f) NOT IN (SELECT video_id, frame_idx FROM looked)""",
+    "further": """
+SELECT video_id, frame_idx FROM (
+  SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) - 1 rn, count(*) OVER (PARTITION BY video_id) n
+  FROM around)
+WHERE n >= 5 AND (n <= 300 OR rn IN (SELECT floor(i * (n / 300::DOUBLE)) FROM range(0, 300) r(i)))""",
+    "found": "SELECT * FROM found1 UNION ALL SELECT * FROM all_found SEMI JOIN further USING (video_id, frame_idx)",
+    **link_tables("found", True, gap=20_000, reach=80)}))
+def refined_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Every third document is scanned first, then documents around the events found."""
+    from veilmark.operators.sampling import sample_fixed
+    from veilmark.plans.scan import refined_scan as plan
+
+    frames = ad.table(spark, d, "documents").select(
+        F.col("source").alias("video_id"), F.col("doc_id").cast("int").alias("frame_idx"))
+    rules = [r for r in builtin_rules() if r["type"] == "regex"]
+    done = plan(ad.boxes(spark, d), sample_fixed(frames, 3), rules, F.lit(2.0), cuts=odd_cuts(spark, d),
+                gap_ms=20_000, chunk_ms=100_000)
+    return done.select(*ol.KIND, "start_ms", "end_ms", "confidence", "n_keyframes", "extracted_text", "env_w")
+
+
 @query("batch_scan_events", sql("boxes hists", """
 SELECT v.video_id, CASE WHEN v.video_id = 'src3' THEN 'error' ELSE 'done' END status,
   CASE WHEN v.video_id = 'src3' THEN 'file not found' END error,

@@ -249,8 +249,9 @@ class _Versions:
         return part.join(newest, place, "left").where(F.col("_version") == F.coalesce("_newest", F.lit(0))).drop("_newest")
 
     def _read(self, state: int) -> DataFrame:
-        table = self.spark.read.schema(self.schema).parquet(self.folder).where(F.col("_state") == state)
-        return self._latest(table).drop("_state", "_version")
+        table = self.spark.read.schema(self.schema).parquet(self.folder)
+        written = (F.col("_state") == state) & (F.col("_version") < self.count)
+        return self._latest(table.where(written)).drop("_state", "_version")
 
     def own(self) -> DataFrame:
         return self._read(0)
@@ -263,6 +264,114 @@ class _Versions:
 _BROADCAST_ROWS = 200_000
 
 
+class LinkRun:
+    """Linked candidates to which further ones may be added.
+
+    The walk of each (video, kind, chunk) is written to the shared folder once. `extend` walks the chunks that get new
+    candidates, from the true state at their start, and after them only chunks whose start state has changed by that;
+    all other chunks stay as written. The result is that of one run over all candidates together.
+    """
+
+    def __init__(
+        self, candidates: DataFrame, cuts: DataFrame | None = None, gap_ms: int = LINK_GAP_MS,
+        tolerance_px: float = LINK_TOLERANCE_PX, chunk_ms: int | None = None, warm_ms: int | None = None,
+    ) -> None:
+        self.chunk_ms = max(chunk_ms or 900 * gap_ms, gap_ms)
+        self.gap_ms, self.tolerance, self.cuts, self.columns = gap_ms, float(tolerance_px), cuts, candidates.columns
+        warm_ms = max(warm_ms or 4 * gap_ms, gap_ms)
+        at = F.col("time_ms")
+        rows = (
+            self._rows(candidates).withColumn("_at", F.col("_chunk"))
+            .withColumn("_chunk", F.explode(F.when(
+                at >= (F.col("_at") + 1) * self.chunk_ms - warm_ms, F.array(F.col("_at"), F.col("_at") + 1)
+            ).otherwise(F.array(F.col("_at")))))
+            .withColumn("_role", F.when(F.col("_chunk") == F.col("_at"), _OWN).otherwise(_WARM))
+            .drop("_at")
+        )
+        self.inner = rows.columns
+        self.versions = _Versions(rows.sparkSession)
+        self.versions.add(self._walk(rows))
+        self._repair()
+
+    def _rows(self, candidates: DataFrame) -> DataFrame:
+        """Candidates as rows of their own chunk."""
+        cx, cy = center_of(F.col("x"), F.col("y"), F.col("w"), F.col("h"))
+        if self.cuts is None:
+            rows = candidates.withColumn("_cut", F.lit(None).cast("long"))
+        else:
+            rows = latest_before(candidates, self.cuts, ["video_id"], "time_ms", "cut_ms", "_cut", self.chunk_ms)
+        at = F.col("time_ms").cast("long")
+        return rows.withColumns({
+            "time_ms": at, "cand_ord": F.col("cand_ord").cast("long"), "_cx": cx, "_cy": cy,
+            "_pos": F.lit(0), "_chunk": F.floor(at / self.chunk_ms), "_role": F.lit(_OWN),
+        })
+
+    def _walk(self, rows: DataFrame) -> DataFrame:
+        return _walked(rows, self.gap_ms, self.tolerance, self.chunk_ms)
+
+    def _again(self, starts: DataFrame, chunks: DataFrame, more: DataFrame | None = None) -> None:
+        """Walk the given chunks from these states, with more rows where given, as a further version."""
+        place = [*KIND, "_chunk"]
+        entries = starts.join(chunks, place, "left_semi").withColumn("_role", F.lit(_ENTRY))
+        rows = entries.select(self.inner).unionByName(
+            self.versions.own().join(chunks, place, "left_semi").select(self.inner)
+        )
+        if more is not None:
+            rows = rows.unionByName(more.select(self.inner))
+        self.versions.add(self._walk(rows), chunks)
+
+    def _repair(self) -> None:
+        """Walk chunks that began in a wrong state again until there is none."""
+        while True:
+            checked, true_in = _checked_chunks(self.versions.states())
+            self.n_states, n_wrong = checked.agg(F.count("*"), F.count_if("wrong")).first()
+            if n_wrong == 0:
+                return
+            self._again(true_in, settle(checked.filter("wrong").select(*KIND, "_chunk").distinct()))
+
+    def extend(self, candidates: DataFrame) -> None:
+        """Take in further candidates, whose (time_ms, cand_ord) differ from those of the video and kind so far."""
+        more = settle(self._rows(candidates.select(self.columns)))
+        touched = settle(more.select(*KIND, "_chunk").distinct())
+        starts = self.versions.states().filter(F.col("_role") == _STATE_OUT).withColumn("_chunk", F.col("_chunk") + 1)
+        self._again(starts, touched, more)
+        self._repair()
+
+    def linked(self) -> DataFrame:
+        """Candidates with the id of their event and the candidate that opened it."""
+        own, walked = self.versions.own(), self.versions.states()
+        place = [*KIND, "_chunk"]
+        if self.n_states == 0:
+            # No event was open at any chunk border.
+            return own.select(*self.columns, "seed_ms", "seed_ord").withColumn(
+                "event_id", event_key("video_id", "pii_type", "seed_ms", "seed_ord")
+            )
+        _, true_in = _checked_chunks(walked)
+        links = (
+            true_in.select(*KIND, "_chunk", "_pos", *ORDER, "seed_ms", "seed_ord", "_ref")
+            .join(
+                walked.filter(F.col("_role") == _STATE_IN).select(*place, *ORDER, F.col("_pos").alias("at_start")),
+                [*place, *ORDER],
+            )
+            .withColumn("_pos", F.col("at_start"))
+            .repartition(*KIND).sortWithinPartitions(*KIND, "_chunk", "_pos")
+            .select(*KIND, "_chunk", "_pos", "seed_ms", "seed_ord", "_ref")
+            .mapInArrow(
+                _resolve,
+                "video_id string, pii_type string, _chunk long, _ref int, found_ms long, found_ord long",
+            )
+        )
+        # One row per event open at a chunk border: few, and already counted.
+        if self.n_states <= _BROADCAST_ROWS:
+            links = F.broadcast(links)
+        stitched = own.join(links, [*KIND, "_chunk", "_ref"], "left").select(
+            *self.columns,
+            F.coalesce("seed_ms", "found_ms").alias("seed_ms"),
+            F.coalesce("seed_ord", "found_ord").alias("seed_ord"),
+        )
+        return stitched.withColumn("event_id", event_key("video_id", "pii_type", "seed_ms", "seed_ord"))
+
+
 def link_candidates(
     candidates: DataFrame, cuts: DataFrame | None = None, gap_ms: int = LINK_GAP_MS,
     tolerance_px: float = LINK_TOLERANCE_PX, chunk_ms: int | None = None, warm_ms: int | None = None,
@@ -273,70 +382,7 @@ def link_candidates(
     least the gap. The walk is written to the shared folder once, since its check and its rows are
     both read from it; a round of repair writes the chunks that it walks again and no others.
     """
-    chunk_ms = max(chunk_ms or 900 * gap_ms, gap_ms)
-    warm_ms = max(warm_ms or 4 * gap_ms, gap_ms)
-    columns = candidates.columns
-    cx, cy = center_of(F.col("x"), F.col("y"), F.col("w"), F.col("h"))
-    if cuts is None:
-        rows = candidates.withColumn("_cut", F.lit(None).cast("long"))
-    else:
-        rows = latest_before(candidates, cuts, ["video_id"], "time_ms", "cut_ms", "_cut", chunk_ms)
-    at = F.col("time_ms").cast("long")
-    rows = (
-        rows.withColumns({
-            "time_ms": at, "cand_ord": F.col("cand_ord").cast("long"), "_cx": cx, "_cy": cy,
-            "_pos": F.lit(0), "_at": F.floor(at / chunk_ms),
-        })
-        .withColumn("_chunk", F.explode(F.when(
-            at >= (F.col("_at") + 1) * chunk_ms - warm_ms, F.array(F.col("_at"), F.col("_at") + 1)
-        ).otherwise(F.array(F.col("_at")))))
-        .withColumn("_role", F.when(F.col("_chunk") == F.col("_at"), _OWN).otherwise(_WARM))
-        .drop("_at")
-    )
-    inner = rows.columns
-    versions = _Versions(rows.sparkSession)
-    versions.add(_walked(rows, gap_ms, float(tolerance_px), chunk_ms))
-    place = [*KIND, "_chunk"]
-    while True:
-        checked, true_in = _checked_chunks(versions.states())
-        n_states, n_wrong = checked.agg(F.count("*"), F.count_if("wrong")).first()
-        if n_wrong == 0:
-            break
-        bad = settle(checked.filter("wrong").select(*place).distinct())
-        entries = true_in.join(bad, place, "left_semi").withColumn("_role", F.lit(_ENTRY))
-        again = versions.own().join(bad, place, "left_semi")
-        redone = _walked(entries.select(inner).unionByName(again.select(inner)), gap_ms, float(tolerance_px), chunk_ms)
-        versions.add(redone, bad)
-
-    own, walked = versions.own(), versions.states()
-    if n_states == 0:
-        # No event was open at any chunk border.
-        return own.select(*columns, "seed_ms", "seed_ord").withColumn(
-            "event_id", event_key("video_id", "pii_type", "seed_ms", "seed_ord")
-        )
-    links = (
-        true_in.select(*KIND, "_chunk", "_pos", *ORDER, "seed_ms", "seed_ord", "_ref")
-        .join(
-            walked.filter(F.col("_role") == _STATE_IN).select(*place, *ORDER, F.col("_pos").alias("at_start")),
-            [*place, *ORDER],
-        )
-        .withColumn("_pos", F.col("at_start"))
-        .repartition(*KIND).sortWithinPartitions(*KIND, "_chunk", "_pos")
-        .select(*KIND, "_chunk", "_pos", "seed_ms", "seed_ord", "_ref")
-        .mapInArrow(
-            _resolve,
-            "video_id string, pii_type string, _chunk long, _ref int, found_ms long, found_ord long",
-        )
-    )
-    # One row per event open at a chunk border: few, and already counted.
-    if n_states <= _BROADCAST_ROWS:
-        links = F.broadcast(links)
-    stitched = own.join(links, [*KIND, "_chunk", "_ref"], "left").select(
-        *columns,
-        F.coalesce("seed_ms", "found_ms").alias("seed_ms"),
-        F.coalesce("seed_ord", "found_ord").alias("seed_ord"),
-    )
-    return stitched.withColumn("event_id", event_key("video_id", "pii_type", "seed_ms", "seed_ord"))
+    return LinkRun(candidates, cuts, gap_ms, tolerance_px, chunk_ms, warm_ms).linked()
 
 
 def event_summary(linked: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,73 @@ def test_shuffled_batches_link_like_the_batch(spark, tmp_path):
     assert sorted(done.filter("video_id <> 'end'").select(key).collect()) == sorted(batch.select(key).collect())
 
 
+class _Values:
+    """State of one key in memory that counts what is read."""
+
+    def __init__(self):
+        self.kept, self.reads = {}, 0
+
+    def getValueState(self, name, schema):
+        return _One()
+
+    def getMapState(self, name, key_schema, schema):
+        return self
+
+    def registerTimer(self, at):
+        self.due = at
+
+    def getValue(self, key):
+        self.reads += 1
+        return self.kept[key]
+
+    def updateValue(self, key, value):
+        self.kept[key] = value
+
+    def removeKey(self, key):
+        del self.kept[key]
+
+
+class _One:
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+class _Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def test_a_timer_reads_what_it_releases():
+    """Of 500 waiting buckets a timer reads the pieces that are due, and the rest stay as they lie."""
+    handle, link = _Values(), stateful._Linker(1000, 50)
+    link.init(handle)
+    for batch in range(2):
+        rows = pd.DataFrame({"time_ms": [1000 * i + batch for i in range(500)], "cand_ord": [2 * i + batch for i in range(500)],
+                             "x": 0, "y": 0, "w": 1, "h": 1, "confidence": 0.5})
+        assert list(link.handleInputRows(("v", "phone"), iter([rows]), None)) == []
+    assert len(handle.kept) == 1000 and handle.reads == 0 and handle.due == 0
+    list(link.handleExpiredTimer(("v", "phone"), _Clock(3000), None))
+    # Buckets 0 to 3 were due; the last row of bucket 3 is written back.
+    assert handle.reads == 8 and len(handle.kept) == 993 and handle.kept[3, 0][0][0][0] == 3001
+    assert handle.due == 3001
+    out = pd.concat(list(link.handleExpiredTimer(("v", "phone"), _Clock(10**6), None)))
+    assert handle.kept == {} and list(out["n_keyframes"]) == [1000] and list(out["end_ms"]) == [499_001]
+
+
 def test_dedupe_across_batches(spark, parts):
     once = stateless.dedupe_stream(opened(spark, parts), "at", ["video_id", "pii_type"], "900 days")
     assert stateless.run_to_table(once).count() == spark.read.parquet(parts).select("video_id", "pii_type").distinct().count()

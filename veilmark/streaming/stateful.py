@@ -20,8 +20,11 @@ _OPEN = (
 )
 # The open events of a key and the time its next timer is due, read and written as one value.
 _STATE = f"due bigint, events array<struct<{_OPEN}>>"
-# Arrived candidates that the watermark has not passed yet.
-_WAITING = "time_ms bigint, cand_ord bigint, cx double, cy double, confidence double, cut_ms bigint"
+# Arrived candidates that the watermark has not passed yet: pieces of time buckets, and an index of the buckets.
+_WAITING = (
+    "rows array<struct<time_ms:bigint,cand_ord:bigint,cx:double,cy:double,confidence:double,cut_ms:bigint>>"
+)
+_INDEX = "buckets array<struct<bucket:bigint,pieces:int,low:bigint>>"
 
 
 def _rocks(spark) -> None:
@@ -38,15 +41,37 @@ class _Linker(StatefulProcessor):
     Arrived candidates wait until the watermark has passed them and are then taken in time order, so that rows that
     come late, but within the lateness, are linked as if they had come in order. An event is emitted once the
     watermark has passed its last keyframe by more than the gap.
+
+    Waiting rows lie in buckets as long as the gap. A micro-batch adds a piece to each of its buckets and rewrites none; a
+    timer reads the pieces of buckets that are due, one bucket at a time, and of the others the small index only.
     """
 
     def __init__(self, gap_ms: int, tolerance: float) -> None:
-        self.gap_ms, self.reach = gap_ms, tolerance * tolerance
+        self.gap_ms, self.width, self.reach = gap_ms, max(gap_ms, 1), tolerance * tolerance
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.open = handle.getValueState("open", _STATE)
-        self.waiting = handle.getListState("waiting", _WAITING)
+        self.index = handle.getValueState("index", _INDEX)
+        self.waiting = handle.getMapState("waiting", "bucket bigint, piece int", _WAITING)
+
+    def _buckets(self) -> dict[int, tuple[int, int]]:
+        """Waiting buckets with their number of pieces and earliest time."""
+        return {b: (n, low) for b, n, low in self.index.get()[0] or []} if self.index.exists() else {}
+
+    def _keep(self, buckets: dict[int, tuple[int, int]]) -> None:
+        if buckets:
+            self.index.update(([(b, n, low) for b, (n, low) in sorted(buckets.items())],))
+        else:
+            self.index.clear()
+
+    def _take(self, bucket: int, pieces: int) -> list:
+        """Rows of a bucket in order; its pieces are removed."""
+        rows = []
+        for piece in range(pieces):
+            rows += [tuple(r) for r in self.waiting.getValue((bucket, piece))[0]]
+            self.waiting.removeKey((bucket, piece))
+        return sorted(rows, key=lambda r: r[:2])
 
     def _emit(self, key, events: list) -> pd.DataFrame:
         return pd.DataFrame(
@@ -73,15 +98,20 @@ class _Linker(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         due, held = self._load()
-        first = None
+        buckets, first = self._buckets(), None
         for chunk in rows:  # a part of the micro-batch at a time
             cuts = chunk["last_cut_ms"] if "last_cut_ms" in chunk else [None] * len(chunk)
-            self.waiting.appendList([
-                (int(t), int(o), x + w / 2, y + h / 2, float(c), None if pd.isna(cut) else int(cut))
-                for t, o, x, y, w, h, c, cut in zip(*(chunk[n] for n in ("time_ms", "cand_ord", "x", "y", "w", "h", "confidence")), cuts)
-            ])
+            parts = {}
+            for t, o, x, y, w, h, c, cut in zip(*(chunk[n] for n in ("time_ms", "cand_ord", "x", "y", "w", "h", "confidence")), cuts):
+                row = (int(t), int(o), x + w / 2, y + h / 2, float(c), None if pd.isna(cut) else int(cut))
+                parts.setdefault(row[0] // self.width, []).append(row)
+            for bucket, part in parts.items():
+                pieces, early = buckets.get(bucket, (0, part[0][0]))
+                self.waiting.updateValue((bucket, pieces), (part,))
+                buckets[bucket] = (pieces + 1, min(early, *(r[0] for r in part)))
             low = int(chunk["time_ms"].min())
             first = low if first is None else min(first, low)
+        self._keep(buckets)
         self._store(due, first, held)
         yield from ()
 
@@ -102,14 +132,18 @@ class _Linker(StatefulProcessor):
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         _, held = self._load()
-        waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        rest = [r for r in waiting if r[0] > now]
-        if len(rest) < len(waiting):
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        done = self._walk(held, sorted((r for r in waiting if r[0] <= now), key=lambda r: r[:2]))
+        buckets, done = self._buckets(), []
+        for bucket in sorted(b for b, (_, low) in buckets.items() if low <= now):
+            rows = self._take(bucket, buckets.pop(bucket)[0])
+            n_due = sum(r[0] <= now for r in rows)
+            done += self._walk(held, rows[:n_due])
+            if n_due < len(rows):
+                self.waiting.updateValue((bucket, 0), (rows[n_due:],))
+                buckets[bucket] = (1, rows[n_due][0])
+        self._keep(buckets)
         done += [e for e in held if e[2] + self.gap_ms < now]
         held = [e for e in held if e[2] + self.gap_ms >= now]
-        wanted = min([e[2] + self.gap_ms + 1 for e in held] + [r[0] for r in rest], default=None)
+        wanted = min([e[2] + self.gap_ms + 1 for e in held] + [low for _, low in buckets.values()], default=None)
         self._store(None, wanted, held)
         if done:
             yield self._emit(key, done)

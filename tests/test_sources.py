@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from veilmark.operators.jobs import audit_events, audit_summary
-from veilmark.sources import boxes, media, presets, projects, reports
+from veilmark.sources import boxes, event_store, media, presets, projects, reports
 
 
 def project(i, **extra):
@@ -119,3 +119,50 @@ def test_html_report_escapes(spark):
     page = "".join(lines)
     assert "&lt;b&gt;" in page and "A &amp; B" in page and "[redacted]" in page and "0ms–5ms" in page and "50%" in page
     assert page.startswith("<!DOCTYPE html>") and page.endswith("</html>")
+
+
+def test_reports_of_many_projects_fill_the_buckets_only(spark, tmp_path):
+    head, audit = report_input(spark)
+    many = head.join(spark.range(2000).select(F.concat(F.lit("p"), "id").alias("_p"))).withColumn("project_id", F.col("_p")).drop("_p")
+    lines = reports.html_report(many, audit, F.lit("now"))
+    reports.save_reports(lines, str(tmp_path / "r"), 8)
+    files = list((tmp_path / "r").rglob("part-*"))
+    assert 8 <= len(files) <= 16
+    back = reports.open_reports(spark, str(tmp_path / "r"))
+    assert sorted(map(str, back.collect())) == sorted(map(str, lines.select(back.columns).collect()))
+    some = reports.open_reports(spark, str(tmp_path / "r"), ["p7", "p1999"])
+    assert {r.project_id for r in some.collect()} == {"p7", "p1999"}
+    assert len(some.inputFiles()) <= len(files) and "PartitionFilters: [" in some._jdf.queryExecution().toString()
+    one = reports.open_reports(spark, str(tmp_path / "r"), ["p7"])._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in one.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def stored(spark, events, keyframes):
+    kinds = "project_id string, event_id string, status string, start_ms long, end_ms long"
+    return (
+        spark.createDataFrame(events, kinds),
+        spark.createDataFrame(keyframes, "project_id string, event_id string, time_ms long, x int, y int, w int, h int"),
+    )
+
+
+def test_events_are_saved_in_bounded_parts_and_reopened(spark, tmp_path):
+    """A long event spans many lines; one without keyframes, orphans, repeats and null ids stay."""
+    events = [("p", "long", "accepted", 0, 10**10), ("p", "bare", None, 5, 5), ("q", "twice", "pending", 1, 2)] + [("q", "twice", "pending", 1, 2), (None, None, "pending", 3, 3)]
+    marks = [("p", "long", 10 * i, i, 1, 2, 3) for i in range(95)] + [("q", "orphan", 7, 0, 0, 1, 1)] * 2 + [(None, None, 3, 0, 0, 1, 1)]
+    tables = stored(spark, events, marks)
+    lines = event_store.event_lines(*tables, part_keyframes=10, chunk_ms=100)
+    assert lines.agg(F.max(F.size("keyframes"))).first()[0] == 10
+    event_store.save_events(*tables, str(tmp_path / "e"), part_keyframes=10, buckets=4, chunk_ms=100)
+    back, keyframes = event_store.open_events(spark, str(tmp_path / "e"))
+    assert sorted(map(str, ((r.project_id, r.event_id, r.status, r.time_ranges[0].start_ms, r.time_ranges[0].end_ms) for r in back.collect()))) == sorted(map(str, events))
+    rows = keyframes.collect()
+    assert sorted(map(str, ((r.project_id, r.event_id, r.time_ms, r.x, r.y, r.w, r.h) for r in rows))) == sorted(map(str, marks))
+    assert [r.kf_ord for r in sorted((r for r in rows if r.event_id == "long"), key=lambda r: r.time_ms)] == list(range(95))
+    only, _ = event_store.open_events(spark, str(tmp_path / "e"), ids=["q"])
+    assert {r.event_id for r in only.collect()} == {"twice"} and only.count() == 2
+
+
+def test_no_events_are_saved_and_reopened(spark, tmp_path):
+    event_store.save_events(*stored(spark, [], []), str(tmp_path / "e"))
+    back, keyframes = event_store.open_events(spark, str(tmp_path / "e"))
+    assert back.count() == 0 and keyframes.count() == 0

@@ -244,6 +244,26 @@ def refined_scan(spark: SparkSession, d: str) -> DataFrame:
     return done.select(*ol.KIND, "start_ms", "end_ms", "confidence", "n_keyframes", "extracted_text", "env_w")
 
 
+@query("saved_scan", sql("linked", """
+SELECT l.video_id, l.event_id, l.pii_type, s.confidence, s.extracted_text, s.start_ms, s.end_ms, 'pending' status,
+  row_number() OVER (PARTITION BY l.video_id, l.event_id ORDER BY l.time_ms, l.cand_ord) - 1 kf_ord, l.time_ms, l.x, l.y, l.w, l.h
+FROM linked l JOIN (SELECT event_id, max(confidence) confidence, arg_min(text, (time_ms, cand_ord)) extracted_text,
+  min(time_ms) start_ms, max(time_ms) end_ms FROM linked GROUP BY ALL) s USING (event_id)"""))
+def saved_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Linked events saved as documents with their keyframes and reopened."""
+    from veilmark.plans.session import settle, shared_folder
+    from veilmark.sources.event_store import open_events, save_events
+
+    marks = settle(linked(spark, d))
+    path = shared_folder(spark)
+    save_events(ol.finished_events(ol.event_summary(marks)), marks, path, "video_id", ORDER, chunk_ms=WEEK)
+    events, keyframes = open_events(spark, path, "video_id")
+    return events.join(keyframes, ["video_id", "event_id"]).select(
+        "video_id", "event_id", "pii_type", "confidence", "extracted_text", F.col("time_ranges")[0]["start_ms"].alias("start_ms"),
+        F.col("time_ranges")[0]["end_ms"].alias("end_ms"), "status", "kf_ord", "time_ms", "x", "y", "w", "h",
+    )
+
+
 @query("batch_scan_events", sql("boxes hists", """
 SELECT v.video_id, CASE WHEN v.video_id = 'src3' THEN 'error' ELSE 'done' END status,
   CASE WHEN v.video_id = 'src3' THEN 'file not found' END error,

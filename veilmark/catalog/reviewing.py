@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.catalog.base import query, sql
+from veilmark.catalog.base import ORACLES, query, sql
 from veilmark.catalog.detection import (
     _HITS, REGEX_RULES, document_hits, oracle_hits, oracle_spans,
 )
@@ -14,6 +14,7 @@ from veilmark.operators import redact as rd
 from veilmark.operators import review as rv
 from veilmark.operators import settings as st
 from veilmark.plans.ordered import chunk_by
+from veilmark.plans.session import shared_folder
 from veilmark.schemas import DEFAULT_OVERRIDES, DEFAULT_STYLE, PII_TYPES
 from veilmark.sources import adapters as ad
 from veilmark.sources import media, reports
@@ -771,6 +772,36 @@ def audit_html(spark: SparkSession, d: str) -> DataFrame:
     return reports.html_report(_heads(spark, d), _audit(spark, d), F.lit("2024")).drop("section")
 
 
+@query("saved_reports", ORACLES["audit_html"])
+def saved_reports(spark: SparkSession, d: str) -> DataFrame:
+    """HTML reports of all projects, saved in buckets and reopened."""
+    path = shared_folder(spark)
+    reports.save_reports(reports.html_report(_heads(spark, d), _audit(spark, d), F.lit("2024")), path)
+    return reports.open_reports(spark, path).drop("section")
+
+
+@query("saved_reviews", sql("review", """
+SELECT project_id, event_id::VARCHAR event_id, pii_type, confidence, extracted_text, status, start_ms::BIGINT start_ms, end_ms::BIGINT end_ms,
+  style_type, 0::BIGINT kf_ord, start_ms::BIGINT time_ms FROM review
+UNION ALL
+SELECT project_id, event_id::VARCHAR, pii_type, confidence, extracted_text, status, start_ms, end_ms, style_type, 1, end_ms
+FROM review WHERE end_ms > start_ms"""))
+def saved_reviews(spark: SparkSession, d: str) -> DataFrame:
+    """Reviewed events with a keyframe at each end, saved as documents and reopened."""
+    from veilmark.sources.event_store import open_events, save_events
+
+    events = ad.review(spark, d).withColumn("redaction_style", F.col("style"))
+    box = [F.lit(v).alias(n) for n, v in zip("xywh", (1, 2, 3, 4))]
+    marks = events.select(*KEY, F.explode(F.array_distinct(F.array("start_ms", "end_ms"))).alias("time_ms"), *box)
+    path = shared_folder(spark)
+    save_events(events, marks, path)
+    kept, keyframes = open_events(spark, path)
+    return kept.join(keyframes, KEY).select(
+        *KEY, "pii_type", "confidence", "extracted_text", "status", F.col("time_ranges")[0]["start_ms"].alias("start_ms"),
+        F.col("time_ranges")[0]["end_ms"].alias("end_ms"), F.col("redaction_style.type").alias("style_type"), "kf_ord", "time_ms",
+    )
+
+
 @query("detection_metrics", sql("boxes", """
 SELECT toxic kind, count(*) FILTER (f IS NOT NULL AND t IS NOT NULL) true_positives, count(*) FILTER (t IS NULL) false_positives,
   count(*) FILTER (f IS NULL) false_negatives,

@@ -4,13 +4,17 @@ A report is a header, one line per accepted event and a footer. Lines carry thei
 with very many events is written by many tasks and never gathered into one value.
 """
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmark.functions.text import escape_html, percent
+from veilmark.sources.buckets import BUCKETS, read_buckets, write_buckets
 
 # Sections of a report in order.
 HEADER, BODY, FOOTER = 0, 1, 2
+_LINES = "project_id string, section int, event_id bigint, line string"
 
 
 def event_json(audit: DataFrame) -> Column:
@@ -99,3 +103,13 @@ def write_report(lines: DataFrame, path: str) -> None:
         lines.repartitionByRange(*place).sortWithinPartitions(*place)
         .select("project_id", "line").write.mode("overwrite").partitionBy("project_id").text(path)
     )
+
+
+def save_reports(lines: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Save the reports of any number of projects in a fixed number of buckets."""
+    write_buckets(lines.select("project_id", "section", "event_id", "line"), path, "project_id", ["section", "event_id"], buckets)
+
+
+def open_reports(spark: SparkSession, path: str, ids: Sequence[str] | None = None) -> DataFrame:
+    """Saved report lines, of all projects or of some; `write_report` makes folders of a few."""
+    return read_buckets(spark, path, _LINES, "project_id", ids)

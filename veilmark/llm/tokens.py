@@ -9,9 +9,11 @@ Strings of special tokens are cut out first, as the library does, and are their
 whole text by the library's defaults (tested).
 """
 
+import gc
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -29,6 +31,18 @@ _BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b
 _TOOLS: dict[tuple, "ChunkTokenizer"] = {}
 
 
+@contextmanager
+def _no_collection() -> Iterator[None]:
+    """Pause the search for reference cycles: millions of small lists are made here, none in a cycle."""
+    was_on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was_on:
+            gc.enable()
+
+
 class _Numbered(dict):
     """Numbers of keys in the order in which they are first asked for; `new` lists those whose ids are still to be found."""
 
@@ -176,14 +190,15 @@ class ChunkTokenizer:
             self._clear()
         keys: list[str | None] = []
         ends = [0]
-        for text in texts:
-            if text:
-                keys += self._keys(text)
-            keys.append(None)
-            ends.append(len(keys))
-        number = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
-        if self.known.new:
-            self._learn()
+        with _no_collection():
+            for text in texts:
+                if text:
+                    keys += self._keys(text)
+                keys.append(None)
+                ends.append(len(keys))
+            number = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+            if self.known.new:
+                self._learn()
         return number, np.array(ends)
 
     def encode(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
